@@ -159,24 +159,20 @@ def persistence_alpha(fractions: DataFrame, model: DataFrame) -> DataFrame:
     return group_quantiles(j, ["variable"], "ratio", {"alpha_equivalent": 0.5})
 
 
-def _noise_chunk(warm_limit: float):
-    def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values("pos")
-        rho = float(pdf["_rho"].iloc[0])
-        sd = math.sqrt(1.0 - rho * rho)
-        z, pos = pdf["_z"].to_numpy(float), pdf["pos"].to_numpy()
-        out = np.empty(len(z))
-        prev = 0.0
-        for i in range(len(z)):
-            prev = z[i] if pos[i] == 0 else rho * prev + sd * z[i]
-            out[i] = prev
-        pdf = pdf.assign(_err=out)
-        return pdf.loc[pdf["_home"] == pdf["_chunk"], list(_NOISE_OUT)]
-
-    return run
+_NOISE_OUT = ("series_id", "variable", "pos", "_err")
 
 
-_NOISE_OUT = ("series_id", "variable", "pos", "_err")
+def _noise_chunk(pdf: pd.DataFrame) -> pd.DataFrame:
+    """The recursion e = rho * e_before + sqrt(1 - rho**2) * z over one chunk."""
+    pdf = pdf.sort_values("pos")
+    rho = float(pdf["_rho"].iloc[0])
+    step = math.sqrt(1.0 - rho * rho)
+    out, prev = [], 0.0
+    for z, pos in zip(pdf["_z"], pdf["pos"]):
+        prev = z if pos == 0 else rho * prev + step * z
+        out.append(prev)
+    pdf = pdf.assign(_err=np.array(out, float))
+    return pdf.loc[pdf["_home"] == pdf["_chunk"], list(_NOISE_OUT)]
 
 
 def perturb(
@@ -221,7 +217,7 @@ def perturb(
         "_chunk", F.explode(F.array_compact(F.array(F.col("_home"), F.when(late, F.col("_home") + 1))))
     )
     errs = noise.groupBy(*keys, "_chunk").applyInPandas(
-        _noise_chunk(1e-18), "series_id string, variable string, pos long, _err double"
+        _noise_chunk, "series_id string, variable string, pos long, _err double"
     )
     j = long.join(known.select(*keys, "pos", "_sd", "sigma_frac", "bias_frac"), [*keys, "pos"], "left")
     j = j.join(errs, [*keys, "pos"], "left")
@@ -239,7 +235,7 @@ def perturb(
     for name, period in circular.items():
         kept = F.when(F.col("variable") == name, F.pmod(noisy, F.lit(period))).otherwise(kept)
     value = F.when(F.col("_err").isNotNull() & F.col("value").isNotNull(), kept).otherwise(F.col("value"))
-    return j.select(*long.columns[:0], *[value.alias(c) if c == "value" else F.col(c) for c in long.columns])
+    return j.select(*[value.alias(c) if c == "value" else F.col(c) for c in long.columns])
 
 
 # --- sweeps over the error level --------------------------------------------
