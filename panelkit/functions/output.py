@@ -13,13 +13,15 @@ TIE_SHIFT = 1e-10
 
 
 def rounded(df: DataFrame, digits: int = DIGITS) -> DataFrame:
-    """Round doubles and print timestamps as text; other types unchanged."""
+    """Round doubles, widen integers and print timestamps as text."""
     out = []
     for f in df.schema.fields:
         t = f.dataType.simpleString()
         c = F.col(f"`{f.name}`")
         if t in ("double", "float"):
             c = F.round(c + F.lit(TIE_SHIFT), digits)
+        elif t in ("tinyint", "smallint", "int"):
+            c = c.cast("long")
         elif t in ("timestamp", "timestamp_ntz"):
             c = F.date_format(c, "yyyy-MM-dd HH:mm:ss.SSSSSS")
         elif t == "date":

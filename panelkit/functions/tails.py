@@ -15,17 +15,16 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 _NODES, _WEIGHTS = np.polynomial.legendre.leggauss(200)
-_LGAMMA = np.frompyfunc(math.lgamma, 1, 1)
-_ERFC = np.frompyfunc(math.erfc, 1, 1)
 EXACT_SIGNED_RANK_N = 50
 
 
 def lgamma(x: np.ndarray) -> np.ndarray:
-    return _LGAMMA(x).astype(float)
+    return np.asarray(np.frompyfunc(math.lgamma, 1, 1)(x), float)
 
 
 def normal_sf(z: np.ndarray) -> np.ndarray:
-    return 0.5 * _ERFC(np.asarray(z, float) / math.sqrt(2.0)).astype(float)
+    erfc = np.frompyfunc(math.erfc, 1, 1)
+    return 0.5 * np.asarray(erfc(np.asarray(z, float) / math.sqrt(2.0)), float)
 
 
 def t_sf(t: np.ndarray, df: np.ndarray) -> np.ndarray:

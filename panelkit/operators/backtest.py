@@ -141,6 +141,53 @@ def last_value(
     return _as_predictions(t, model)
 
 
+def baselines(
+    panel: DataFrame,
+    horizon: int,
+    folds: int,
+    min_train: int,
+    season: int = 24,
+    cycles: int = 7,
+    long_season: int = 168,
+) -> DataFrame:
+    """seasonal_naive, seasonal_mean and last_value from one window pass.
+
+    The same rows as the three single forecasters; the bounded tail of each
+    series is shuffled and sorted once, then emitted once per model.
+    """
+    if horizon > long_season:
+        raise ValueError("horizon must not exceed the long season")
+    r = recent_rows(panel, horizon, folds, max(long_season, season * cycles))
+    w = Window.partitionBy(*KEY).orderBy("pos")
+    past = w.rowsBetween(Window.unboundedPreceding, -1)
+    into = F.col("pos") - first_test_pos(horizon, folds)
+    steps = [season * j for j in range(1, cycles + 1)]
+    r = r.select(
+        "*",
+        F.lag("y", long_season).over(w).alias("_naive"),
+        F.last(F.when(into < 0, F.col("y")), True).over(w).alias("_last_train"),
+        F.last(F.when((into + 1) % horizon == 0, F.col("y")), True).over(past).alias("_origin"),
+        *[F.lag("y", k).over(w).alias(f"_l{k}") for k in steps],
+    )
+    t = test_rows(r, horizon, folds, min_train)
+    seen = F.array_compact(F.array(*[F.when(F.col("lead") <= k, F.col(f"_l{k}")) for k in steps]))
+    mean = F.when(
+        F.size(seen) > 0, F.aggregate(seen, F.lit(0.0), lambda a, x: a + x) / F.size(seen)
+    )
+    items = [
+        F.struct(F.lit(m).alias("model"), c.alias("y_pred"))
+        for m, c in (
+            ("seasonal_naive", F.coalesce("_naive", "_last_train")),
+            ("seasonal_mean", mean),
+            ("last_value", F.col("_origin")),
+        )
+    ]
+    t = t.select(
+        "series_id", "fold", "lead", "pos", "ts", F.col("y").alias("y_true"), F.inline(F.array(*items))
+    )
+    return t.select("series_id", "model", "fold", "lead", "pos", "ts", "y_true", "y_pred")
+
+
 # --- linear models from sums ------------------------------------------------
 
 
@@ -173,24 +220,14 @@ def moments_by_fold(
 ) -> DataFrame:
     """Cumulative moments: fold f sums every row usable by fold f or earlier.
 
-    Each row is summed once, at the first fold that may train on it; the folds
-    are then accumulated over at most ``folds`` rows per key.
+    Each row is summed once, at the first fold that may train on it; those sums
+    (at most ``folds`` rows per key) are then passed on to the later folds.
     """
     rows = df.withColumn("fold", first_fold).filter(F.col("fold") < folds)
     m = moments(rows, [*keys, "fold"], features, target)
     names = [c for c in m.columns if c.startswith("m_")]
-    cells = F.arrays_zip(
-        F.collect_list("fold").alias("fold"), *[F.collect_list(n).alias(n) for n in names]
-    )
-    packed = m.groupBy(*keys).agg(cells.alias("_cells"))
-    # at most `folds` cells per key
-    grid = packed.withColumn("fold", F.explode(F.sequence(F.lit(0), F.lit(folds - 1))))
-    usable = F.filter("_cells", lambda c: c["fold"] <= F.col("fold"))
-    sums = {
-        n: F.aggregate(usable, F.lit(0.0), lambda a, c, n=n: a + c[n]) for n in names
-    }
-    out = grid.select(*keys, "fold", *[c.alias(n) for n, c in sums.items()])
-    return out.filter(F.col("m_n") > 0)
+    m = m.withColumn("fold", F.explode(F.sequence("fold", F.lit(folds - 1))))
+    return m.groupBy(*keys, "fold").agg(*[F.sum(n).alias(n) for n in names])
 
 
 _FIT = T.StructType(

@@ -578,8 +578,12 @@ def trajectory_tests(diffs: DataFrame, folds: int, horizon: int) -> DataFrame:
 
 
 def lead_tests(diffs: DataFrame) -> DataFrame:
-    """Mean difference per series and lead, then signed-rank across series."""
-    lead = diffs.groupBy(*PAIR, "lead").agg(F.avg("d").alias("d"))
+    """Mean difference per series and lead, then signed-rank across series.
+
+    The means are rounded far below any reported digit: whether two of them tie
+    must not depend on the order in which a task summed them.
+    """
+    lead = diffs.groupBy(*PAIR, "lead").agg(F.round(F.avg("d"), 10).alias("d"))
     keys = ["model_a", "model_b", "lead"]
     counts = lead.groupBy(*keys).agg(
         F.avg("d").alias("mean_diff"),
