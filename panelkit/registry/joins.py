@@ -59,10 +59,10 @@ def c1(spark, sf):
              f AS (PARTITION BY series_id ORDER BY k ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING)),
     lim AS (SELECT series_id, k, CASE WHEN y IS NOT NULL THEN y WHEN k - pk <= 1 AND nk IS NULL THEN py
         WHEN k - pk <= 1 THEN py + (ny - py) / (nk - pk) * (k - pk) END AS y FROM near),
-    done AS (SELECT series_id, k, y, last_value(y IGNORE NULLS) OVER b AS fy, first_value(y IGNORE NULLS) OVER f AS by FROM lim
+    done AS (SELECT series_id, k, y, last_value(y IGNORE NULLS) OVER b AS fy, first_value(y IGNORE NULLS) OVER f AS ny FROM lim
       WINDOW b AS (PARTITION BY series_id ORDER BY k ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW),
              f AS (PARTITION BY series_id ORDER BY k ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING))
-    SELECT series_id, k AS pos, {r("coalesce(y, fy, by)", "wx_qty")}, y IS NULL AND coalesce(fy, by) IS NOT NULL AS wx_qty_is_filled FROM done""",
+    SELECT series_id, k AS pos, {r("coalesce(y, fy, ny)", "wx_qty")}, y IS NULL AND coalesce(fy, ny) IS NOT NULL AS wx_qty_is_filled FROM done""",
 )
 def c2(spark, sf):
     p = panels.daily_orders(spark, sf)
@@ -249,8 +249,8 @@ ledger AS (SELECT DISTINCT 'L-' || (100 + p_size) AS id, p_size < 10 AS supersed
 def _cited(spark, sf):
     """Three-digit numbers of the whole texts play the cited ids."""
     docs = panels.table(spark, sf, "documents")
-    ids = F.explode(F.regexp_extract_all("text", F.lit(r"(\d{3})"), 1))
-    cited = docs.select(F.concat(F.lit("L-"), ids).alias("id"))
+    ids = F.array_distinct(F.regexp_extract_all("text", F.lit(r"(\d{3})"), 1))
+    cited = docs.select(F.explode(ids).alias("_id")).select(F.concat(F.lit("L-"), "_id").alias("id"))
     p = panels.table(spark, sf, "part")
     ledger = p.select(
         F.concat(F.lit("L-"), (F.col("p_size") + 100).cast("string")).alias("id"),
