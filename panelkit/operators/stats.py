@@ -18,6 +18,7 @@ from pyspark.sql import functions as F
 
 from panelkit.functions import tails
 from panelkit.functions.columns import hashed_integer
+from panelkit.session import settled
 from panelkit.plans.ordered import (
     group_quantiles,
     over_rows,
@@ -428,6 +429,8 @@ def _replicates(
     base = df.select(*keys, F.md5(F.col(id_col).cast("string")).alias("_h"), *[c.alias(k) for k, c in terms.items()])
     base = base.withColumn("_b", F.conv(F.substring("_h", 1, 3), 16, 10).cast("int"))
     base = with_position(base, keys, "_b", "_h", pos="_i", total="n").drop("_h", "_b")
+    # three uses below; one row per observation of the test, not per reading
+    base = settled(base, "bootstrap")
 
     small = base.filter(F.col("n") <= array_limit)
     rows = F.sort_array(F.collect_list(F.struct("_i", *terms)))

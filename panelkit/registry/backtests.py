@@ -30,6 +30,7 @@ from panelkit.registry.common import (
     baseline_preds,
     folds,
     hourly_panel,
+    panel,
     predictions,
     r,
     scale_cte,
@@ -39,6 +40,7 @@ from panelkit.registry.common import (
     train_end,
     SCORES,
 )
+from panelkit.session import settled
 from panelkit.sources import panels
 
 reg = Registry()
@@ -101,7 +103,7 @@ def e3_all(spark, sf):
 )
 def flagship(spark, sf):
     """Raw events to scored seasonal-naive forecasts, end to end."""
-    p = hourly_panel(spark, sf)
+    p = settled(hourly_panel(spark, sf), "gated")
     preds = b.seasonal_naive(p, H_HOURS, H_FOLDS, H_MIN_TRAIN)
     scale = metrics.mase_scale(p, b.first_train_end(H_HOURS, H_FOLDS, H_MIN_TRAIN))
     return metrics.score(preds, scale)
@@ -132,7 +134,7 @@ fit AS (SELECT *, CASE WHEN sx > 0 THEN c * cxy / sx / (c + 1.0) / sx ELSE 0 END
 def e4_one(spark, sf):
     """Per series, lead and fold; one feature, so that SQL has a closed form."""
     d = features.design(
-        panels.supplier_panel(spark, sf), range(1, HORIZON + 1), mode="none", lags=(0,), rolls=(), cal=False
+        panel(spark, sf), range(1, HORIZON + 1), mode="none", lags=(0,), rolls=(), cal=False
     )
     return b.direct_ridge(d, ["ylag_0"], HORIZON, FOLDS, MIN_TRAIN)
 
@@ -151,7 +153,7 @@ FEATURES = [
 
 def _full_design(spark, sf):
     return features.design(
-        panels.supplier_panel(spark, sf),
+        panel(spark, sf),
         range(1, HORIZON + 1),
         ["wx_discount"],
         "causal",
@@ -193,7 +195,7 @@ fit AS (SELECT *, CASE WHEN c >= 48 AND sx > 0 THEN c * cxy / sx / (c + 1.0) / s
       {r("CASE WHEN usable THEN my - beta * mx ELSE 0 END", "intercept")} FROM fit""",
 )
 def e5(spark, sf):
-    out = b.covariate_effect(panels.supplier_panel(spark, sf), ["wx_discount"], HORIZON, FOLDS)
+    out = b.covariate_effect(panel(spark, sf), ["wx_discount"], HORIZON, FOLDS)
     return out.select("series_id", "fold", "n_rows", F.get("beta", F.lit(0)).alias("beta"), "intercept")
 
 
@@ -208,7 +210,7 @@ def e5(spark, sf):
     FROM test t JOIN fit f ON f.series_id = t.series_id AND f.fold = t.fold""",
 )
 def e6(spark, sf):
-    p = panels.supplier_panel(spark, sf)
+    p = panel(spark, sf)
     effects = b.covariate_effect(p, ["wx_discount"], HORIZON, FOLDS)
     return b.residual_naive(p, effects, ["wx_discount"], HORIZON, FOLDS, MIN_TRAIN, LONG)
 
@@ -229,7 +231,7 @@ def _drift(context: np.ndarray, horizon: int) -> np.ndarray:
     JOIN panel a ON a.series_id = t.series_id AND a.pos = t.pos - t.lead - 51""",
 )
 def e7(spark, sf):
-    p = panels.supplier_panel(spark, sf)
+    p = panel(spark, sf)
     f = b.plugin_forecast(p, _drift, HORIZON, FOLDS, MIN_TRAIN, context=52)
     return b.attach_truth(f, p, HORIZON, FOLDS, MIN_TRAIN, "drift")
 
@@ -295,7 +297,7 @@ own AS (SELECT series_id, count(*) AS c, count(*) * covar_pop(x, res) / (count(*
 )
 def e9(spark, sf):
     """Pooled on the rich tier, adapted on 10 % of each scarce series."""
-    d = features.design(panels.supplier_panel(spark, sf), (1,), mode="none", lags=(0,), rolls=(), cal=False)
+    d = features.design(panel(spark, sf), (1,), mode="none", lags=(0,), rolls=(), cal=False)
     d = d.join(supplier_tiers(spark, sf), "series_id")
     end = b.first_test_pos(HORIZON, FOLDS)
     target_pos = F.col("pos") + F.col("lead")
@@ -317,7 +319,7 @@ def e9(spark, sf):
 )
 def e10(spark, sf):
     d = features.design(
-        panels.supplier_panel(spark, sf), range(1, HORIZON + 1), mode="none", lags=(0,), rolls=(), cal=False
+        panel(spark, sf), range(1, HORIZON + 1), mode="none", lags=(0,), rolls=(), cal=False
     )
     end = b.first_test_pos(HORIZON, FOLDS)
     lo = end - F.greatest(F.floor(end * 25.0 / 100.0), F.lit(LONG + HORIZON + 10))
@@ -373,7 +375,7 @@ def e12(spark, sf):
       {r("stddev_samp(MASE)", "sd")}, {r("min(MASE)", "min")}, {r("max(MASE)", "max")} FROM scores GROUP BY model""",
 )
 def e13(spark, sf):
-    return report.describe(scores(spark, sf), ["model"], "MASE")
+    return report.describe(settled(scores(spark, sf), "scores"), ["model"], "MASE")
 
 
 @reg.add(
@@ -384,7 +386,7 @@ def e13(spark, sf):
     FROM scores s JOIN best b ON b.series_id = s.series_id LEFT JOIN tiers t ON t.series_id = s.series_id""",
 )
 def e14(spark, sf):
-    s = scores(spark, sf)
+    s = settled(scores(spark, sf), "scores")
     best = decide.best_model(s).select("series_id", "best_model")
     out = s.join(best, "series_id").join(supplier_tiers(spark, sf), "series_id", "left")
     return out.select("series_id", "model", F.coalesce("tier", F.lit("?")).alias("tier"), "MASE", "best_model")
@@ -426,7 +428,7 @@ def f2(spark, sf):
 )
 def f3(spark, sf):
     """Every fold is scored on the one scale of its series."""
-    p = panels.supplier_panel(spark, sf)
+    p = panel(spark, sf)
     preds = b.baselines(p, HORIZON, FOLDS, MIN_TRAIN, SEASON, CYCLES, LONG)
     scale = metrics.mase_scale(p, b.first_train_end(HORIZON, FOLDS, MIN_TRAIN), SEASON)
     return metrics.score(preds, scale, ["series_id", "model", "fold"]).select("series_id", "model", "fold", "MASE")

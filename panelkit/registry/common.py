@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from panelkit.functions.output import rounded
 from panelkit.operators import backtest, metrics, quality
+from panelkit.session import settled
 from panelkit.sources import panels
 
 # Weekly supplier panel: month-like season, quarter-like long season.
@@ -60,7 +61,7 @@ def d(expr: str, name: str | None = None) -> str:
 def hourly(spark: SparkSession, sf: str) -> DataFrame:
     """Sanitised hourly means per event type."""
     clean = quality.sanitize(panels.event_readings(spark, sf), LO, HI)
-    return panels.hourly_means(clean.filter(F.col("y").isNotNull()))
+    return settled(panels.hourly_means(clean.filter(F.col("y").isNotNull())), "hourly")
 
 
 def hourly_panel(spark: SparkSession, sf: str) -> DataFrame:
@@ -69,13 +70,18 @@ def hourly_panel(spark: SparkSession, sf: str) -> DataFrame:
     return quality.usable_window(h, lo=None, hi=None, min_rows=400)
 
 
+def panel(spark: SparkSession, sf: str) -> DataFrame:
+    """The weekly supplier panel, written once for the branches that follow."""
+    return settled(panels.supplier_panel(spark, sf), "panel")
+
+
 def predictions(spark: SparkSession, sf: str) -> DataFrame:
     p = panels.supplier_panel(spark, sf)
     return backtest.baselines(p, HORIZON, FOLDS, MIN_TRAIN, SEASON, CYCLES, LONG)
 
 
 def scores(spark: SparkSession, sf: str) -> DataFrame:
-    p = panels.supplier_panel(spark, sf)
+    p = panel(spark, sf)
     preds = backtest.baselines(p, HORIZON, FOLDS, MIN_TRAIN, SEASON, CYCLES, LONG)
     scale = metrics.mase_scale(p, backtest.first_train_end(HORIZON, FOLDS, MIN_TRAIN), SEASON)
     return metrics.score(preds, scale)

@@ -23,6 +23,7 @@ from panelkit.registry.common import (
     scores,
     supplier_tiers,
 )
+from panelkit.session import settled
 from panelkit.sources import panels
 
 reg = Registry()
@@ -173,7 +174,7 @@ def g4(spark, sf):
     f"WITH {DM}, {BH} SELECT series_id, model_a, model_b, {r('p_value')}, {r('p_bh')} FROM adjusted",
 )
 def g5(spark, sf):
-    t = _tests(spark, sf).select("series_id", "model_a", "model_b", "p_value")
+    t = settled(_tests(spark, sf).select("series_id", "model_a", "model_b", "p_value"), "tests")
     return stats.benjamini_hochberg(t, ["model_a", "model_b"])
 
 
@@ -182,7 +183,7 @@ def g5(spark, sf):
     f"WITH {DM}, {BH} SELECT series_id, model_a, model_b, {r('p_value')}, {r('p_holm')} FROM adjusted",
 )
 def g6(spark, sf):
-    t = _tests(spark, sf).select("series_id", "model_a", "model_b", "p_value")
+    t = settled(_tests(spark, sf).select("series_id", "model_a", "model_b", "p_value"), "tests")
     return stats.holm(t, ["model_a", "model_b"])
 
 
@@ -196,7 +197,8 @@ ROLL = """roll AS (SELECT model_a, model_b, count(*) AS n_series, count_if(coale
 
 
 def _rollup(spark, sf):
-    t = stats.benjamini_hochberg(_tests(spark, sf), ["model_a", "model_b"])
+    t = settled(_tests(spark, sf), "tests")
+    t = settled(stats.benjamini_hochberg(t, ["model_a", "model_b"]), "adjusted")
     return stats.panel_rollup(t)
 
 
@@ -246,12 +248,13 @@ paired AS (SELECT w.series_id, coalesce(t.tier, '?') AS tier, w.seasonal_naive A
 def _paired(spark, sf):
     w = decide.wide_scores(scores(spark, sf), MODELS)
     w = w.join(supplier_tiers(spark, sf), "series_id", "left")
-    return w.withColumns(
+    w = w.withColumns(
         {
             "tier": F.coalesce("tier", F.lit("?")),
             "d": F.col("seasonal_naive") - F.col("seasonal_mean"),
         }
     )
+    return settled(w, "paired")
 
 
 @reg.add(
@@ -304,7 +307,7 @@ RANKS = """ranked AS (SELECT 'all' AS panel, series_id, model, MASE, rank() OVER
 
 def _ranks(spark, sf):
     s = scores(spark, sf).withColumn("panel", F.lit("all"))
-    return stats.model_ranks(s, ["panel"], MODELS)
+    return settled(stats.model_ranks(s, ["panel"], MODELS), "ranks")
 
 
 @reg.add(
@@ -382,7 +385,8 @@ mbb AS (SELECT series_id, model_a, model_b, n, quantile_cont(mean, 0.025) AS ci_
 
 
 def _diffs(spark, sf):
-    return stats.pair_differences(stats.losses_wide(predictions(spark, sf), MODELS), PAIRS)
+    wide = stats.losses_wide(predictions(spark, sf), MODELS)
+    return settled(stats.pair_differences(wide, PAIRS), "diffs")
 
 
 @reg.add(
@@ -468,7 +472,7 @@ def g21(spark, sf):
     FROM tests t JOIN mbb m USING (series_id, model_a, model_b) GROUP BY ALL""",
 )
 def g22(spark, sf):
-    p = predictions(spark, sf)
+    p = settled(predictions(spark, sf), "preds")
     dm = stats.paired_summary(p, MODELS, HORIZON).select(*stats.PAIR, F.col("significant").alias("dm_sig"))
     wide = stats.losses_wide(p, MODELS)
     mbb = stats.block_bootstrap(stats.pair_differences(wide, PAIRS), BLOCK, draws=200)

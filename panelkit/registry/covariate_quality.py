@@ -8,8 +8,8 @@ from panelkit.operators import covariates as c
 from panelkit.operators import joins
 from panelkit.operators import backtest
 from panelkit.plans.ordered import over_rows
-from panelkit.registry.common import SCORED, SUPPLIER_PANEL, Registry, r, scores
-from panelkit.sources import panels
+from panelkit.registry.common import SCORED, SUPPLIER_PANEL, Registry, panel, r, scores
+from panelkit.session import settled
 
 reg = Registry()
 QUERIES, ORACLES = reg.queries, reg.oracles
@@ -22,7 +22,7 @@ long AS (SELECT series_id, pos, 'precipitation' AS variable, y AS value FROM pan
 
 def _long(spark, sf):
     """Weekly quantity as a bounded variable, and a circular one made of it."""
-    p = panels.supplier_panel(spark, sf)
+    p = panel(spark, sf)
     wide = p.select(
         "series_id",
         "pos",
@@ -58,7 +58,7 @@ def _profile(spark, sf):
     ).filter(F.col("predicted").isNotNull())
     pairs = pairs.withColumn("lead_day", F.col("_i") + 1)
     pairs = pairs.withColumn("pos", F.col("pos") - F.col("lead_day")).drop("_i")
-    return c.error_profile(pairs)
+    return settled(c.error_profile(pairs), "profile")
 
 
 PROFILE_COLS = f"series_id, variable, lead_day, n, {r('mae')}, {r('rmse')}, {r('bias')}, {r('sd')}, {r('actual_sd')}, {r('err_ar1')}"
@@ -169,7 +169,7 @@ def _cells(spark, sf):
             "MASE": F.when(F.col("model") == "seasonal_mean", moved).otherwise(F.col("MASE")),
         }
     )
-    return c.sweep_cells(g)
+    return settled(c.sweep_cells(g), "cells")
 
 
 @reg.add("i6_sweep_cells", f"WITH {CELLS_SQL} SELECT domain, {r('alpha')}, seed, model, {r('mean_mase')}, n_series FROM cells")

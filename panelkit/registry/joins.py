@@ -22,6 +22,7 @@ from panelkit.registry.common import (
     supplier_tiers,
     t,
 )
+from panelkit.session import settled
 from panelkit.sources import panels
 
 reg = Registry()
@@ -67,7 +68,7 @@ def c1(spark, sf):
 def c2(spark, sf):
     p = panels.daily_orders(spark, sf)
     c = _covs(spark, sf).drop("wx_discount")
-    filled = j.attach_covariates(p, c, ["ts"])
+    filled = settled(j.attach_covariates(p, c, ["ts"]), "joined")
     from panelkit.operators.quality import carry_both_ways, interpolate
 
     out = carry_both_ways(interpolate(filled, 1, value="wx_qty"), ["series_id"], "wx_qty", flag="wx_qty_is_filled")
@@ -108,7 +109,7 @@ def c4(spark, sf):
     FROM scores a JOIN scores b ON a.series_id = b.series_id WHERE a.model = 'seasonal_naive' AND b.model = 'last_value'""",
 )
 def c5(spark, sf):
-    s = scores(spark, sf).select("series_id", "model", "MASE", "RMSE")
+    s = settled(scores(spark, sf).select("series_id", "model", "MASE", "RMSE"), "scores")
     a = s.filter("model = 'seasonal_naive'").drop("model")
     return j.side_by_side(a, s.filter("model = 'last_value'").drop("model"), ["series_id"])
 
@@ -168,7 +169,7 @@ gap AS (SELECT p.series_id, max(abs(p.y_true - a.y_true)) AS gap, count(a.pos) A
 
 def _sources(spark, sf):
     """One source lacks the series ending in 3 and shifts those ending in 7."""
-    p = predictions(spark, sf)
+    p = settled(predictions(spark, sf), "preds")
     alt = p.filter((F.col("model") == "last_value") & ~F.col("series_id").endswith("3"))
     shift = F.when(F.col("series_id").endswith("7"), 1.0).otherwise(0.0)
     alt = alt.withColumn("y_true", F.col("y_true") + shift)
@@ -282,7 +283,7 @@ def c15(spark, sf):
     from panelkit.plans.ordered import over_rows
 
     ks = [1, 2, 4, 13]
-    p = panels.supplier_panel(spark, sf)
+    p = settled(panels.supplier_panel(spark, sf), "panel")
     rows = over_rows(
         p, ["series_id"], lambda w: {"_l": F.array(*[F.lag("y", k).over(w) for k in ks])}, before=max(ks)
     )

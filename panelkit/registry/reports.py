@@ -21,6 +21,7 @@ from panelkit.registry.common import (
 from panelkit.registry.comparisons import BH, CONFORMAL, DM, PREDS, RANKS, ROLL, _ranks, _rollup, _seeded
 from panelkit.registry.decisions import RUNS_SQL
 from panelkit.registry.decisions import _runs as _flag_runs
+from panelkit.session import settled
 from panelkit.sources import panels
 
 reg = Registry()
@@ -171,7 +172,7 @@ def j5_tests(spark, sf):
 
 
 def _budget(spark, sf):
-    s = backtest.with_grid(scores(spark, sf), fraction=[1.0, 10.0, 100.0])
+    s = backtest.with_grid(settled(scores(spark, sf), "scores"), fraction=[1.0, 10.0, 100.0])
     base = F.col("model") == "last_value"
     s = s.filter(~base | (F.col("fraction") == 1.0))
     s = s.select(
@@ -184,7 +185,8 @@ def _budget(spark, sf):
     st = report.panel_stats(s, keys)
     ref = s.filter("strategy = 'base'").select("series_id", F.col("MASE").alias("_base"))
     d = s.filter("strategy <> 'base'").join(ref, "series_id").withColumn("d", F.col("MASE") - F.col("_base"))
-    tests = stats.signed_rank(d, keys, "d").select(*keys, "p_wilcoxon")
+    d = settled(d, "paired")
+    tests = settled(stats.signed_rank(d, keys, "d").select(*keys, "p_wilcoxon"), "tests")
     tests = stats.holm(tests.withColumn("family", F.lit("all")), ["family"], "p_wilcoxon").drop("family")
     wins = d.groupBy(*keys).agg(F.count_if(F.col("d") < 0).alias("wins"))
     ci = stats.bootstrap_mean(d, keys, "series_id", "d", draws=200)

@@ -5,7 +5,7 @@ from __future__ import annotations
 import tempfile
 import uuid
 
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
 
 
 def builder(app: str = "panelkit", master: str | None = None) -> SparkSession.Builder:
@@ -45,3 +45,16 @@ def shared_dir(spark: SparkSession, name: str) -> str:
     if not root:
         root = tempfile.mkdtemp(prefix="panelkit-")
     return f"{root.rstrip('/')}/{name}-{uuid.uuid4().hex}"
+
+
+def settled(df: DataFrame, name: str = "step") -> DataFrame:
+    """Write ``df`` to the shared folder and return the table read back.
+
+    For results that several branches of a plan use: the branches prune
+    different columns, so Spark would otherwise scan the raw input once per
+    branch.  The written table also cuts the lineage, survives lost executors
+    and prunes columns and row groups.
+    """
+    path = shared_dir(df.sparkSession, name)
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
