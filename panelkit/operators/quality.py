@@ -13,6 +13,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from panelkit.functions.columns import DAY, HOUR, micros, seconds_between, time_bucket
+from panelkit.session import settled
 from panelkit.plans.ordered import (
     chunk_of,
     neighbours,
@@ -536,6 +537,8 @@ def clip_to_window(
     out = idx.join(target.select("series_id", "ts", *columns), ["series_id", "ts"], "left")
     for c in columns:
         out = interpolate(out, limit, value=c)
+    # read twice below: for the verdict and for the rows
+    out = settled(out, "clipped")
     hole = F.lit(False)
     for c in columns:
         hole = hole | F.col(c).isNull()

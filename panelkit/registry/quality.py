@@ -24,6 +24,7 @@ from panelkit.registry.common import (
     segments,
     t,
 )
+from panelkit.session import settled
 from panelkit.sources import panels
 
 reg = Registry()
@@ -275,7 +276,7 @@ def b10(spark, sf):
         .groupBy(F.col("event_type").alias("series_id"), F.date_trunc("hour", "ts").alias("ts"))
         .agg(F.avg(k).alias("temp"))
     )
-    out = q.clip_to_window(target, hourly_panel(spark, sf), ["temp"], min_rows=500)
+    out = q.clip_to_window(settled(target), settled(hourly_panel(spark, sf)), ["temp"], min_rows=500)
     return out.select("series_id", "ts", "pos", "temp", "reject_reason")
 
 

@@ -70,7 +70,7 @@ def sensor_csv(spark: SparkSession, path: str, column: str | None = None) -> Dat
     raw = spark.read.schema(_text_columns(cols)).option("header", True).csv(path)
     return raw.select(
         file_stem().alias("series_id"),
-        F.to_timestamp(F.col(f"`{t}`")).alias("ts"),
+        F.try_to_timestamp(F.col(f"`{t}`")).alias("ts"),
         F.expr(f"try_cast(`{v}` AS double)").alias("y"),
         F.struct(
             F.col("_metadata.file_block_start").alias("block"), F.monotonically_increasing_id().alias("line")
@@ -112,7 +112,7 @@ def weather_csv(
     raw = spark.read.schema(_text_columns(cols)).option("header", True).csv(path)
     return raw.select(
         file_stem().alias("series_id"),
-        F.to_timestamp(F.col(f"`{t}`")).alias("ts"),
+        F.try_to_timestamp(F.col(f"`{t}`")).alias("ts"),
         *[F.expr(f"try_cast(`{c}` AS double)").alias(f"wx_{c}") for c in names],
     )
 
@@ -185,7 +185,7 @@ def api_pages(pages: DataFrame, payload: str = "payload") -> DataFrame:
     )
     return rows.filter("_r.value IS NOT NULL").select(
         "series_id",
-        F.to_timestamp("_r.period.datetimeFrom.utc").alias("ts"),
+        F.try_to_timestamp(F.col("_r.period.datetimeFrom.utc")).alias("ts"),
         F.col("_r.value").alias("y"),
         F.struct("page_seq", F.col("_i").alias("item")).alias("seq"),
         (F.col("found") <= F.col("received")).alias("page_complete"),
@@ -200,7 +200,7 @@ def columnar_payload(pages: DataFrame, variables: Sequence[str], payload: str =
     r = p.select("series_id", F.explode(zipped).alias("_r"))
     return r.select(
         "series_id",
-        F.to_timestamp("_r.time").alias("ts"),
+        F.try_to_timestamp(F.col("_r.time")).alias("ts"),
         *[F.col(f"_r.{v}").alias(f"wx_{v}") for v in variables],
     )
 
