@@ -60,6 +60,8 @@ def main() -> None:
         builder("bench", f"local[{cpus}]")
         .config("spark.sql.shuffle.partitions", cpus)
         .config("spark.driver.memory", "12g")
+        # small tables, many cores: let AQE keep small partitions apart
+        .config("spark.sql.adaptive.coalescePartitions.minPartitionSize", "64k")
         .config("spark.ui.enabled", "false")
         .config("spark.ui.showConsoleProgress", "false")
         .getOrCreate()

@@ -8,7 +8,7 @@ are sums with map-side partials.
 
 from __future__ import annotations
 
-from collections.abc import Callable, Sequence
+from collections.abc import Callable, Iterator, Sequence
 
 import numpy as np
 import pandas as pd
@@ -16,6 +16,8 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from panelkit.session import fanned_out
+
 KEY = ["series_id"]
 
 
@@ -484,9 +486,6 @@ def pooled_trees(
 
 # --- plug-in forecasters ----------------------------------------------------
 
-PLUGIN_SCHEMA = "series_id string, fold int, lead int, y_pred double, error string"
-
-
 def fold_contexts(panel: DataFrame, horizon: int, folds: int, min_train: int, context: int) -> DataFrame:
     """Rows of each fold's context, as (series, fold) groups.
 
@@ -509,32 +508,34 @@ def plugin_forecast(
 ) -> DataFrame:
     """Run any ``f(context_values, horizon) -> values`` per series and fold.
 
-    A failing series yields one row with the error text instead of stopping
-    the job.
+    Each (series, fold) is one row with its context as an array, ``context``
+    values at most; batches of such rows go to Python.  A failing series yields
+    one row with the error text instead of stopping the job.
     """
 
-    def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        sid, fold = pdf["series_id"].iloc[0], int(pdf["fold"].iloc[0])
+    def forecast(values: np.ndarray) -> tuple[list, str | None]:
         try:
-            values = np.asarray(forecaster(pdf.sort_values("pos")["y"].to_numpy(float), horizon), float)
-            if values.shape != (horizon,):
-                raise ValueError(f"expected {horizon} values, got shape {values.shape}")
+            out = np.asarray(forecaster(np.array(values, float), horizon), float)
+            if out.shape != (horizon,):
+                raise ValueError(f"expected {horizon} values, got shape {out.shape}")
+            return out.tolist(), None
         except Exception as exc:
-            return pd.DataFrame(
-                {"series_id": [sid], "fold": [fold], "lead": [None], "y_pred": [None], "error": [str(exc)]}
-            )
-        return pd.DataFrame(
-            {
-                "series_id": sid,
-                "fold": fold,
-                "lead": np.arange(1, horizon + 1),
-                "y_pred": values,
-                "error": None,
-            }
-        )
+            return [], str(exc)
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for pdf in batches:
+            done = [forecast(v) for v in pdf["_y"]]
+            yield pdf[["series_id", "fold"]].assign(y=[v for v, _ in done], error=[e for _, e in done])
 
     ctx = fold_contexts(panel, horizon, folds, min_train, context).select("series_id", "fold", "pos", "y")
-    return ctx.groupBy("series_id", "fold").applyInPandas(run, PLUGIN_SCHEMA)
+    points = F.sort_array(F.collect_list(F.struct("pos", "y")))
+    rows = ctx.groupBy("series_id", "fold").agg(F.transform(points, lambda x: x["y"]).alias("_y"))
+    rows = fanned_out(rows, "series_id", "fold")
+    done = rows.mapInPandas(run, "series_id string, fold int, y array<double>, error string")
+    # a failed row has no values and keeps its error
+    return done.select("series_id", "fold", "error", F.posexplode_outer("y").alias("_i", "y_pred")).select(
+        "series_id", "fold", (F.col("_i") + 1).alias("lead"), "y_pred", "error"
+    )
 
 
 def attach_truth(

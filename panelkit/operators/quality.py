@@ -13,15 +13,8 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from panelkit.functions.columns import DAY, HOUR, micros, seconds_between, time_bucket
+from panelkit.plans.ordered import chunk_of, neighbours, previous, spread, with_position
 from panelkit.session import settled
-from panelkit.plans.ordered import (
-    chunk_of,
-    neighbours,
-    previous,
-    running,
-    spread,
-    with_position,
-)
 
 KEY = ["series_id"]
 SEGMENT_BREAK_HOURS = 48
@@ -67,7 +60,24 @@ def observation_gaps(df: DataFrame, bucket_seconds: int = DAY) -> DataFrame:
     return out.withColumn("gap_s", seconds_between("ts", "_prev")).drop("_b", "_prev")
 
 
-def _sampling(df: DataFrame, minutes: float) -> tuple[DataFrame, DataFrame]:
+def suggest_bucket_seconds(
+    readings: DataFrame, target_rows: int = 1_000_000, widest: int = DAY
+) -> int:
+    """Bucket width that keeps the densest (series, bucket) near ``target_rows``.
+
+    One aggregate over (series, hour) and one scalar on the driver.  Readings
+    are unique per microsecond, so even one-second buckets stay bounded.
+    """
+    cells = readings.groupBy(*KEY, time_bucket("ts", HOUR).alias("_b")).agg(
+        F.count(F.lit(1)).alias("_n")
+    )
+    densest = cells.agg(F.max("_n").alias("m")).first()["m"] or 1
+    return int(max(1, min(widest, HOUR * target_rows // densest)))
+
+
+def _sampling(
+    df: DataFrame, minutes: float, bucket_seconds: int
+) -> tuple[DataFrame, DataFrame]:
     """Rows with their bucket, and one row per (series, bucket) with the verdict.
 
     The test needs no median.  With more than half of the gaps below the limit
@@ -78,7 +88,7 @@ def _sampling(df: DataFrame, minutes: float) -> tuple[DataFrame, DataFrame]:
     """
     limit = minutes * 60.0
     part = [*KEY, "_b"]
-    rows = df.withColumn("_b", time_bucket("ts", DAY))
+    rows = df.withColumn("_b", time_bucket("ts", bucket_seconds))
     inside = rows.withColumn(
         "_g", seconds_between("ts", F.lag("ts").over(Window.partitionBy(*part).orderBy("ts")))
     )
@@ -111,22 +121,26 @@ def _sampling(df: DataFrame, minutes: float) -> tuple[DataFrame, DataFrame]:
     return rows, cells.select(*part, "n_obs", fast.alias("is_subhourly"))
 
 
-def sampling_profile(df: DataFrame, minutes: float = SUBHOURLY_MINUTES) -> DataFrame:
+def sampling_profile(
+    df: DataFrame, minutes: float = SUBHOURLY_MINUTES, bucket_seconds: int = HOUR
+) -> DataFrame:
     """Per series: reading count and whether the median gap is below ``minutes``."""
-    _, cells = _sampling(df, minutes)
+    _, cells = _sampling(df, minutes, bucket_seconds)
     return cells.groupBy(*KEY).agg(
         F.max("n_obs").alias("n_obs"), F.bool_or("is_subhourly").alias("is_subhourly")
     )
 
 
-def resample_subhourly(df: DataFrame, minutes: float = SUBHOURLY_MINUTES) -> DataFrame:
+def resample_subhourly(
+    df: DataFrame, minutes: float = SUBHOURLY_MINUTES, bucket_seconds: int = HOUR
+) -> DataFrame:
     """Hourly means for the series that report faster than hourly.
 
     Other series pass through unchanged.  Input must hold one row per stamp.
     Each row's output stamp is chosen first, so both kinds go through a single
     aggregate with map-side partial means.
     """
-    rows, cells = _sampling(df, minutes)
+    rows, cells = _sampling(df, minutes, bucket_seconds)
     stamp = F.when(F.col("is_subhourly"), F.date_trunc("hour", "ts")).otherwise(F.col("ts"))
     return (
         rows.join(cells, [*KEY, "_b"])
@@ -404,12 +418,14 @@ def window_facts(
     min_rows: int = MIN_ROWS,
     min_cov: float = MIN_COVERAGE,
     step_seconds: int = HOUR,
+    bucket_seconds: int = DAY,
 ) -> DataFrame:
     """Per series: size, bounds and coverage of the cleaned window, and why it fails.
 
     Derived from the bucket rows alone; the filled panel is never produced.
     """
-    _, cells = _filled(keep_longest_segment(readings, break_hours), limit, step_seconds)
+    kept = keep_longest_segment(readings, break_hours, bucket_seconds)
+    _, cells = _filled(kept, limit, step_seconds)
     facts = cells.groupBy("series_id").agg(
         *[F.max(c).alias(c) for c in ("n", "usable_from", "usable_to", "coverage")]
     )
@@ -426,16 +442,19 @@ def usable_window(
     min_rows: int = MIN_ROWS,
     min_cov: float = MIN_COVERAGE,
     step_seconds: int = HOUR,
+    bucket_seconds: int = DAY,
 ) -> DataFrame:
     """The gate: sanitize, de-duplicate, longest segment, fill, accept or drop.
 
     Returns the panel ``series_id, ts, y, is_filled, pos, n``; series that fail
     are absent (``rejected_series`` lists them with the reason).  Rows move
     once for the de-duplication and once on (series, bucket); acceptance and
-    positions are decided on the bucket rows.
+    positions are decided on the bucket rows.  Dense readings want narrower
+    buckets, see ``suggest_bucket_seconds``.
     """
     clean = _gate_input(readings, seq, lo, hi)
-    g, cells = _filled(keep_longest_segment(clean, break_hours), limit, step_seconds)
+    kept = keep_longest_segment(clean, break_hours, bucket_seconds)
+    g, cells = _filled(kept, limit, step_seconds)
     accepted = cells.filter(reject_reason(min_rows, min_cov).isNull())
     return _emit(g, accepted, step_seconds)
 

@@ -18,7 +18,6 @@ from pyspark.sql import functions as F
 
 from panelkit.functions import tails
 from panelkit.functions.columns import hashed_integer
-from panelkit.session import settled
 from panelkit.plans.ordered import (
     group_quantiles,
     over_rows,
@@ -26,6 +25,7 @@ from panelkit.plans.ordered import (
     running_extreme,
     with_position,
 )
+from panelkit.session import fanned_out, settled
 
 ALPHA = 0.05
 ARRAY_LIMIT = 100_000
@@ -437,22 +437,22 @@ def _replicates(
     packed = small.groupBy(*keys, "n").agg(rows.alias("_rows"))
     per = -(-draws // blocks)
     packed = packed.withColumn("_block", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))))
-    packed = packed.repartition(*[F.col(k) for k in keys], F.col("_block"))
-    packed = packed.withColumn(
-        "_rep",
-        F.explode(F.sequence(F.col("_block") * per, F.least(F.lit(draws), (F.col("_block") + 1) * per) - 1)),
-    )
+    packed = fanned_out(packed, *keys, "_block")
+    last = F.least(F.lit(draws), (F.col("_block") + 1) * per) - 1
     zero = F.struct(*[F.lit(0.0).alias(k) for k in terms])
 
-    def add(acc: Column, j: Column) -> Column:
-        at = (hashed_integer(seed, F.col("_rep"), j) % F.col("n")).cast("int")
-        row = F.get("_rows", at)
-        return F.struct(*[(acc[k] + row[k]).alias(k) for k in terms])
+    def replicate(rep: Column) -> Column:
+        def add(acc: Column, j: Column) -> Column:
+            at = (hashed_integer(seed, rep, j) % F.col("n")).cast("int")
+            row = F.get("_rows", at)
+            return F.struct(*[(acc[k] + row[k]).alias(k) for k in terms])
 
-    sums = F.aggregate(F.sequence(F.lit(0), (F.col("n") - 1).cast("int")), zero, add)
-    few = packed.select(*keys, "n", "_rep", sums.alias("_s")).select(
-        *keys, "n", "_rep", *[F.col(f"_s.{k}").alias(k) for k in terms]
-    )
+        total = F.aggregate(F.sequence(F.lit(0), (F.col("n") - 1).cast("int")), zero, add)
+        return F.struct(rep.alias("_rep"), *[total[k].alias(k) for k in terms])
+
+    # one expression per block: the rows are not copied per replicate
+    sums = F.transform(F.sequence(F.col("_block") * per, last), replicate)
+    few = packed.filter(F.col("_block") * per < draws).select(*keys, "n", F.inline(sums))
 
     large = base.filter(F.col("n") > array_limit)
     picks = large.select(
@@ -537,7 +537,7 @@ def block_bootstrap(
     g = diffs.groupBy(*keys).agg(
         F.transform(F.sort_array(F.collect_list(F.struct("pos", "d"))), lambda s: s["d"]).alias("_d")
     )
-    g = g.withColumn("n", F.size("_d"))
+    g = fanned_out(g.withColumn("n", F.size("_d")), *keys)
     usable = g.filter(F.col("n") >= block + 1)
     starts = F.col("n") - block + 1
     blocks = F.ceil(F.col("n") / F.lit(float(block))).cast("int")
@@ -549,17 +549,20 @@ def block_bootstrap(
         lambda acc, x: F.concat(acc, F.array(F.element_at(acc, -1) + x)),
     )
     usable = usable.withColumns({"_prefix": prefix, "_blocks": blocks, "_starts": starts})
-    usable = usable.withColumn("_rep", F.explode(F.sequence(F.lit(0), F.lit(draws - 1))))
-    key_text = F.concat_ws("|", *[F.col(k).cast("string") for k in keys])
-    usable = usable.withColumn("_key", key_text)
+    usable = usable.withColumn("_key", F.concat_ws("|", *[F.col(k).cast("string") for k in keys]))
+
+    def mean_of(rep: Column) -> Column:
+        def block_sum(acc: Column, m: Column) -> Column:
+            pick = hashed_integer(seed, F.col("_key"), block, rep, m) % F.col("_starts")
+            at = pick.cast("int")
+            size = F.least(F.lit(block), F.col("n") - m * block)
+            return acc + F.get("_prefix", at + size) - F.get("_prefix", at)
 
-    def block_sum(acc: Column, m: Column) -> Column:
-        at = (hashed_integer(seed, F.col("_key"), block, F.col("_rep"), m) % F.col("_starts")).cast("int")
-        size = F.least(F.lit(block), F.col("n") - m * block)
-        return acc + F.get("_prefix", at + size) - F.get("_prefix", at)
+        total = F.aggregate(F.sequence(F.lit(0), F.col("_blocks") - 1), F.lit(0.0), block_sum)
+        return total / F.col("n")
 
-    total = F.aggregate(F.sequence(F.lit(0), F.col("_blocks") - 1), F.lit(0.0), block_sum)
-    reps = usable.select(*keys, "n", (total / F.col("n")).alias("_mean"))
+    means = F.transform(F.sequence(F.lit(0), F.lit(draws - 1)), mean_of)
+    reps = usable.select(*keys, "n", F.explode(means).alias("_mean"))
     ci = _percentile_interval(reps, keys, F.col("_mean"), level).drop("n")
     out = g.drop("_d").join(ci, keys, "left").withColumn("block", F.lit(block))
     excludes = (F.col("ci_lo") > 0) | (F.col("ci_hi") < 0)

@@ -58,3 +58,13 @@ def settled(df: DataFrame, name: str = "step") -> DataFrame:
     path = shared_dir(df.sparkSession, name)
     df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
+def fanned_out(df: DataFrame, *columns: str) -> DataFrame:
+    """Hash-partition rows for work that is heavy in CPU but light in bytes.
+
+    An explicit partition count keeps AQE from merging such rows into one task
+    because they are few.
+    """
+    n = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    return df.repartition(n, *columns)
