@@ -453,6 +453,66 @@ def adapted_fit(
     )
 
 
+def transfer_grid(
+    design_rows: DataFrame,
+    pooled: DataFrame,
+    features: Sequence[str],
+    horizon: int,
+    folds: int,
+    min_train: int,
+    fractions: Sequence[float],
+    floor_rows: int,
+    kappa: float = 10.0,
+    alpha: float = 1.0,
+) -> DataFrame:
+    """Transfer and local refit under data budgets, on the same test blocks.
+
+    ``fractions`` are percents of the train rows, most recent first, floored at
+    ``floor_rows``; 0 uses the pooled coefficients as they are.  A train row is
+    emitted once per budget that holds it, so all budgets share one pass.
+    n_train_hours is what a budget really used.
+    """
+    end = first_test_pos(horizon, folds)
+    target_pos = F.col("pos") + F.col("lead")
+
+    def budget(fraction: Column | float) -> Column:
+        return F.greatest(F.floor(end * fraction / 100.0), F.lit(floor_rows))
+
+    positive = [float(f) for f in fractions if f > 0]
+    holds = [F.when(target_pos >= end - budget(f), F.lit(f)) for f in positive]
+    train = design_rows.filter(target_pos < end)
+    train = train.withColumn("fraction", F.explode(F.array_compact(F.array(*holds))))
+    keys = ["series_id", "lead", "fraction"]
+    coef = ["intercept", "beta"]
+    moved = adapted_fit(train, pooled, features, kappa, keys).select(
+        *keys, F.lit("transfer").alias("strategy"), *coef
+    )
+    local = solve_ridge(moments(train, keys, features, "target"), len(features), alpha).select(
+        *keys, F.lit("refit").alias("strategy"), *coef
+    )
+    step = F.col("pos") + 1 - end
+    origins = design_rows.filter((step >= 0) & (step % horizon == 0) & F.col("target").isNotNull())
+    origins = origins.filter(F.col("pos") + 1 > min_train)
+    out = origins.join(moved.unionByName(local), ["series_id", "lead"])
+    if any(f == 0 for f in fractions):
+        # one row per lead
+        zero = origins.join(F.broadcast(pooled.select("lead", *coef)), ["lead"])
+        zero = zero.withColumns({"fraction": F.lit(0.0), "strategy": F.lit("transfer")})
+        out = out.unionByName(zero)
+    used = F.when(F.col("fraction") > 0, F.least(budget(F.col("fraction")), end)).otherwise(F.lit(0))
+    return out.select(
+        "series_id",
+        "strategy",
+        "fraction",
+        F.floor(step / horizon).cast("int").alias("fold"),
+        "lead",
+        target_pos.alias("pos"),
+        F.col("target").alias("y_true"),
+        linear_value(features).alias("y_pred"),
+        used.alias("n_train_hours"),
+    )
+
+
 def pooled_trees(
     train: DataFrame,
     test: DataFrame,

@@ -309,6 +309,71 @@ def e9(spark, sf):
     return out.select("series_id", "lead", "n_rows", F.get("beta", F.lit(0)).alias("beta"), "intercept")
 
 
+GRID_SQL = f"""{SUPPLIER_PANEL}, {TIERS},
+mo AS (SELECT series_id, avg(y) AS mu, coalesce(nullif(stddev_samp(y), 0), 1) AS sd FROM panel WHERE pos < n - 24 GROUP BY series_id),
+zp AS (SELECT p.series_id, p.pos, p.n, m.mu, m.sd, t.tier, CAST(CAST((p.y - m.mu) / m.sd AS FLOAT) AS DOUBLE) AS z
+  FROM panel p JOIN mo m ON m.series_id = p.series_id JOIN tiers t ON t.series_id = p.series_id),
+rows AS (SELECT a.*, g.lead, b.z AS target FROM zp a CROSS JOIN (SELECT unnest([1, 2, 3, 4]) AS lead) g
+  JOIN zp b ON b.series_id = a.series_id AND b.pos = a.pos + g.lead),
+pool AS (SELECT lead, count(*) * covar_pop(z, target) / (count(*) * var_pop(z) + 1.0) AS beta, avg(z) AS mx, avg(target) AS my
+  FROM rows WHERE tier = 'rich' AND pos + lead < n - 24 GROUP BY lead),
+tr AS (SELECT r.*, fr, target - (p.my + p.beta * (r.z - p.mx)) AS res FROM rows r JOIN pool p ON p.lead = r.lead
+  CROSS JOIN (SELECT unnest([1.0, 10.0, 100.0]::DOUBLE[]) AS fr)
+  WHERE tier = 'scarce' AND pos + r.lead < n - 24 AND pos + r.lead >= n - 24 - greatest(CAST(floor((n - 24) * fr / 100.0) AS BIGINT), 27)),
+fits AS (SELECT series_id, lead, fr, 'transfer' AS strategy, count(*) * covar_pop(z, res) / (count(*) * var_pop(z) + 10.0) AS beta, avg(z) AS mx, avg(res) AS my, true AS add
+    FROM tr GROUP BY series_id, lead, fr
+  UNION ALL SELECT series_id, lead, fr, 'refit', CASE WHEN var_pop(z) > 0 THEN count(*) * covar_pop(z, target) / var_pop(z) / (count(*) + 1.0) ELSE 0 END, avg(z), avg(target), false
+    FROM tr GROUP BY series_id, lead, fr),
+orig AS (SELECT * FROM rows WHERE tier = 'scarce' AND pos + 1 >= n - 24 AND (pos + 1 - (n - 24)) % 4 = 0 AND pos + 1 > {MIN_TRAIN}),
+out AS (SELECT o.series_id, f.strategy, f.fr AS fraction, (o.target - (f.my + f.beta * (o.z - f.mx) + CASE WHEN add THEN p.my + p.beta * (o.z - p.mx) ELSE 0 END)) * o.sd AS e,
+    least(greatest(CAST(floor((o.n - 24) * f.fr / 100.0) AS BIGINT), 27), o.n - 24) AS h
+  FROM orig o JOIN fits f ON f.series_id = o.series_id AND f.lead = o.lead JOIN pool p ON p.lead = o.lead
+  UNION ALL SELECT o.series_id, 'transfer', 0, (o.target - (p.my + p.beta * (o.z - p.mx))) * o.sd, 0 FROM orig o JOIN pool p ON p.lead = o.lead)"""
+
+
+@reg.add(
+    "e9_transfer_grid",
+    f"""WITH {GRID_SQL}, {scale_cte(HORIZON, FOLDS, MIN_TRAIN, SEASON)}
+    SELECT o.series_id, strategy, {r("fraction")}, count(*) AS n_points, {r("avg(abs(e)) / any_value(scale)", "MASE")}, max(h) AS n_train_hours
+    FROM out o JOIN scale s ON s.series_id = o.series_id GROUP BY o.series_id, strategy, fraction""",
+)
+def e9_grid(spark, sf):
+    """Pool the rich tier on z-scores; transfer or refit the scarce series at
+    four budgets, on one test window and one scale."""
+    p = panel(spark, sf)
+    end = b.first_test_pos(HORIZON, FOLDS)
+    z = features.zscore(p, end).join(supplier_tiers(spark, sf), "series_id")
+    level = z.select("series_id", "pos", "ts", "n", "tier", "mu_y", "sd_y", F.col("z_y").alias("y"))
+    d = features.design(level, range(1, HORIZON + 1), mode="none", lags=(0,), rolls=(), cal=False)
+    d = settled(d.filter(F.col("target").isNotNull()), "design")
+    target_pos = F.col("pos") + F.col("lead")
+    pooled = settled(b.pooled_fit(d.filter("tier = 'rich'"), ["ylag_0"], target_pos < end), "pooled")
+    scarce = d.filter("tier = 'scarce'")
+    out = b.transfer_grid(
+        scarce, pooled, ["ylag_0"], HORIZON, FOLDS, MIN_TRAIN, (0, 1, 10, 100), LONG + HORIZON + 10
+    )
+    facts = scarce.groupBy("series_id").agg(F.max("sd_y").alias("sd_y"))
+    scale = metrics.mase_scale(p, b.first_train_end(HORIZON, FOLDS, MIN_TRAIN), SEASON)
+    e = F.abs(F.col("y_true") - F.col("y_pred"))
+    g = out.groupBy("series_id", "strategy", "fraction").agg(
+        F.count(F.lit(1)).alias("n_points"), F.avg(e).alias("_mae"), F.max("n_train_hours").alias("n_train_hours")
+    )
+    g = g.join(facts, "series_id").join(scale, "series_id")
+    mase = F.col("_mae") * F.col("sd_y") / F.col("scale")
+    return g.select("series_id", "strategy", "fraction", "n_points", mase.alias("MASE"), "n_train_hours")
+
+
+@reg.add("e8_tree_importance")
+def e8_trees(spark, sf):
+    """Importance of each feature in the pooled trees."""
+    d = _full_design(spark, sf)
+    names = [*FEATURES, "lead"]
+    train = d.filter(F.col("pos") + F.col("lead") < b.first_test_pos(HORIZON, FOLDS))
+    _, weights = b.pooled_trees(train, d, names, max_iter=3, max_depth=3)
+    pairs = list(zip(names, weights))
+    return spark.createDataFrame(pairs, "feature string, importance double").orderBy(F.desc("importance"), "feature")
+
+
 @reg.add(
     "e10_budget_refit",
     f"""WITH {RIDGE_SQL.replace("WHERE pos + lead <", "WHERE pos >= n - 24 - greatest(CAST(floor((n - 24) * 25.0 / 100.0) AS BIGINT), 27) AND pos + lead <")}
