@@ -86,26 +86,28 @@ def design(
     (``cov0_*``), ``"perfect"`` at the target row (``fut_*``, leakage by
     design), ``"none"`` leaves them out.
 
-    The look-ahead rows of an origin come from one bounded frame as an array
-    of ``max(leads)`` structs, exploded afterwards: no join on pos + h.
+    The look-ahead rows of an origin come from bounded leads in the same pass
+    as its lags, then explode: no join on pos + h.
     """
     if mode not in ("causal", "perfect", "none"):
         raise ValueError(f"unknown covariate mode {mode!r}")
-    far = max(leads)
+    leads = [int(h) for h in leads]
     reach = max([0, *lags, *rolls])
     ahead = ["ts", "y", *(covariates if mode == "perfect" else ())]
 
     def columns(w: Window) -> dict[str, Column]:
-        frame = w.rowsBetween(1, far)
+        targets = [
+            F.struct(F.lit(h).alias("lead"), F.lead(F.struct(*ahead), h).over(w).alias("t"))
+            for h in leads
+        ]
         return {
             **lag_columns(w, lags),
             **rolling_columns(w, rolls),
-            "_ahead": F.collect_list(F.struct(*ahead)).over(frame),
+            "_ahead": F.array(*targets),
         }
 
-    d = over_rows(panel, KEY, columns, before=reach, after=far)
-    d = d.withColumn("lead", F.explode(F.array(*[F.lit(int(h)) for h in leads])))
-    d = d.withColumn("_t", F.get(F.col("_ahead"), F.col("lead") - 1))
+    d = over_rows(panel, KEY, columns, before=reach, after=max(leads))
+    d = d.select("*", F.inline("_ahead").alias("lead", "_t")).drop("_ahead")
     d = d.withColumns({"target": F.col("_t.y"), "target_ts": F.col("_t.ts")})
     if cal:
         d = d.withColumns(calendar("target_ts", "futcal_"))
@@ -113,7 +115,7 @@ def design(
         d = d.withColumns({f"fut_{c}": F.col(f"_t.{c}") for c in covariates})
     elif mode == "causal":
         d = d.withColumns({f"cov0_{c}": F.col(c) for c in covariates})
-    drop = ["_ahead", "_t", *(covariates if mode != "none" else ())]
+    drop = ["_t", *(covariates if mode != "none" else ())]
     return d.drop(*drop)
 
 
