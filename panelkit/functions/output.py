@@ -19,7 +19,7 @@ def rounded(df: DataFrame, digits: int = DIGITS) -> DataFrame:
         t = f.dataType.simpleString()
         c = F.col(f"`{f.name}`")
         if t in ("double", "float"):
-            c = F.round(c + F.lit(TIE_SHIFT), digits)
+            c = F.round(c + F.lit(TIE_SHIFT), digits) + F.lit(0.0)
         elif t in ("tinyint", "smallint", "int"):
             c = c.cast("long")
         elif t in ("timestamp", "timestamp_ntz"):

@@ -5,6 +5,7 @@ from __future__ import annotations
 import numpy as np
 from pyspark.sql import functions as F
 
+from panelkit.functions import forecasters
 from panelkit.operators import backtest as b
 from panelkit.operators import features, metrics, report
 from panelkit.operators import decide
@@ -215,12 +216,6 @@ def e6(spark, sf):
     return b.residual_naive(p, effects, ["wx_discount"], HORIZON, FOLDS, MIN_TRAIN, LONG)
 
 
-def _drift(context: np.ndarray, horizon: int) -> np.ndarray:
-    """Last value plus the mean step of the context."""
-    step = (context[-1] - context[0]) / (len(context) - 1)
-    return context[-1] + step * np.arange(1, horizon + 1)
-
-
 @reg.add(
     "e7_plugin_forecaster",
     f"""WITH {SUPPLIER_PANEL}, hist AS (SELECT * FROM panel),
@@ -232,7 +227,7 @@ def _drift(context: np.ndarray, horizon: int) -> np.ndarray:
 )
 def e7(spark, sf):
     p = panel(spark, sf)
-    f = b.plugin_forecast(p, _drift, HORIZON, FOLDS, MIN_TRAIN, context=52)
+    f = b.plugin_forecast(p, forecasters.drift, HORIZON, FOLDS, MIN_TRAIN, context=52)
     return b.attach_truth(f, p, HORIZON, FOLDS, MIN_TRAIN, "drift")
 
 

@@ -43,8 +43,8 @@ class Registry:
 
 
 def r(expr: str, name: str | None = None) -> str:
-    """SQL twin of ``rounded`` for a double."""
-    return f"round(CAST({expr} AS DOUBLE) + 1e-10, 6) AS {name or expr}"
+    """SQL twin of ``rounded`` for a double; adding zero clears the sign of -0."""
+    return f"round(CAST({expr} AS DOUBLE) + 1e-10, 6) + 0.0::DOUBLE AS {name or expr}"
 
 
 def t(expr: str, name: str | None = None) -> str:

@@ -25,7 +25,7 @@ def _cell(v):
     if isinstance(v, bool):
         return str(v)
     if isinstance(v, float):
-        return repr(0.0 if v == 0 else v)
+        return repr(v)
     return f"{type(v).__name__}:{v}"
 
 

@@ -88,3 +88,15 @@ def test_plans_push_down(spark):
     plan = e._jdf.queryExecution().executedPlan().toString()
     scan = [line for line in plan.splitlines() if "FileScan" in line][0]
     assert "user_id" not in scan and "GreaterThanOrEqual(ts" in scan
+
+
+def test_settled_writes_to_the_shared_folder(spark, tmp_path, monkeypatch):
+    from panelkit import session
+
+    seen = []
+    monkeypatch.setattr(session, "shared_dir", lambda s, n: seen.append(n) or str(tmp_path / n))
+    df = spark.range(10).withColumn("x", F.col("id") * 2)
+    out = session.settled(df, "half")
+    assert seen == ["half"] and out.dtypes == df.dtypes
+    assert sorted(map(tuple, out.collect())) == [(i, 2 * i) for i in range(10)]
+    assert (tmp_path / "half" / "_SUCCESS").exists()

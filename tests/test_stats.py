@@ -326,3 +326,23 @@ def test_plugin_failure_is_isolated(frame):
     assert backtest.failures(ok).count() == 0 and ok.count() == 16
     bad = backtest.plugin_forecast(p, f, 4, 2, 0, context=10)
     assert backtest.failures(bad).count() == 4
+
+
+def test_plugin_forecasters_equal_window_ones(frame):
+    from panelkit.functions import forecasters as fc
+
+    rng = np.random.default_rng(2)
+    rows = [(s, i, 60, float(rng.normal())) for s in "ab" for i in range(60)]
+    p = frame("series_id string, pos long, n long, y double", rows).withColumn("ts", F.timestamp_seconds("pos"))
+    key = ["series_id", "fold", "lead", "y_pred"]
+    pairs = [
+        (fc.seasonal(13), backtest.seasonal_naive(p, 4, 3, 20, 13)),
+        (fc.repeat_last, backtest.last_value(p, 4, 3, 20)),
+        (fc.recursive(lambda v: v[-1]), backtest.last_value(p, 4, 3, 20)),
+        (fc.seasonal_average(4), backtest.seasonal_mean(p, 4, 3, 20, 4, 5)),
+    ]
+    for f, want in pairs:
+        got = backtest.plugin_forecast(p, f, 4, 3, 20, context=20).select(*key).orderBy(*key[:3]).collect()
+        ref = want.select(*key).orderBy(*key[:3]).collect()
+        assert [tuple(r)[:3] for r in got] == [tuple(r)[:3] for r in ref]
+        assert [r["y_pred"] for r in got] == pytest.approx([r["y_pred"] for r in ref])
