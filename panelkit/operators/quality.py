@@ -52,7 +52,7 @@ def last_reading(
     return v.groupBy(*keys).agg(F.max_by(value, seq).alias(value))
 
 
-def observation_gaps(df: DataFrame, bucket_seconds: int = DAY) -> DataFrame:
+def observation_gaps(df: DataFrame, bucket_seconds: int = HOUR) -> DataFrame:
     """Seconds since the previous reading of the series (null on the first)."""
     out = previous(
         df.withColumn("_b", time_bucket("ts", bucket_seconds)), KEY, "_b", "ts", {"_prev": "ts"}

@@ -34,8 +34,9 @@ def ensure_utc(spark: SparkSession) -> SparkSession:
 def shared_dir(spark: SparkSession, name: str) -> str:
     """A fresh folder under the cluster's shared checkpoint location.
 
-    The location is read from ``spark.checkpoint.dir``.  Only where the session
-    names none (local tests) is a temporary folder used.
+    The location is read from ``spark.checkpoint.dir``.  Where the session names
+    none, a local session uses a temporary folder; a cluster session is refused,
+    because executors could not see a machine-local folder.
     """
     root = spark.conf.get("spark.checkpoint.dir", None)
     if not root:
@@ -43,6 +44,8 @@ def shared_dir(spark: SparkSession, name: str) -> str:
     if not root:
         root = spark.sparkContext.getCheckpointDir()
     if not root:
+        if not spark.sparkContext.master.startswith("local"):
+            raise RuntimeError("set spark.checkpoint.dir to a folder all executors share")
         root = tempfile.mkdtemp(prefix="panelkit-")
     return f"{root.rstrip('/')}/{name}-{uuid.uuid4().hex}"
 

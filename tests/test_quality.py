@@ -109,3 +109,50 @@ def test_calendar_and_modulus(frame):
 def test_hashed_draws(spark):
     got = spark.range(5).select((hashed_integer(7, F.col("id")) % 29).alias("d"), "id").orderBy("id").collect()
     assert [r["d"] for r in got] == [3, 9, 25, 15, 0]
+
+
+def _hot_and_cold(frame):
+    """One series holds most rows, packed into a few hours."""
+    rng = np.random.default_rng(11)
+    hot = np.sort(rng.choice(6 * 3600, 4000, replace=False))
+    rows = [("hot", T0 + timedelta(seconds=int(s)), float(i % 50 + 1), i) for i, s in enumerate(hot)]
+    for sid in ("cold", "mild"):
+        at = np.cumsum(rng.choice([1, 1, 2, 60], 40))
+        rows += [(sid, T0 + timedelta(hours=int(h)), float(h % 9 + 1), i) for i, h in enumerate(at)]
+    return frame(RAW, rows)
+
+
+@pytest.mark.parametrize("width", [60, 3600, 30 * 86400])
+def test_bucket_width_does_not_change_results(frame, width):
+    """Buckets are a matter of load, never of the answer."""
+    df = _hot_and_cold(frame)
+    plain = df.drop("seq")
+
+    def rows(d):
+        return sorted(map(str, d.collect()))
+
+    wide = 365 * 86400
+    for op in (quality.observation_gaps, quality.sampling_profile, quality.resample_subhourly):
+        assert rows(op(plain, bucket_seconds=width)) == rows(op(plain, bucket_seconds=wide))
+    assert rows(quality.gap_segments(plain, bucket_seconds=width)) == rows(
+        quality.gap_segments(plain, bucket_seconds=wide)
+    )
+    hourly = quality.resample_subhourly(plain).withColumn("seq", F.lit(0))
+    a = quality.usable_window(hourly, min_rows=1, min_cov=0.0, bucket_seconds=width)
+    b = quality.usable_window(hourly, min_rows=1, min_cov=0.0, bucket_seconds=wide)
+    assert rows(a) == rows(b)
+
+
+def test_suggested_buckets_follow_density(frame):
+    df = _hot_and_cold(frame)
+    narrow = quality.suggest_bucket_seconds(df, target_rows=100)
+    assert 60 <= narrow <= 1200
+    assert quality.suggest_bucket_seconds(df, target_rows=10_000_000) == 86400
+
+
+def test_rows_never_meet_a_whole_series_window(spark, frame):
+    """Every window over rows is keyed by the bucket as well as the series."""
+    df = _hot_and_cold(frame)
+    plan = quality.resample_subhourly(df.drop("seq"))._jdf.queryExecution().executedPlan().toString()
+    row_windows = [x for x in plan.splitlines() if " Window " in x and "lag(ts" in x]
+    assert row_windows and all("_b#" in x.split("windowspecdefinition(")[1].split(" ASC")[0] for x in row_windows)
