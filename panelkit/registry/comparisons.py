@@ -305,8 +305,9 @@ RANKS = """ranked AS (SELECT 'all' AS panel, series_id, model, MASE, rank() OVER
     + (count(*) OVER (PARTITION BY series_id, MASE) - 1) / 2.0 AS rk, count(*) OVER (PARTITION BY series_id, MASE) AS tc FROM scores)"""
 
 
-def _ranks(spark, sf):
-    s = scores(spark, sf).withColumn("panel", F.lit("all"))
+def _ranks(spark, sf, known=None):
+    s = scores(spark, sf) if known is None else known
+    s = s.withColumn("panel", F.lit("all"))
     return settled(stats.model_ranks(s, ["panel"], MODELS), "ranks")
 
 

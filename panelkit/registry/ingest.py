@@ -21,6 +21,11 @@ def _stamp(c="ts"):
     return F.date_format(c, "yyyy-MM-dd'T'HH:mm:ss.SSSSSS'Z'")
 
 
+def _page(order):
+    """Consecutive arrivals share a page; a page holds at most 500 readings."""
+    return F.floor(F.col(order) / 500).alias("page_seq")
+
+
 @reg.add("a1_sensor_csv", f"WITH {READINGS} SELECT series_id, {t('ts')}, {r('y')} FROM readings")
 def a1(spark, sf):
     """One folder of files per series is written, then read as one glob."""
@@ -170,9 +175,7 @@ def a8(spark, sf):
             F.struct(F.date_format(F.date_trunc("hour", "ts"), "yyyy-MM-dd'T'HH:mm:ss'Z'").alias("utc")).alias("datetimeFrom")
         ).alias("period"),
     )
-    day = F.datediff("ts", F.lit("2024-01-01").cast("date"))
-    hour_page = (day * 24 + F.hour("ts")).alias("page_seq")
-    pages = e.groupBy("series_id", hour_page).agg(
+    pages = e.groupBy("series_id", _page("seq")).agg(
         F.sort_array(F.collect_list(F.struct("seq", item.alias("item")))).alias("_r")
     )
     body = F.struct(
@@ -205,7 +208,7 @@ def a9(spark, sf):
     rows = F.collect_list(
         F.struct(_stamp().alias("time"), F.col("value"), F.get_json_object("props", "$.k").cast("double").alias("k"))
     ).alias("_r")
-    p = e.groupBy(F.col("event_type").alias("series_id"), F.to_date("ts").alias("day")).agg(rows)
+    p = e.groupBy(F.col("event_type").alias("series_id"), _page("event_id")).agg(rows)
     cols = [
         F.transform("_r", lambda x: x["time"]).alias("time"),
         F.transform("_r", lambda x: x["value"]).alias("value"),

@@ -101,10 +101,10 @@ def j2_raw(spark, sf):
     FROM st LEFT JOIN rk ON rk.model = st.model LEFT JOIN w ON w.model = st.model""",
 )
 def j3(spark, sf):
-    s = scores(spark, sf)
+    s = settled(scores(spark, sf), "scores")
     out = report.accuracy_table(
         report.panel_stats(s, ["model"]),
-        stats.average_ranks(_ranks(spark, sf), ["panel"], len(MODELS)),
+        stats.average_ranks(_ranks(spark, sf, s), ["panel"], len(MODELS)),
         report.oriented_wins(_rollup(spark, sf), "seasonal_mean"),
     )
     return out.drop("critical_difference").fillna(-1, ["ref_wins_fdr", "model_wins_fdr"])
