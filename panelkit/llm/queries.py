@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from panelkit.llm import bpe, licenses, packing, pii, quality, secret_scan
+from panelkit.llm import bpe, jaccard, licenses, packing, pii, quality, secret_scan, substring, topk
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -17,6 +17,15 @@ def _digest(column: str):
     return F.sha2(F.col(column).cast("binary"), 256)
 
 
+def op1_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    kept = substring.kept_words(_table(spark, sf_dir, "documents"))
+    return kept.select("doc_id", "n_words", "n_removed", _digest("kept").alias("kept_sha256"))
+
+
+def op2_top_k(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return topk.top_k(_table(spark, sf_dir, "embeddings"), F.col("vec_id") % 50 == 0)
+
+
 def op4_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = pii.find(_table(spark, sf_dir, "documents"))
     return found.withColumn("base_spans", _digest("base_spans")).withColumnRenamed("base_spans", "base_sha256")
@@ -47,5 +56,15 @@ def op9_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(_table(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json"))
 
 
-QUERIES = {f.__name__: f for f in (op4_pii, op5_secrets, op6_licenses, op7_bpe, op8_quality_rules, op9_packing)}
+def op10_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return jaccard.classes(_table(spark, sf_dir, "documents"))
+
+
+QUERIES = {
+    f.__name__: f
+    for f in (
+        op1_substring_dedup, op2_top_k, op4_pii, op5_secrets, op6_licenses, op7_bpe, op8_quality_rules, op9_packing,
+        op10_jaccard_join,
+    )
+}
 ORACLES: dict[str, str] = {}

@@ -89,10 +89,9 @@ def grams(words: np.ndarray, k: int) -> np.ndarray:
     n = len(words) - k + 1
     if n <= 0:
         return np.empty(0, U)
-    total, step = np.zeros(n, U), U(1)
-    for j in range(k):
+    total = np.zeros(n, U)
+    for j, step in enumerate(_STEPS_UP.upto(k)):
         total += words[j : j + n] * step
-        step *= _STEP
     return mixed(total + U(k))
 
 
