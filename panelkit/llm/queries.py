@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from panelkit.llm import bpe, jaccard, licenses, packing, pii, quality, secret_scan, substring, topk
+from panelkit.llm import bpe, html_text, jaccard, licenses, packing, pii, quality, secret_scan, substring, topk
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -26,6 +26,10 @@ def op2_top_k(spark: SparkSession, sf_dir: str) -> DataFrame:
     return topk.top_k(_table(spark, sf_dir, "embeddings"), F.col("vec_id") % 50 == 0)
 
 
+def op3_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return html_text.extract(_table(spark, sf_dir, "pages"))
+
+
 def op4_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = pii.find(_table(spark, sf_dir, "documents"))
     return found.withColumn("base_spans", _digest("base_spans")).withColumnRenamed("base_spans", "base_sha256")
@@ -63,8 +67,8 @@ def op10_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES = {
     f.__name__: f
     for f in (
-        op1_substring_dedup, op2_top_k, op4_pii, op5_secrets, op6_licenses, op7_bpe, op8_quality_rules, op9_packing,
-        op10_jaccard_join,
+        op1_substring_dedup, op2_top_k, op3_html_extraction, op4_pii, op5_secrets, op6_licenses, op7_bpe,
+        op8_quality_rules, op9_packing, op10_jaccard_join,
     )
 }
 ORACLES: dict[str, str] = {}
