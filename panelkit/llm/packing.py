@@ -17,8 +17,11 @@ Defined cases: a null text is an empty one, its only token is the end id; a null
 
 from __future__ import annotations
 
+import re
 import zlib
+from array import array
 from collections.abc import Iterator
+from operator import add
 
 import numpy as np
 import pyarrow as pa
@@ -26,12 +29,13 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 
 from panelkit.llm.arrow import arrow_schema, ddl, slices
+from panelkit.llm.memo import Memo
 
 WINDOW = 2048
 END_ID = 1
 BLOCK_TOKENS = 4_000_000
-#: Most entries in a task's table of known chunks; beyond it the table starts anew.
-KNOWN_CHUNKS = 400_000
+#: Chunks, and runs of letters, in a generation of a task's tables.
+KNOWN_CHUNKS = 200_000
 
 OUT = {
     "doc_id": "long", "start": "long", "length": "long", "ids_crc32": "long", "doc_tokens": "long",
@@ -39,11 +43,24 @@ OUT = {
 }
 
 
+#: Chunks that one letter run and one run of marks make up; their letters are the same in all normal forms.
+_SIMPLE = re.compile(r"([A-Za-zÀ-ÖØ-öø-ÿ]*)([!-&(-/:-@\[-`{-~]*)").fullmatch
+
+
+def _byte_characters() -> dict[int, str]:
+    """The characters that stand for bytes in a byte-level vocabulary: printable ones for themselves, the rest from 256 on."""
+    plain = [*range(33, 127), *range(161, 173), *range(174, 256)]
+    rest = [b for b in range(256) if b not in plain]
+    return {b: chr(b) for b in plain} | {b: chr(256 + i) for i, b in enumerate(rest)}
+
+
 class ChunkTokenizer:
     """Token ids of a text, chunk by chunk.
 
     The vocabulary's tokenizer never joins across white space, so a text's ids are
-    those of its white-space-separated chunks; ids of chunks seen before are kept.
+    those of its white-space-separated chunks; ids of chunks seen lately are kept.
+    Chunks of plain letters and marks are lower-cased and cut here and go to the
+    tokenizer's model at once; all others take its whole way.
     """
 
     def __init__(self, path: str) -> None:
@@ -51,21 +68,32 @@ class ChunkTokenizer:
 
         self.tokenizer = Tokenizer.from_file(path)
         self.tokenizer.encode_special_tokens = True
-        self.known: dict[bytes, bytes] = {}
+        self.model = self.tokenizer.model
+        # as a Latin-1 string holds its UTF-8 bytes, so each byte's character can be put in by translate()
+        self.characters = _byte_characters()
+        self.chunks = Memo(self._chunks, KNOWN_CHUNKS)
+        self.runs = Memo(self._runs, KNOWN_CHUNKS)
+
+    def _runs(self, runs: list[str]) -> list[bytes]:
+        tokenize, characters = self.model.tokenize, self.characters
+        own = (run if run.isascii() else run.encode().decode("latin-1").translate(characters) for run in runs)
+        return [array("I", [t.id for t in tokenize(run)]).tobytes() for run in own]
+
+    def _chunks(self, chunks: list[bytes]) -> list[bytes]:
+        texts = [c.decode() for c in chunks]
+        cut = list(map(_SIMPLE, texts))
+        letters = [m[1].lower() for m in cut if m]
+        marks = [m[2] for m in cut if m]
+        runs = self.runs.values(set(letters).union(marks))
+        simple = map(add, map(runs.__getitem__, letters), map(runs.__getitem__, marks))
+        others = [t for t, m in zip(texts, cut, strict=True) if not m]
+        whole = (array("I", e.ids).tobytes() for e in self.tokenizer.encode_batch(others, add_special_tokens=False))
+        return [next(simple if m else whole) for m in cut]
 
     def __call__(self, texts: list[str | None]) -> list[np.ndarray]:
-        chunks = [t.encode().split() if t else [] for t in texts]
-        missing = list({c for own in chunks for c in own if c not in self.known})
-        if len(self.known) + len(missing) > KNOWN_CHUNKS:
-            self.known = {}
-            missing = list({c for own in chunks for c in own})
-        for at in range(0, len(missing), 20_000):
-            part = missing[at : at + 20_000]
-            found = self.tokenizer.encode_batch([c.decode() for c in part], add_special_tokens=False)
-            for chunk, encoding in zip(part, found, strict=True):
-                self.known[chunk] = np.array(encoding.ids, np.uint32).tobytes()
-        known = self.known
-        return [np.frombuffer(b"".join([known[c] for c in own]), np.uint32) for own in chunks]
+        cut = [t.encode().split() if t else [] for t in texts]
+        known = self.chunks.values(set().union(*cut))
+        return [np.frombuffer(b"".join(map(known.__getitem__, own)), np.uint32) for own in cut]
 
 
 class OpenWindows:
