@@ -90,19 +90,28 @@ def seasonal_naive(
 ) -> DataFrame:
     """The value one long season (in rows) before the target.
 
-    A history shorter than the season repeats its last value.
+    A fold whose history is shorter than the season repeats the value at its origin.
     """
     if horizon > long_season:
         raise ValueError("horizon must not exceed the long season")
     r = recent_rows(panel, horizon, folds, long_season)
     # bounded partition: folds * horizon + long_season rows per series
     w = Window.partitionBy(*KEY).orderBy("pos")
-    last_train = F.last(F.when(F.col("pos") < first_test_pos(horizon, folds), F.col("y")), True)
-    r = r.withColumns(
-        {"_lag": F.lag("y", long_season).over(w), "_last": last_train.over(w)}
-    )
+    r = r.withColumns({"_lag": F.lag("y", long_season).over(w), "_origin": _at_origin(horizon, folds, w)})
     t = test_rows(r, horizon, folds, min_train)
-    return _as_predictions(t.withColumn("y_pred", F.coalesce("_lag", "_last")), model)
+    return _as_predictions(t.withColumn("y_pred", _naive_value("_lag", "_origin", long_season)), model)
+
+
+def _at_origin(horizon: int, folds: int, w: Window) -> Column:
+    """The value at the origin of a test row's fold, over the rows of a series in order."""
+    into = F.col("pos") - first_test_pos(horizon, folds)
+    past = w.rowsBetween(Window.unboundedPreceding, -1)
+    return F.last(F.when((into + 1) % horizon == 0, F.col("y")), True).over(past)
+
+
+def _naive_value(lagged: str, origin: str, long_season: int) -> Column:
+    train_end = F.col("pos") - F.col("lead") + 1
+    return F.when(train_end >= long_season, F.col(lagged)).otherwise(F.col(origin))
 
 
 def seasonal_mean(
@@ -136,10 +145,8 @@ def last_value(
 ) -> DataFrame:
     """The value at each fold's origin."""
     r = recent_rows(panel, horizon, folds, 1)
-    into = F.col("pos") - first_test_pos(horizon, folds)
-    w = Window.partitionBy(*KEY).orderBy("pos").rowsBetween(Window.unboundedPreceding, -1)
-    at_origin = F.last(F.when((into + 1) % horizon == 0, F.col("y")), True).over(w)
-    t = test_rows(r.withColumn("y_pred", at_origin), horizon, folds, min_train)
+    w = Window.partitionBy(*KEY).orderBy("pos")
+    t = test_rows(r.withColumn("y_pred", _at_origin(horizon, folds, w)), horizon, folds, min_train)
     return _as_predictions(t, model)
 
 
@@ -161,14 +168,11 @@ def baselines(
         raise ValueError("horizon must not exceed the long season")
     r = recent_rows(panel, horizon, folds, max(long_season, season * cycles))
     w = Window.partitionBy(*KEY).orderBy("pos")
-    past = w.rowsBetween(Window.unboundedPreceding, -1)
-    into = F.col("pos") - first_test_pos(horizon, folds)
     steps = [season * j for j in range(1, cycles + 1)]
     r = r.select(
         "*",
         F.lag("y", long_season).over(w).alias("_naive"),
-        F.last(F.when(into < 0, F.col("y")), True).over(w).alias("_last_train"),
-        F.last(F.when((into + 1) % horizon == 0, F.col("y")), True).over(past).alias("_origin"),
+        _at_origin(horizon, folds, w).alias("_origin"),
         *[F.lag("y", k).over(w).alias(f"_l{k}") for k in steps],
     )
     t = test_rows(r, horizon, folds, min_train)
@@ -179,7 +183,7 @@ def baselines(
     items = [
         F.struct(F.lit(m).alias("model"), c.alias("y_pred"))
         for m, c in (
-            ("seasonal_naive", F.coalesce("_naive", "_last_train")),
+            ("seasonal_naive", _naive_value("_naive", "_origin", long_season)),
             ("seasonal_mean", mean),
             ("last_value", F.col("_origin")),
         )
@@ -193,23 +197,24 @@ def baselines(
 # --- linear models from sums ------------------------------------------------
 
 
-def moment_columns(features: Sequence[str], target: str) -> dict[str, Column]:
-    """Count, sums and cross products that determine a linear fit."""
+def moment_columns(features: Sequence[str], target: str) -> Column:
+    """Count, means and centred cross products that determine a linear fit, as one array.
+
+    Spark's covariance updates and merges about running means, so a large offset of
+    the values costs no digits.
+    """
     x = [F.col(f).cast("double") for f in features]
     y = F.col(target).cast("double")
-    out = {"m_n": F.count(F.lit(1)).cast("double"), "m_y": F.sum(y), "m_yy": F.sum(y * y)}
-    for i, a in enumerate(x):
-        out[f"m_x{i}"] = F.sum(a)
-        out[f"m_x{i}y"] = F.sum(a * y)
-        for j in range(i, len(x)):
-            out[f"m_x{i}x{j}"] = F.sum(a * x[j])
-    return out
+    n = F.count(F.lit(1)).cast("double")
+    pairs = [(x[i], x[j]) for i in range(len(x)) for j in range(i, len(x))]
+    cross = [n * F.covar_pop(a, b) for a, b in [*((a, y) for a in x), *pairs]]
+    return F.array(n, F.avg(y), *[F.avg(a) for a in x], *cross)
 
 
 def moments(df: DataFrame, keys: Sequence[str], features: Sequence[str], target: str) -> DataFrame:
-    """One aggregate over complete rows; partial sums before the shuffle."""
+    """One aggregate over complete rows; partial moments before the shuffle."""
     rows = df.dropna(subset=[*features, target])
-    return rows.groupBy(*keys).agg(*[c.alias(k) for k, c in moment_columns(features, target).items()])
+    return rows.groupBy(*keys).agg(F.array(moment_columns(features, target)).alias("m_parts"))
 
 
 def moments_by_fold(
@@ -220,20 +225,21 @@ def moments_by_fold(
     first_fold: Column,
     folds: int,
 ) -> DataFrame:
-    """Cumulative moments: fold f sums every row usable by fold f or earlier.
+    """Cumulative moments: fold f holds every row usable by fold f or earlier.
 
-    Each row is summed once, at the first fold that may train on it; those sums
-    (at most ``folds`` rows per key) are then passed on to the later folds.
+    Each row is reduced once, at the first fold that may train on it; those moments
+    (at most ``folds`` arrays per key) are then passed on to the later folds and
+    merged by the solver.
     """
     rows = df.withColumn("fold", first_fold).filter(F.col("fold") < folds)
     m = moments(rows, [*keys, "fold"], features, target)
-    names = [c for c in m.columns if c.startswith("m_")]
     m = m.withColumn("fold", F.explode(F.sequence("fold", F.lit(folds - 1))))
-    return m.groupBy(*keys, "fold").agg(*[F.sum(n).alias(n) for n in names])
+    return m.groupBy(*keys, "fold").agg(F.flatten(F.collect_list("m_parts")).alias("m_parts"))
 
 
 _FIT = T.StructType(
     [
+        T.StructField("n_rows", T.DoubleType()),
         T.StructField("intercept", T.DoubleType()),
         T.StructField("beta", T.ArrayType(T.DoubleType())),
         T.StructField("mean_x", T.ArrayType(T.DoubleType())),
@@ -241,54 +247,58 @@ _FIT = T.StructType(
 )
 
 
+def merged_moments(parts: np.ndarray, k: int) -> tuple[float, float, np.ndarray, np.ndarray, np.ndarray]:
+    """Count, mean of y, means of x, cross products with y and among x of all parts together."""
+    n = parts[:, 0].sum()
+    share = parts[:, :1] / n
+    my, mx = float((share[:, 0] * parts[:, 1]).sum()), (share * parts[:, 2 : 2 + k]).sum(axis=0)
+    dy, dx = parts[:, 1] - my, parts[:, 2 : 2 + k] - mx
+    weighted = parts[:, :1] * dx
+    xy = parts[:, 2 + k : 2 + 2 * k].sum(axis=0) + weighted.T @ dy
+    gram = np.zeros((k, k))
+    gram[np.triu_indices(k)] = parts[:, 2 + 2 * k :].sum(axis=0)
+    gram = gram + np.triu(gram, 1).T + weighted.T @ dx
+    return n, my, mx, xy, gram
+
+
 def solve_ridge(
     sums: DataFrame,
     n_features: int,
     alpha: float = 1.0,
     min_rows: int = 1,
     standardise: bool = True,
+    flat_mean: bool = True,
 ) -> DataFrame:
     """Ridge coefficients from moment rows, on the raw feature scale.
 
     Features are standardised with the population deviation (0 counts as 1),
-    the intercept is not penalised.  Keys with fewer than ``min_rows`` rows or
-    without any spread get zero coefficients and a zero intercept.  The solve is a k x k system per row,
-    done batch-wise on already aggregated rows.
+    the intercept is not penalised.  A feature without spread has no effect; a key
+    whose features all lack it is fit by the mean of its target (``flat_mean``) or by
+    zero, as is a key of fewer than ``min_rows`` rows always.  The solve is a k x k
+    system per row, done batch-wise on already aggregated rows.
     """
     k = n_features
-    names = [c for c in sums.columns if c.startswith("m_")]
-    at = {n: i for i, n in enumerate(names)}
-    ix = [at[f"m_x{i}"] for i in range(k)]
-    ixy = [at[f"m_x{i}y"] for i in range(k)]
-    pairs = [(i, j, at[f"m_x{i}x{j}"]) for i in range(k) for j in range(i, k)]
 
     @F.pandas_udf(_FIT)
     def fit(m: pd.Series) -> pd.DataFrame:
-        a = np.vstack(m.to_numpy()).astype(float)
-        n = np.maximum(a[:, at["m_n"]], 1.0)
-        mx = a[:, ix] / n[:, None]
-        my = a[:, at["m_y"]] / n
-        gram = np.empty((len(a), k, k))
-        for i, j, c in pairs:
-            gram[:, i, j] = gram[:, j, i] = a[:, c] - n * mx[:, i] * mx[:, j]
-        xy = a[:, ixy] - n[:, None] * mx * my[:, None]
+        merged = [merged_moments(np.vstack(list(p)).astype(float), k) for p in m]
+        n, my = (np.array([r[i] for r in merged], float) for i in (0, 1))
+        mx, xy, gram = (np.array([r[i] for r in merged]) for i in (2, 3, 4))
         var = np.maximum(np.einsum("nii->ni", gram) / n[:, None], 0.0)
-        flat = var <= 1e-12 * np.maximum(mx * mx, 1e-12)
+        flat = var <= 1e-24 * mx * mx
         sd = np.where(flat, 1.0, np.sqrt(var)) if standardise else np.ones_like(var)
         z = gram / (sd[:, :, None] * sd[:, None, :])
         z[np.repeat(flat[:, :, None], k, 2) | np.repeat(flat[:, None, :], k, 1)] = 0.0
         rhs = np.where(flat, 0.0, xy / sd)
         beta = np.linalg.solve(z + alpha * np.eye(k), rhs[:, :, None])[:, :, 0] / sd
-        usable = (a[:, at["m_n"]] >= min_rows) & ~flat.all(axis=1)
+        enough = n >= min_rows
+        usable = enough & ~flat.all(axis=1)
         beta = np.where(usable[:, None], beta, 0.0)
-        level = np.where(usable, my - (beta * mx).sum(axis=1), 0.0)
-        return pd.DataFrame({"intercept": level, "beta": list(beta), "mean_x": list(mx)})
+        level = np.where(usable, my - (beta * mx).sum(axis=1), np.where(enough & flat_mean, my, 0.0))
+        return pd.DataFrame({"n_rows": n, "intercept": level, "beta": list(beta), "mean_x": list(mx)})
 
-    keys = [c for c in sums.columns if not c.startswith("m_")]
-    packed = F.array(*[F.col(n) for n in names])
-    return sums.select(*keys, "m_n", fit(packed).alias("fit")).select(
-        *keys, F.col("m_n").alias("n_rows"), "fit.intercept", "fit.beta", "fit.mean_x"
-    )
+    keys = [c for c in sums.columns if c != "m_parts"]
+    return sums.select(*keys, fit("m_parts").alias("fit")).select(*keys, "fit.n_rows", "fit.intercept", "fit.beta", "fit.mean_x")
 
 
 def linear_value(features: Sequence[str]) -> Column:
@@ -360,7 +370,7 @@ def covariate_effect(
     into = F.col("pos") - first_test_pos(horizon, folds)
     first = F.when(into < 0, F.lit(0)).otherwise(F.floor(into / horizon) + 1).cast("int")
     sums = moments_by_fold(panel, KEY, features, "y", first, folds)
-    return solve_ridge(sums, len(features), alpha, min_rows)
+    return solve_ridge(sums, len(features), alpha, min_rows, flat_mean=False)
 
 
 def residual_naive(
@@ -523,13 +533,14 @@ def pooled_trees(
 ):
     """Pooled gradient-boosted trees; lead is one of the features.
 
-    Fit by the ML library over all series at once.  Returns the scored test
-    rows and the feature importances in feature order.
+    Fit by the ML library over all series at once, on complete rows.  Returns the
+    test rows with ``y_pred`` and the feature importances in feature order; a test row
+    with a missing feature has no prediction and says so in ``reason``.
     """
     from pyspark.ml.feature import VectorAssembler
     from pyspark.ml.regression import GBTRegressor
 
-    va = VectorAssembler(inputCols=list(features), outputCol="_features", handleInvalid="skip")
+    va = VectorAssembler(inputCols=list(features), outputCol="_features")
     gbt = GBTRegressor(
         featuresCol="_features",
         labelCol="target",
@@ -539,8 +550,15 @@ def pooled_trees(
         seed=seed,
         subsamplingRate=0.8,
     )
-    fitted = gbt.fit(va.transform(train.dropna(subset=["target"])))
-    scored = fitted.transform(va.transform(test)).drop("_features")
+    fitted = gbt.fit(va.transform(train.dropna(subset=["target", *features])))
+    missing = F.array_compact(F.array(*[F.when(F.col(f).isNull() | F.isnan(F.col(f).cast("double")), F.lit(f)) for f in features]))
+    judged = test.withColumn("_missing", missing)
+    whole = judged.filter(F.size("_missing") == 0)
+    scored = fitted.transform(va.transform(whole)).drop("_features").withColumn("reason", F.lit(None).cast("string"))
+    left = judged.filter(F.size("_missing") > 0).withColumns(
+        {"y_pred": F.lit(None).cast("double"), "reason": F.concat(F.lit("missing "), F.array_join("_missing", ", "))}
+    )
+    scored = scored.unionByName(left).drop("_missing")
     return scored, [float(v) for v in fitted.featureImportances.toArray()]
 
 

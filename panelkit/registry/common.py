@@ -216,8 +216,6 @@ def baseline_preds(
     seen = ", ".join(f"CASE WHEN lead <= {s} THEN l{s} END" for s in steps)
     return f"""hist AS (
   SELECT *, lag(y, {long_season}) OVER w AS naive,
-    last_value(CASE WHEN pos < n - {k * horizon} THEN y END IGNORE NULLS) OVER (
-      PARTITION BY series_id ORDER BY pos ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS last_train,
     last_value(CASE WHEN (pos - (n - {k * horizon}) + 1) % {horizon} = 0 THEN y END IGNORE NULLS) OVER (
       PARTITION BY series_id ORDER BY pos ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS origin,
     {lags}
@@ -225,7 +223,7 @@ def baseline_preds(
 {folds(horizon, k, min_train)},
 preds AS (
   SELECT series_id, 'seasonal_naive' AS model, fold, lead, pos, ts, y AS y_true,
-    coalesce(naive, last_train) AS y_pred FROM test
+    CASE WHEN pos - lead + 1 >= {long_season} THEN naive ELSE origin END AS y_pred FROM test
   UNION ALL
   SELECT series_id, 'seasonal_mean', fold, lead, pos, ts, y, list_avg([{seen}]) FROM test
   UNION ALL
