@@ -13,6 +13,7 @@ value; repeated rows and null ``doc_id`` are carried; extra columns are left out
 from __future__ import annotations
 
 import base64
+from array import array
 from heapq import heapify, heappop, heappush
 
 import numpy as np
@@ -20,10 +21,11 @@ import regex
 from pyspark.sql import DataFrame
 
 from panelkit.llm.arrow import map_slices
+from panelkit.llm.memo import Memo
 from panelkit.llm.words import U, bytes_hashes, mixed
 
-#: Most pre-tokens whose ids a task remembers; beyond it the table starts anew.
-KNOWN_PIECES = 400_000
+#: Pre-tokens in a generation of a task's table.
+KNOWN_PIECES = 250_000
 _SEED = U(0xA24BAED4963EE407)
 
 
@@ -124,22 +126,17 @@ class Encoder:
         self.tokens, self.table = tokens, table
         self.cut = regex.compile(pattern).findall
         self.ranks = {t: i for i, t in enumerate(tokens)}
-        self.known: dict[str, bytes] = {}
+        self.known = Memo(self._ids, KNOWN_PIECES)
 
-    def _learn(self, pieces: list[str]) -> None:
+    def _ids(self, pieces: list[str]) -> list[bytes]:
         raw = [p.encode() for p in pieces]
-        for piece, own, found in zip(pieces, raw, self.table.lookup(raw).tolist(), strict=True):
-            ids = [found] if self.tokens[found] == own else merge(own, self.ranks)
-            self.known[piece] = np.array(ids, "<u4").tobytes()
+        found = zip(raw, self.table.lookup(raw).tolist(), strict=True)
+        return [array("I", [i] if self.tokens[i] == own else merge(own, self.ranks)).tobytes() for own, i in found]
 
     def __call__(self, texts: list[str | None]) -> list[bytes]:
         cut = [self.cut(t) if t else [] for t in texts]
-        missing = set().union(*cut).difference(self.known)
-        if len(self.known) + len(missing) > KNOWN_PIECES:
-            self.known = {}
-            missing = set().union(*cut)
-        self._learn(list(missing))
-        return [b"".join(map(self.known.__getitem__, pieces)) for pieces in cut]
+        known = self.known.values(set().union(*cut))
+        return [b"".join(map(known.__getitem__, pieces)) for pieces in cut]
 
 
 def encode(docs: DataFrame, vocabulary: str, pattern: str) -> DataFrame:
