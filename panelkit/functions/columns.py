@@ -92,3 +92,9 @@ def hashed_normal(*parts: Column | int | str) -> Column:
     """Standard normal draw by Box-Muller on two hashed uniforms."""
     u, v = hashed_uniform(*parts, "u"), hashed_uniform(*parts, "v")
     return F.sqrt(F.lit(-2.0) * F.log(u)) * F.cos(F.lit(6.283185307179586) * v)
+
+
+def significant(value: Column, size: Column, digits: int = 12) -> Column:
+    """``value`` on the decimal grid of so many digits of ``size``, the typical magnitude of what it was made of."""
+    scale = F.pow(F.lit(10.0), digits - F.ceil(F.log10(F.when(size > 0, size))))
+    return F.when(size == 0, F.lit(0.0)).otherwise(F.round(value * scale) / scale)

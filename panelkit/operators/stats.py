@@ -17,10 +17,9 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from panelkit.functions import tails
-from panelkit.functions.columns import hashed_integer
+from panelkit.functions.columns import hashed_integer, significant
 from panelkit.plans.ordered import (
     group_quantiles,
-    over_rows,
     ranked_values,
     running_extreme,
     with_position,
@@ -87,18 +86,17 @@ def dm_statistics(
 
     Autocovariances up to lag h - 1 average over the n - k available pairs and
     get Bartlett weights; the Harvey-Leybourne-Newbold factor corrects for
-    small samples.  Lagged losses come from one bounded look-back; lag products
-    are summed with map-side partials, so n is not limited.
+    small samples.  Lags count the rows that hold all models, so a position that
+    lacks one closes up, wherever it lies.  A series has folds * horizon rows at
+    most, which is what its window holds; all lags of a pair are summed in one
+    aggregate, with map-side partials and no row per lag.
     """
     wide = losses_wide(preds, models, loss)
+    w = Window.partitionBy("series_id").orderBy("pos")
     lags = range(0, max(h, 1))
-
-    def lagged(w: Window) -> dict[str, Column]:
-        return {
-            f"_l_{m}": F.array(*[F.lag(f"loss_{m}", k).over(w) for k in lags]) for m in models
-        }
-
-    rows = over_rows(wide, ["series_id"], lagged, before=max(h, 1) - 1)
+    rows = wide.select(
+        "series_id", *[F.array(*[F.lag(f"loss_{m}", k).over(w) for k in lags]).alias(f"_l_{m}") for m in models]
+    )
     items = [
         F.struct(
             F.lit(a).alias("model_a"),
@@ -107,25 +105,34 @@ def dm_statistics(
         )
         for a, b in (pairs or model_pairs(models))
     ]
-    rows = rows.select("series_id", F.inline(F.array(*items)))
-    rows = rows.select(
-        *PAIR, F.get("dk", F.lit(0)).alias("d"), F.posexplode("dk").alias("k", "lag_d")
-    ).filter(F.col("lag_d").isNotNull())
-    by_lag = rows.groupBy(*PAIR, "k").agg(
-        F.count(F.lit(1)).alias("c"),
-        F.sum("d").alias("sa"),
-        F.sum("lag_d").alias("sb"),
-        F.sum(F.col("d") * F.col("lag_d")).alias("s"),
-    )
-    k, c = F.col("k"), F.col("c")
-    weight = F.when(k == 0, 1.0).otherwise(2.0 * (1.0 - k / float(max(h, 1))))
-    g = by_lag.groupBy(*PAIR).agg(
-        F.max(F.when(k == 0, c)).alias("n"),
-        F.max(F.when(k == 0, F.col("sa") / c)).alias("mean_loss_diff"),
-        F.max(F.when(k == 0, F.col("s") / c)).alias("_ms"),
-        F.sum(weight * F.col("s") / c).alias("_ss"),
-        F.sum(weight * (F.col("sa") + F.col("sb")) / c).alias("_cross"),
-        F.sum(weight).alias("_w"),
+    rows = rows.select("series_id", F.inline(F.array(*items))).withColumn("d", F.get("dk", F.lit(0)))
+    sums = []
+    for k in lags:
+        back = F.get("dk", F.lit(k))
+        sums += [
+            F.count(back).alias(f"_c{k}"),
+            F.sum(F.when(back.isNotNull(), F.col("d"))).alias(f"_a{k}"),
+            F.sum(back).alias(f"_b{k}"),
+            F.sum(F.col("d") * back).alias(f"_s{k}"),
+        ]
+    g = rows.groupBy(*PAIR).agg(*sums)
+
+    def weighted(value) -> Column:
+        """Sum over the lags that have pairs, with their Bartlett weights."""
+        total = F.lit(0.0)
+        for k in lags:
+            weight = 1.0 if k == 0 else 2.0 * (1.0 - k / float(max(h, 1)))
+            total = total + F.when(F.col(f"_c{k}") > 0, weight * value(k)).otherwise(0.0)
+        return total
+
+    g = g.select(
+        *PAIR,
+        F.col("_c0").alias("n"),
+        (F.col("_a0") / F.col("_c0")).alias("mean_loss_diff"),
+        (F.col("_s0") / F.col("_c0")).alias("_ms"),
+        weighted(lambda k: F.col(f"_s{k}") / F.col(f"_c{k}")).alias("_ss"),
+        weighted(lambda k: (F.col(f"_a{k}") + F.col(f"_b{k}")) / F.col(f"_c{k}")).alias("_cross"),
+        weighted(lambda k: F.lit(1.0)).alias("_w"),
     )
     m, n = F.col("mean_loss_diff"), F.col("n").cast("double")
     var = (F.col("_ss") - m * F.col("_cross") + m * m * F.col("_w")) / n
@@ -586,10 +593,10 @@ def trajectory_tests(diffs: DataFrame, folds: int, horizon: int) -> DataFrame:
 def lead_tests(diffs: DataFrame) -> DataFrame:
     """Mean difference per series and lead, then signed-rank across series.
 
-    The means are rounded far below any reported digit: whether two of them tie
-    must not depend on the order in which a task summed them.
+    The means are rounded to twelve digits of the mean |d|: whether two of them tie,
+    or one is zero, must not depend on the order in which a task summed them.
     """
-    lead = diffs.groupBy(*PAIR, "lead").agg(F.round(F.avg("d"), 10).alias("d"))
+    lead = diffs.groupBy(*PAIR, "lead").agg(significant(F.avg("d"), F.avg(F.abs("d"))).alias("d"))
     keys = ["model_a", "model_b", "lead"]
     counts = lead.groupBy(*keys).agg(
         F.avg("d").alias("mean_diff"),

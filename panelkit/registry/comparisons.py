@@ -449,7 +449,9 @@ def g20(spark, sf):
     return stats.trajectory_tests(_diffs(spark, sf), FOLDS, HORIZON)
 
 
-LEADS = """lead_d AS (SELECT series_id, model_a, model_b, lead, round(avg(d), 10) AS d FROM diffs GROUP BY ALL),
+LEADS = """lead_m AS (SELECT series_id, model_a, model_b, lead, avg(d) AS m, avg(abs(d)) AS size FROM diffs GROUP BY ALL),
+lead_d AS (SELECT series_id, model_a, model_b, lead, CASE WHEN size = 0 THEN 0.0 ELSE
+    round(m * pow(10.0, 12 - ceil(log10(CASE WHEN size > 0 THEN size END)))) / pow(10.0, 12 - ceil(log10(CASE WHEN size > 0 THEN size END))) END AS d FROM lead_m),
 lead_c AS (SELECT model_a, model_b, lead, avg(d) AS mean_diff, count_if(d < 0) AS n_favouring_a, count_if(d > 0) AS n_favouring_b FROM lead_d GROUP BY ALL)"""
 
 

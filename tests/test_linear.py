@@ -8,7 +8,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from panelkit.operators import backtest
+from panelkit.operators import backtest, stats
 
 
 def dense(x, y, alpha):
@@ -73,3 +73,42 @@ def test_short_history_repeats_each_folds_origin(frame):
 def test_history_that_reaches_the_season_uses_it(frame):
     got = backtest.seasonal_naive(short_panel(frame, 30), 2, 3, 0, long_season=26).orderBy("pos").collect()
     assert [r["y_pred"] for r in got] == [23.0, 23.0, 0.0, 1.0, 2.0, 3.0]
+
+
+def predictions(n, missing=(), shift=0):
+    r = np.random.default_rng(9)
+    rows = []
+    for i in range(n):
+        y = float(r.normal())
+        for model, noise in (("a", 1.0), ("b", 1.3)):
+            if not (model == "b" and i in missing):
+                rows.append(("s", model, 0, 1, i + shift, y, y + noise * float(r.normal())))
+    return rows
+
+
+def plain_dm(rows, h):
+    loss = {}
+    for _, model, _, _, pos, y, p in rows:
+        loss.setdefault(pos, {})[model] = abs(y - p)
+    d = np.array([v["a"] - v["b"] for _, v in sorted(loss.items()) if len(v) == 2])
+    n, c = len(d), d - d.mean()
+    v = sum((1 if k == 0 else 2 * (1 - k / h)) * np.mean(c[k:] * c[: n - k]) for k in range(h))
+    return d.mean() / np.sqrt(v / n) * np.sqrt((n + 1 - 2 * h + h * (h - 1) / n) / n)
+
+
+PREDS = "series_id string, model string, fold int, lead int, pos long, y_true double, y_pred double"
+
+
+@pytest.mark.parametrize("shift", [0, 16384 - 60, 16384 * 3 - 5])
+def test_dm_with_missing_positions_ignores_absolute_place(frame, shift):
+    rows = predictions(140, missing=(50, 51, 52, 53, 57, 58, 60), shift=shift)
+    got = stats.dm_statistics(frame(PREDS, rows), ["a", "b"], 6).collect()[0]
+    assert got["n"] == 133
+    assert got["dm_stat"] == pytest.approx(plain_dm(rows, 6), rel=1e-9)
+
+
+def test_small_lead_means_are_not_zeros(frame):
+    rows = [(f"s{i}", "a", "b", 1, i, (i + 1) * 1e-11) for i in range(20)]
+    diffs = frame("series_id string, model_a string, model_b string, lead int, pos long, d double", rows)
+    got = stats.lead_tests(diffs).collect()[0]
+    assert got["n_favouring_b"] == 20 and got["n_used"] == 20
