@@ -12,7 +12,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from panelkit.functions.columns import DAY, HOUR, micros, seconds_between, time_bucket
+from panelkit.functions.columns import DAY, HOUR, micros, nan_to_null, seconds_between, time_bucket
 from panelkit.plans.ordered import chunk_of, neighbours, previous, spread, with_position
 from panelkit.session import settled
 
@@ -460,6 +460,7 @@ def usable_window(
 
 
 def _gate_input(readings: DataFrame, seq: str, lo: float | None, hi: float | None) -> DataFrame:
+    readings = readings.withColumn("y", nan_to_null(F.col("y").cast("double")))
     if lo is not None and hi is not None:
         readings = sanitize(readings, lo, hi)
     return first_reading(readings.filter(F.col("y").isNotNull()), seq)

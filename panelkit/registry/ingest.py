@@ -277,14 +277,8 @@ def a13(spark, sf):
         F.lit("a"), (F.col("l_linenumber") * 0.5).cast("string"), F.lit("_s"), (F.col("l_linenumber") + 40).cast("string")
     )
     li.select(name.alias("cell"), "l_linenumber", "l_discount").write.partitionBy("cell").option("header", True).csv(base)
-    path = F.input_file_name()
-    rows = spark.read.schema("l_linenumber long, l_discount double").option("header", True).csv(f"{base}/cell=*")
-    rows = rows.withColumns(
-        {
-            "alpha": F.regexp_extract(path, r"a([\d.]+)_s(\d+)", 1).cast("double"),
-            "seed": F.regexp_extract(path, r"a([\d.]+)_s(\d+)", 2).cast("long"),
-        }
-    )
+    rows = files.sweep_files(spark, f"{base}/cell=*", "l_linenumber long, l_discount double")
+    rows = rows.withColumn("seed", F.col("seed").cast("long"))
     return rows.groupBy("l_linenumber", "alpha", "seed").agg(
         F.count(F.lit(1)).alias("n"), F.avg("l_discount").alias("m")
     )
@@ -299,13 +293,7 @@ def a14(spark, sf):
     li = panels.table(spark, sf, "lineitem")
     name = F.concat(F.lit("rep_"), "l_returnflag", F.lit("_r"), F.col("l_linenumber").cast("string"))
     li.select(name.alias("cell"), "l_tax").write.partitionBy("cell").option("header", True).csv(base)
-    path = F.input_file_name()
-    rows = spark.read.schema("l_tax double").option("header", True).csv(f"{base}/cell=*").withColumns(
-        {
-            "series_id": F.regexp_extract(path, r"rep_(.+)_r\d+", 1),
-            "rep": F.regexp_extract(path, r"_r(\d+)/", 1).cast("long"),
-        }
-    )
+    rows = files.replicate_files(spark, f"{base}/cell=*", "l_tax double").withColumn("rep", F.col("rep").cast("long"))
     return rows.groupBy("series_id", "rep").agg(F.count(F.lit(1)).alias("n"), F.avg("l_tax").alias("mean_tax"))
 
 

@@ -13,7 +13,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from panelkit.functions.columns import slug
+from panelkit.functions.columns import nan_to_null, slug
 from panelkit.session import ensure_utc
 
 # Accepted names of the time column, in order of preference.
@@ -59,23 +59,64 @@ def _text_columns(columns: Sequence[str]) -> T.StructType:
     return T.StructType([T.StructField(c, T.StringType()) for c in columns])
 
 
-def sensor_csv(spark: SparkSession, path: str, column: str | None = None) -> DataFrame:
+def _headers(spark: SparkSession, path: str) -> dict[str, list[str]]:
+    """Files by header line; one pass, one row per file comes back."""
+    lines = spark.read.text(path).select(
+        "value", F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("block"),
+        F.monotonically_increasing_id().alias("line"),
+    )
+    first = lines.filter("block = 0 AND trim(value) <> ''").groupBy("file").agg(F.min_by("value", "line").alias("head"))
+    groups = first.groupBy("head").agg(F.sort_array(F.collect_list("file")).alias("files")).orderBy("head").collect()
+    return {g["head"]: g["files"] for g in groups}
+
+
+def _named_scans(spark: SparkSession, path: str, by_name: bool) -> list[DataFrame]:
+    """Text columns under their own names; one scan per header.
+
+    Without ``by_name`` all files must have the header of the first: Spark checks
+    every file's own header line and fails on another, so no column is misread.
+    """
+    groups = [files for files in _headers(spark, path).values()] if by_name else [path]
+    out = []
+    for files in groups:
+        columns = _header(spark, files if isinstance(files, str) else files[0])
+        reader = spark.read.schema(_text_columns(columns)).option("header", True).option("enforceSchema", False)
+        out.append(reader.csv(files))
+    return out
+
+
+def _number(column: str) -> Column:
+    """A finite or infinite number; what is none, and NaN, is null."""
+    return nan_to_null(F.expr(f"try_cast(`{column}` AS double)"))
+
+
+def _union(parts: Sequence[DataFrame]) -> DataFrame:
+    out = parts[0]
+    for p in parts[1:]:
+        out = out.unionByName(p, allowMissingColumns=True)
+    return out
+
+
+def sensor_csv(spark: SparkSession, path: str, column: str | None = None, by_name: bool = False) -> DataFrame:
     """timestamp,value files; the file name is the series.
 
-    Adds seq, the line order inside a file split, as arrival order.
+    Adds seq, the line order inside a file split, as arrival order.  ``by_name``
+    reads files whose headers differ, each by its own.
     """
     ensure_utc(spark)
-    cols = _header(spark, path)
-    t, v = sniff_time_column(cols), sniff_value_column(cols, column)
-    raw = spark.read.schema(_text_columns(cols)).option("header", True).csv(path)
-    return raw.select(
-        file_stem().alias("series_id"),
-        F.try_to_timestamp(F.col(f"`{t}`")).alias("ts"),
-        F.expr(f"try_cast(`{v}` AS double)").alias("y"),
-        F.struct(
-            F.col("_metadata.file_block_start").alias("block"), F.monotonically_increasing_id().alias("line")
-        ).alias("seq"),
-    )
+
+    def read(raw: DataFrame) -> DataFrame:
+        t, v = sniff_time_column(raw.columns), sniff_value_column(raw.columns, column)
+        return raw.select(
+            file_stem().alias("series_id"),
+            F.try_to_timestamp(F.col(f"`{t}`")).alias("ts"),
+            _number(v).alias("y"),
+            F.struct(
+                F.col("_metadata.file_block_start").alias("block"), F.monotonically_increasing_id().alias("line")
+            ).alias("seq"),
+        )
+
+    return _union([read(raw) for raw in _named_scans(spark, path, by_name)])
 
 
 def station_csv(
@@ -94,27 +135,32 @@ def station_csv(
         .csv(path)
     )
     stamp = F.make_timestamp("year", "month", "day", "hour", F.lit(0), F.lit(0))
-    covs = [F.col(f"`{c}`").alias(f"wx_{c}") for c in covariates if c != target]
+    covs = [nan_to_null(F.col(f"`{c}`")).alias(f"wx_{c}") for c in covariates if c != target]
     return raw.select(
-        F.col("station").alias("series_id"), stamp.alias("ts"), F.col(f"`{target}`").alias("y"), *covs
+        F.col("station").alias("series_id"), stamp.alias("ts"), nan_to_null(F.col(f"`{target}`")).alias("y"), *covs
     )
 
 
 def weather_csv(
-    spark: SparkSession, path: str, columns: Sequence[str] | None = None, at_most: int | None = None
+    spark: SparkSession, path: str, columns: Sequence[str] | None = None, at_most: int | None = None, by_name: bool = False
 ) -> DataFrame:
-    """Per-series covariate files: timestamp plus numeric columns."""
+    """Per-series covariate files: timestamp plus numeric columns.
+
+    ``by_name`` reads files whose headers differ; a column that a file lacks is null.
+    """
     ensure_utc(spark)
-    cols = _header(spark, path)
-    t = sniff_time_column(cols)
-    names = list(columns) if columns else [c for c in cols if c != t]
-    names = names[:at_most] if at_most else names
-    raw = spark.read.schema(_text_columns(cols)).option("header", True).csv(path)
-    return raw.select(
-        file_stem().alias("series_id"),
-        F.try_to_timestamp(F.col(f"`{t}`")).alias("ts"),
-        *[F.expr(f"try_cast(`{c}` AS double)").alias(f"wx_{c}") for c in names],
-    )
+
+    def read(raw: DataFrame) -> DataFrame:
+        t = sniff_time_column(raw.columns)
+        names = [c for c in columns if c in raw.columns] if columns else [c for c in raw.columns if c != t]
+        names = names[:at_most] if at_most else names
+        return raw.select(
+            file_stem().alias("series_id"),
+            F.try_to_timestamp(F.col(f"`{t}`")).alias("ts"),
+            *[_number(c).alias(f"wx_{c}") for c in names],
+        )
+
+    return _union([read(raw) for raw in _named_scans(spark, path, by_name)])
 
 
 def wide_to_long(
@@ -234,9 +280,14 @@ def best_sensor(sensors: DataFrame, min_years: float = 1.5) -> DataFrame:
     )
 
 
+def _last_names() -> Column:
+    """The folder and the name of a row's file."""
+    return F.regexp_extract(F.col("_metadata.file_path"), r"([^/]+/[^/]+)$", 1)
+
+
 def sweep_files(spark: SparkSession, path: str, schema: str) -> DataFrame:
-    """Result files of a sweep; alpha and seed come from ..._a<alpha>_s<seed>_..."""
-    stem = F.col("_metadata.file_name")
+    """Result files of a sweep; alpha and seed come from ...a<alpha>_s<seed>... in the file's or its folder's name."""
+    stem = _last_names()
     cell = r"a([\d.]+)_s(\d+)"
     return spark.read.schema(schema).option("header", True).csv(path).select(
         "*",
@@ -246,11 +297,11 @@ def sweep_files(spark: SparkSession, path: str, schema: str) -> DataFrame:
 
 
 def replicate_files(spark: SparkSession, path: str, schema: str) -> DataFrame:
-    """Replicate files rep_<series>_r<rep>_...; all of them in one read."""
-    stem = F.col("_metadata.file_name")
+    """Replicate files rep_<series>_r<rep>_..., or folders of that name; all of them in one read."""
+    stem = _last_names()
     return spark.read.schema(schema).option("header", True).csv(path).select(
-        F.regexp_extract(stem, r"rep_(.+)_r\d+", 1).alias("series_id"),
-        F.regexp_extract(stem, r"_r(\d+)", 1).cast("int").alias("rep"),
+        F.regexp_extract(stem, r"rep_(.+?)_r\d+", 1).alias("series_id"),
+        F.regexp_extract(stem, r"rep_.+?_r(\d+)", 1).cast("int").alias("rep"),
         "*",
     )
 

@@ -100,3 +100,32 @@ def test_settled_writes_to_the_shared_folder(spark, tmp_path, monkeypatch):
     assert seen == ["half"] and out.dtypes == df.dtypes
     assert sorted(map(tuple, out.collect())) == [(i, 2 * i) for i in range(10)]
     assert (tmp_path / "half" / "_SUCCESS").exists()
+
+
+def test_files_with_differing_headers(spark, tmp_path):
+    (tmp_path / "a.csv").write_text("timestamp,v,w\n2024-01-01 00:00:00,1,10\n")
+    (tmp_path / "b.csv").write_text("w,timestamp,v\n20,2024-01-01 00:00:00,2\nNaN,2024-01-01 01:00:00,NaN\n")
+    (tmp_path / "c.csv").write_text("timestamp,v\n2024-01-01 00:00:00,3\n")
+    got = files.sensor_csv(spark, str(tmp_path), "v", by_name=True).collect()
+    assert sorted((r["series_id"], r["y"]) for r in got if r["y"] is not None) == [("a", 1.0), ("b", 2.0), ("c", 3.0)]
+    assert [r["series_id"] for r in got if r["y"] is None] == ["b"]
+    wx = files.weather_csv(spark, str(tmp_path), by_name=True).collect()
+    assert sorted((r["series_id"], r["wx_v"], r["wx_w"]) for r in wx if r["wx_v"]) == [("a", 1.0, 10.0), ("b", 2.0, 20.0), ("c", 3.0, None)]
+
+
+def test_another_header_is_refused_not_misread(spark, tmp_path):
+    (tmp_path / "a.csv").write_text("timestamp,v\n2024-01-01 00:00:00,1\n")
+    (tmp_path / "b.csv").write_text("v,timestamp\n2,2024-01-01 00:00:00\n")
+    try:
+        rows = files.sensor_csv(spark, str(tmp_path), "v").collect()
+    except Exception as refused:
+        assert "header" in str(refused).lower()
+    else:
+        raise AssertionError(rows)
+
+
+def test_gate_takes_nan_for_missing(frame):
+    rows = [("s", datetime(2024, 1, 1 + h // 24, h % 24), float("nan") if h == 5 else float(h), h) for h in range(48)]
+    df = frame("series_id string, ts timestamp, y double, seq long", rows)
+    got = quality.usable_window(df, lo=None, hi=None, min_rows=24).collect()
+    assert len(got) == 48 and [r["y"] for r in got if r["is_filled"]] == [5.0]
