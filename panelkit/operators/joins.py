@@ -25,14 +25,19 @@ def attach_covariates(
 
 
 def attach_covariates_filled(
-    panel: DataFrame, covs: DataFrame, columns: Sequence[str], limit: int = 6, strict: bool = True
+    panel: DataFrame,
+    covs: DataFrame,
+    columns: Sequence[str],
+    limit: int = 6,
+    strict: bool = True,
+    keys: Sequence[str] = ("series_id", "ts"),
 ) -> DataFrame:
     """Join, interpolate small gaps, and (not strict) carry values both ways.
 
     Carried values are flagged in ``<column>_is_filled``: they may extend past
     the covariate's real coverage.
     """
-    out = attach_covariates(panel, covs)
+    out = attach_covariates(panel, covs, keys)
     for c in columns:
         out = interpolate(out, limit, value=c)
         if not strict:

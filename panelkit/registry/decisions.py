@@ -117,12 +117,12 @@ def h6_top(spark, sf):
 
 @reg.add(
     "k_union_all",
-    f"""SELECT 'A' AS part, l_orderkey, {r("l_quantity", "v")} FROM lineitem WHERE l_returnflag = 'A'
+    f"""SELECT 'line' AS part, l_orderkey, {r("l_quantity", "v")} FROM lineitem
     UNION ALL SELECT 'order', o_orderkey, {r("o_totalprice", "v")} FROM orders""",
 )
 def k_union(spark, sf):
-    a = panels.table(spark, sf, "lineitem").filter("l_returnflag = 'A'")
-    a = a.select(F.lit("A").alias("part"), "l_orderkey", F.col("l_quantity").alias("v"))
+    a = panels.table(spark, sf, "lineitem")
+    a = a.select(F.lit("line").alias("part"), "l_orderkey", F.col("l_quantity").alias("v"))
     o = panels.table(spark, sf, "orders")
     o = o.select(F.lit("order").alias("part"), F.col("o_orderkey").alias("l_orderkey"), F.col("o_totalprice").alias("v"))
     return a.unionByName(o)
@@ -140,12 +140,13 @@ def k_graft(spark, sf):
 
 @reg.add(
     "k_except_ids",
-    "SELECT c_custkey FROM customer EXCEPT SELECT o_custkey FROM orders",
+    "SELECT c_custkey FROM customer EXCEPT SELECT o_custkey FROM orders WHERE o_orderpriority = '1-URGENT'",
 )
 def k_except(spark, sf):
+    """Customers without an urgent order."""
     c = panels.table(spark, sf, "customer").select("c_custkey")
-    o = panels.table(spark, sf, "orders").select(F.col("o_custkey").alias("c_custkey"))
-    return c.subtract(o)
+    o = panels.table(spark, sf, "orders").filter("o_orderpriority = '1-URGENT'")
+    return c.subtract(o.select(F.col("o_custkey").alias("c_custkey")))
 
 
 @reg.add("k_intersect_ids", "SELECT l_partkey FROM lineitem WHERE l_returnflag = 'A' INTERSECT SELECT l_partkey FROM lineitem WHERE l_returnflag = 'R'")

@@ -28,15 +28,16 @@ from panelkit.sources import panels
 reg = Registry()
 QUERIES, ORACLES = reg.queries, reg.oracles
 
-COVS_SQL = """covs AS (SELECT date_trunc('day', l_shipdate)::TIMESTAMP AS ts, avg(l_discount) AS wx_discount, sum(l_quantity) AS wx_qty
-  FROM lineitem WHERE l_discount >= 0.1 GROUP BY ALL)"""
+COVS_SQL = """covs AS (SELECT date_trunc('day', l_shipdate)::TIMESTAMP AS ts, avg(l_discount) AS wx_discount,
+    sum(CASE WHEN l_discount >= 0.1 THEN l_quantity END) AS wx_qty FROM lineitem GROUP BY ALL)"""
 
 
 def _covs(spark, sf):
-    """Daily covariates from the deepest discounts; many days lack one."""
-    li = panels.table(spark, sf, "lineitem").filter("l_discount >= 0.1")
+    """Daily covariates; the quantity at the deepest discounts is missing on many days."""
+    li = panels.table(spark, sf, "lineitem")
     return li.groupBy(F.to_date("l_shipdate").cast("timestamp").alias("ts")).agg(
-        F.avg("l_discount").alias("wx_discount"), F.sum("l_quantity").alias("wx_qty")
+        F.avg("l_discount").alias("wx_discount"),
+        F.sum(F.when(F.col("l_discount") >= 0.1, F.col("l_quantity"))).alias("wx_qty"),
     )
 
 
@@ -68,10 +69,7 @@ def c1(spark, sf):
 def c2(spark, sf):
     p = panels.daily_orders(spark, sf)
     c = _covs(spark, sf).drop("wx_discount")
-    filled = settled(j.attach_covariates(p, c, ["ts"]), "joined")
-    from panelkit.operators.quality import carry_both_ways, interpolate
-
-    out = carry_both_ways(interpolate(filled, 1, value="wx_qty"), ["series_id"], "wx_qty", flag="wx_qty_is_filled")
+    out = j.attach_covariates_filled(p, c, ["wx_qty"], 1, strict=False, keys=["ts"])
     return out.select("series_id", "pos", "wx_qty", "wx_qty_is_filled")
 
 

@@ -247,7 +247,7 @@ def b12_counts(spark, sf):
     f"""WITH {HOURLY_PANEL},
     target AS (SELECT event_type AS series_id, date_trunc('hour', ts) AS ts,
         avg(CAST(json_extract(props, '$.k') AS DOUBLE)) AS temp
-      FROM events WHERE value > 1 GROUP BY ALL),
+      FROM events GROUP BY ALL),
     cover AS (SELECT series_id, min(ts) AS lo, max(ts) AS hi FROM target GROUP BY series_id),
     idx AS (SELECT p.series_id, p.ts, p.pos AS k, t.temp AS y FROM panel p JOIN cover c ON c.series_id = p.series_id
       LEFT JOIN target t ON t.series_id = p.series_id AND t.ts = p.ts
@@ -272,7 +272,6 @@ def b10(spark, sf):
     k = F.get_json_object("props", "$.k").cast("double")
     target = (
         panels.table(spark, sf, "events")
-        .filter("value > 1")
         .groupBy(F.col("event_type").alias("series_id"), F.date_trunc("hour", "ts").alias("ts"))
         .agg(F.avg(k).alias("temp"))
     )

@@ -50,16 +50,23 @@ def shared_dir(spark: SparkSession, name: str) -> str:
     return f"{root.rstrip('/')}/{name}-{uuid.uuid4().hex}"
 
 
+def delete_at_exit(spark: SparkSession, path: str) -> None:
+    """Have the file system drop a scratch folder when the driver's JVM shuts down."""
+    folder = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    folder.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).deleteOnExit(folder)
+
+
 def settled(df: DataFrame, name: str = "step") -> DataFrame:
     """Write ``df`` to the shared folder and return the table read back.
 
     For results that several branches of a plan use: the branches prune
     different columns, so Spark would otherwise scan the raw input once per
     branch.  The written table also cuts the lineage, survives lost executors
-    and prunes columns and row groups.
+    and prunes columns and row groups.  It goes when the driver's JVM ends.
     """
     path = shared_dir(df.sparkSession, name)
     df.write.parquet(path)
+    delete_at_exit(df.sparkSession, path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
