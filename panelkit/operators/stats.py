@@ -22,12 +22,10 @@ from panelkit.plans.ordered import (
     group_quantiles,
     ranked_values,
     running_extreme,
-    with_position,
 )
-from panelkit.session import fanned_out, settled
+from panelkit.session import fanned_out
 
 ALPHA = 0.05
-ARRAY_LIMIT = 100_000
 
 
 # --- aligned losses ---------------------------------------------------------
@@ -415,61 +413,36 @@ def margin_sweep(tests: DataFrame, margins: Sequence[float]) -> DataFrame:
 # --- bootstraps -------------------------------------------------------------
 
 
-def _replicates(
-    df: DataFrame,
-    keys: Sequence[str],
-    id_col: str,
-    terms: dict[str, Column],
-    draws: int,
-    seed: int,
-    array_limit: int,
-    blocks: int,
-) -> DataFrame:
-    """Sums of ``terms`` over n draws with replacement, for each replicate.
-
-    Draw j of replicate b takes the row at md5(seed|b|j) mod n in the order of
-    md5(id).  Small groups carry their rows as one array, replicated over
-    blocks of replicates so that the blocks run in parallel.  Larger groups
-    join the draws to the rows.  Both make the same draws.
-    """
-    keys = list(keys)
-    base = df.select(*keys, F.md5(F.col(id_col).cast("string")).alias("_h"), *[c.alias(k) for k, c in terms.items()])
-    base = base.withColumn("_b", F.conv(F.substring("_h", 1, 3), 16, 10).cast("int"))
-    base = with_position(base, keys, "_b", "_h", pos="_i", total="n").drop("_h", "_b")
-    # three uses below; one row per observation of the test, not per reading
-    base = settled(base, "bootstrap")
+# P(Poisson(1) <= k) for k = 0, 1, 2 and so on.
+POISSON = (
+    0.36787944117144233, 0.7357588823428847, 0.9196986029286058, 0.9810118431238462,
+    0.9963401531726563, 0.9994058151824183, 0.9999167588507119, 0.9999897508033253, 0.9999988747974020,
+)
 
-    small = base.filter(F.col("n") <= array_limit)
-    rows = F.sort_array(F.collect_list(F.struct("_i", *terms)))
-    packed = small.groupBy(*keys, "n").agg(rows.alias("_rows"))
-    per = -(-draws // blocks)
-    packed = packed.withColumn("_block", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))))
-    packed = fanned_out(packed, *keys, "_block")
-    last = F.least(F.lit(draws), (F.col("_block") + 1) * per) - 1
-    zero = F.struct(*[F.lit(0.0).alias(k) for k in terms])
 
-    def replicate(rep: Column) -> Column:
-        def add(acc: Column, j: Column) -> Column:
-            at = (hashed_integer(seed, rep, j) % F.col("n")).cast("int")
-            row = F.get("_rows", at)
-            return F.struct(*[(acc[k] + row[k]).alias(k) for k in terms])
+def _replicates(df: DataFrame, keys: Sequence[str], id_col: str, terms: dict[str, Column], draws: int, seed: int) -> DataFrame:
+    """Weighted sums of ``terms`` for each replicate, with the sum of weights ``_w`` and the rows ``n``.
 
-        total = F.aggregate(F.sequence(F.lit(0), (F.col("n") - 1).cast("int")), zero, add)
-        return F.struct(rep.alias("_rep"), *[total[k].alias(k) for k in terms])
+    Each row draws its number of appearances in a replicate from a Poisson law with
+    mean 1, by md5(seed|b|id), where a hash serves four replicates.  No draw depends on
+    another row, so groups of any size take one path: replicates are summed before the
+    shuffle and only (group, replicate) rows move.
+    """
+    keys = list(keys)
+    blocks = F.explode(F.sequence(F.lit(0), F.lit((draws - 1) // 4))).alias("_b")
+    rows = df.select(*keys, F.col(id_col).cast("string").alias("_id"), *[c.alias(k) for k, c in terms.items()])
+    rows = rows.select("*", blocks).withColumn("_h", F.md5(F.concat_ws("|", F.lit(str(seed)), F.col("_b").cast("string"), "_id")))
 
-    # one expression per block: the rows are not copied per replicate
-    sums = F.transform(F.sequence(F.col("_block") * per, last), replicate)
-    few = packed.filter(F.col("_block") * per < draws).select(*keys, "n", F.inline(sums))
+    def one(i: int) -> Column:
+        u = (F.conv(F.substring("_h", 8 * i + 1, 8), 16, 10).cast("double") + 0.5) / 4294967296.0
+        weight = F.lit(0)
+        for p in POISSON:
+            weight = weight + F.when(u > p, 1).otherwise(0)
+        return F.struct((F.col("_b") * 4 + i).alias("_rep"), weight.cast("double").alias("_w"))
 
-    large = base.filter(F.col("n") > array_limit)
-    picks = large.select(
-        *keys, "n", "_i", F.explode(F.sequence(F.lit(0), F.lit(draws - 1))).alias("_rep")
-    )
-    picks = picks.select(
-        *keys, "_rep", (hashed_integer(seed, F.col("_rep"), F.col("_i")) % F.col("n")).alias("_i")
-    )
-    many = picks.join(large, [*keys, "_i"]).groupBy(*keys, "n", "_rep")
-    return few.unionByName(many.agg(*[F.sum(k).alias(k) for k in terms]))
+    rows = rows.select(*keys, *terms, F.inline(F.array(*[one(i) for i in range(4)]))).filter(F.col("_rep") < draws)
+    sums = [F.sum(F.col("_w") * F.col(k)).alias(k) for k in terms]
+    return rows.groupBy(*keys, "_rep").agg(F.count(F.lit(1)).alias("n"), F.sum("_w").alias("_w"), *sums)
 
 
 def _percentile_interval(reps: DataFrame, keys: Sequence[str], stat: Column, level: float) -> DataFrame:
@@ -484,45 +457,34 @@ def _percentile_interval(reps: DataFrame, keys: Sequence[str], stat: Column, lev
 
 
 def bootstrap_mean(
-    df: DataFrame,
-    keys: Sequence[str],
-    id_col: str,
-    value: str,
-    draws: int = 10_000,
-    seed: int = 7,
-    level: float = 0.95,
-    array_limit: int = ARRAY_LIMIT,
-    blocks: int = 8,
+    df: DataFrame, keys: Sequence[str], id_col: str, value: str, draws: int = 10_000, seed: int = 7, level: float = 0.95
 ) -> DataFrame:
-    """iid bootstrap percentile interval of a mean."""
+    """iid (Poisson) bootstrap percentile interval of a mean; empty replicates drop out."""
     ok = df.filter(F.col(value).isNotNull())
-    reps = _replicates(ok, keys, id_col, {"_x": F.col(value)}, draws, seed, array_limit, blocks)
-    return _percentile_interval(reps, keys, F.col("_x") / F.col("n"), level)
+    reps = _replicates(ok, keys, id_col, {"_x": F.col(value)}, draws, seed)
+    return _percentile_interval(reps, keys, F.col("_x") / F.when(F.col("_w") > 0, F.col("_w")), level)
 
 
 def bootstrap_corr(
-    df: DataFrame,
-    keys: Sequence[str],
-    id_col: str,
-    x: str,
-    y: str,
-    draws: int = 10_000,
-    seed: int = 7,
-    level: float = 0.95,
-    array_limit: int = ARRAY_LIMIT,
-    blocks: int = 8,
+    df: DataFrame, keys: Sequence[str], id_col: str, x: str, y: str, draws: int = 10_000, seed: int = 7, level: float = 0.95
 ) -> DataFrame:
-    """Bootstrap percentile interval of a correlation; undefined replicates drop out."""
+    """Bootstrap percentile interval of a correlation; undefined replicates drop out.
+
+    Both values are centred by their group's mean first, so that their sums of
+    squares keep their digits.
+    """
     ok = df.filter(F.col(x).isNotNull() & F.col(y).isNotNull())
-    cx, cy = F.col(x), F.col(y)
+    means = ok.groupBy(*keys).agg(F.avg(x).alias("_mx"), F.avg(y).alias("_my"))
+    ok = ok.join(means, list(keys))
+    cx, cy = F.col(x) - F.col("_mx"), F.col(y) - F.col("_my")
     terms = {"_x": cx, "_y": cy, "_xx": cx * cx, "_yy": cy * cy, "_xy": cx * cy}
-    reps = _replicates(ok, keys, id_col, terms, draws, seed, array_limit, blocks)
-    n = F.col("n")
-    vx = n * F.col("_xx") - F.col("_x") * F.col("_x")
-    vy = n * F.col("_yy") - F.col("_y") * F.col("_y")
+    reps = _replicates(ok, keys, id_col, terms, draws, seed)
+    w = F.col("_w")
+    vx = w * F.col("_xx") - F.col("_x") * F.col("_x")
+    vy = w * F.col("_yy") - F.col("_y") * F.col("_y")
     # a replicate that drew one point only has no correlation
-    defined = (vx > F.lit(1e-12) * n * F.col("_xx")) & (vy > F.lit(1e-12) * n * F.col("_yy"))
-    cov = n * F.col("_xy") - F.col("_x") * F.col("_y")
+    defined = (vx > F.lit(1e-12) * w * F.col("_xx")) & (vy > F.lit(1e-12) * w * F.col("_yy"))
+    cov = w * F.col("_xy") - F.col("_x") * F.col("_y")
     r = F.when(defined, cov / F.sqrt(F.when(defined, vx * vy)))
     return _percentile_interval(reps, keys, r, level)
 

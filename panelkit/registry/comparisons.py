@@ -341,7 +341,7 @@ def g14(spark, sf):
     return stats.pearson(_paired(spark, sf), ["tier"], "acctbal", "d")
 
 
-DRAWS = 400
+DRAWS = 10_000
 
 
 def draw(seed: int, *parts: str) -> str:
@@ -349,11 +349,19 @@ def draw(seed: int, *parts: str) -> str:
     return f"CAST('0x' || substr(md5({text}), 1, 8) AS BIGINT)"
 
 
-BOOT = f"""idx AS (SELECT tier, acctbal, d, row_number() OVER (PARTITION BY tier ORDER BY md5(series_id)) - 1 AS i,
-    count(*) OVER (PARTITION BY tier) AS n FROM paired WHERE d IS NOT NULL AND acctbal IS NOT NULL),
-picks AS (SELECT tier, n, rep, {draw(7, "rep", "i")} % n AS i FROM idx CROSS JOIN (SELECT unnest(range({DRAWS})) AS rep) b),
-reps AS (SELECT p.tier, p.n, p.rep, avg(x.d) AS m, corr(x.acctbal, x.d) AS c FROM picks p
-  JOIN idx x ON x.tier = p.tier AND x.i = p.i GROUP BY ALL)"""
+WEIGHT = " + ".join(f"CAST(u > {p!r} AS INTEGER)" for p in stats.POISSON)
+BOOT = f"""idx AS MATERIALIZED (SELECT tier, series_id, d, acctbal - avg(acctbal) OVER (PARTITION BY tier) AS x,
+    d - avg(d) OVER (PARTITION BY tier) AS y FROM paired WHERE d IS NOT NULL AND acctbal IS NOT NULL),
+hashes AS MATERIALIZED (SELECT tier, d, x, y, b, md5('7|' || b || '|' || series_id) AS h
+  FROM idx CROSS JOIN (SELECT unnest(range({DRAWS // 4})) AS b) t),
+draws AS (SELECT tier, d, x, y, b * 4 + i AS rep, (CAST('0x' || substr(h, CAST(8 * i + 1 AS BIGINT), 8) AS BIGINT) + 0.5::DOUBLE) / 4294967296.0::DOUBLE AS u
+  FROM hashes CROSS JOIN (SELECT unnest(range(4)) AS i) t),
+weighted AS (SELECT tier, d, x, y, rep, CAST({WEIGHT} AS DOUBLE) AS w FROM draws),
+sums AS (SELECT tier, rep, count(*) AS n, sum(w) AS w, sum(w * d) AS sd, sum(w * x) AS sx, sum(w * y) AS sy,
+    sum(w * x * x) AS sxx, sum(w * y * y) AS syy, sum(w * x * y) AS sxy FROM weighted GROUP BY ALL),
+spread AS (SELECT *, w * sxx - sx * sx AS vx, w * syy - sy * sy AS vy FROM sums),
+reps AS (SELECT tier, rep, n, CASE WHEN w > 0 THEN sd / w END AS m,
+    CASE WHEN vx > 1e-12 * w * sxx AND vy > 1e-12 * w * syy THEN (w * sxy - sx * sy) / sqrt(vx * vy) END AS c FROM spread)"""
 
 
 @reg.add(
@@ -374,11 +382,11 @@ def g16(spark, sf):
     return stats.bootstrap_corr(_paired(spark, sf), ["tier"], "series_id", "acctbal", "d", DRAWS)
 
 
-BLOCK = 5
+BLOCK, BLOCK_DRAWS = 12, 10_000
 KEYTEXT = "series_id || '|' || model_a || '|' || model_b"
 MBB = f"""arr AS (SELECT series_id, model_a, model_b, list(d ORDER BY pos) AS ds, count(*) AS n FROM diffs GROUP BY ALL),
 blocks AS (SELECT a.*, rep, m, {draw(7, KEYTEXT, str(BLOCK), "rep", "m")} % (n - {BLOCK} + 1) AS st
-  FROM arr a CROSS JOIN (SELECT unnest(range(200)) AS rep) b CROSS JOIN (SELECT unnest(range(5)) AS m) c
+  FROM arr a CROSS JOIN (SELECT unnest(range({BLOCK_DRAWS})) AS rep) b CROSS JOIN (SELECT unnest(range(5)) AS m) c
   WHERE n >= {BLOCK + 1} AND m < ceil(n / {BLOCK}.0)),
 sums AS (SELECT series_id, model_a, model_b, n, rep, sum(list_sum(list_slice(ds, st + 1, st + least({BLOCK}, n - m * {BLOCK})))) / n AS mean
   FROM blocks GROUP BY series_id, model_a, model_b, n, rep),
@@ -396,7 +404,7 @@ def _diffs(spark, sf):
       CAST({BLOCK} AS BIGINT) AS block, coalesce(ci_lo > 0 OR ci_hi < 0, false) AS significant FROM mbb""",
 )
 def g17(spark, sf):
-    return stats.block_bootstrap(_diffs(spark, sf), BLOCK, draws=200)
+    return stats.block_bootstrap(_diffs(spark, sf), BLOCK, draws=BLOCK_DRAWS)
 
 
 @reg.add(
@@ -478,7 +486,7 @@ def g22(spark, sf):
     p = settled(predictions(spark, sf), "preds")
     dm = stats.paired_summary(p, MODELS, HORIZON).select(*stats.PAIR, F.col("significant").alias("dm_sig"))
     wide = stats.losses_wide(p, MODELS)
-    mbb = stats.block_bootstrap(stats.pair_differences(wide, PAIRS), BLOCK, draws=200)
+    mbb = stats.block_bootstrap(stats.pair_differences(wide, PAIRS), BLOCK, draws=BLOCK_DRAWS)
     j = dm.join(mbb.select(*stats.PAIR, F.col("significant").alias("mbb_sig")), list(stats.PAIR))
     return stats.agreement(j, ["model_a", "model_b"], "dm_sig", "mbb_sig")
 

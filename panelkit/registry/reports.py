@@ -189,7 +189,7 @@ def _budget(spark, sf):
     tests = settled(stats.signed_rank(d, keys, "d").select(*keys, "p_wilcoxon"), "tests")
     tests = stats.holm(tests.withColumn("family", F.lit("all")), ["family"], "p_wilcoxon").drop("family")
     wins = d.groupBy(*keys).agg(F.count_if(F.col("d") < 0).alias("wins"))
-    ci = stats.bootstrap_mean(d, keys, "series_id", "d", draws=200)
+    ci = stats.bootstrap_mean(d, keys, "series_id", "d")
     out = report.budget_table(st, "base", tests.join(wins, keys), ci, keys)
     return out.fillna(-1, ["wins"])
 

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import hashlib
 import math
 
 import numpy as np
@@ -144,17 +145,24 @@ def test_conformal_brute_force(frame):
     assert got["q"] == pytest.approx(q) and got["coverage"] == pytest.approx((e[half:] <= q).mean())
 
 
-def test_bootstrap_paths_agree(frame):
-    """The array path and the join path make the same draws."""
+def test_bootstrap_draws_do_not_depend_on_partitions_or_offset(frame):
     rng = np.random.default_rng(1)
     rows = [(k, f"id{i}", float(rng.normal()), float(rng.normal())) for k in ("a", "b") for i in range(23)]
     df = frame("k string, id string, x double, y double", rows)
-    for fn, args in ((stats.bootstrap_mean, ("x",)), (stats.bootstrap_corr, ("x", "y"))):
-        out = []
-        for limit in (1000, 5):
-            r = fn(df, ["k"], "id", *args, draws=60, array_limit=limit).orderBy("k").collect()
-            out.append([v for row in r for v in (row["ci_lo"], row["ci_hi"])])
-        assert out[0] == pytest.approx(out[1], abs=1e-12)
+    far = df.selectExpr("k", "id", "x + 1e8 AS x", "y - 1e8 AS y")
+    one = stats.bootstrap_corr(df, ["k"], "id", "x", "y", draws=60).orderBy("k").collect()
+    for other in (stats.bootstrap_corr(d, ["k"], "id", "x", "y", draws=60).orderBy("k").collect() for d in (df.repartition(9), far)):
+        for p, q in zip(one, other):
+            assert (p["ci_lo"], p["ci_hi"]) == pytest.approx((q["ci_lo"], q["ci_hi"]), abs=1e-6)
+    plain = []
+    for rep in range(60):
+        w = []
+        for _, i, *_ in rows[:23]:
+            h = hashlib.md5(f"7|{rep // 4}|{i}".encode()).hexdigest()[8 * (rep % 4) : 8 * (rep % 4) + 8]
+            w.append(sum((int(h, 16) + 0.5) / 2**32 > p for p in stats.POISSON))
+        plain.append(np.average([r[2] for r in rows[:23]], weights=w))
+    got = stats.bootstrap_mean(df.filter("k = 'a'"), ["k"], "id", "x", draws=60).collect()[0]
+    assert (got["ci_lo"], got["ci_hi"]) == pytest.approx(tuple(np.quantile(plain, [0.025, 0.975])))
 
 
 def test_bootstrap_close_to_theory(frame):
