@@ -7,6 +7,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from panelkit.llm import bpe, html_text, jaccard, licenses, packing, pii, quality, secret_scan, substring, topk
+from panelkit.llm.oracles import ORACLES as ORACLES
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -71,4 +72,3 @@ QUERIES = {
         op8_quality_rules, op9_packing, op10_jaccard_join,
     )
 }
-ORACLES: dict[str, str] = {}
