@@ -52,10 +52,11 @@ def last_reading(
     return v.groupBy(*keys).agg(F.max_by(value, seq).alias(value))
 
 
-def observation_gaps(df: DataFrame, bucket_seconds: int = HOUR) -> DataFrame:
+def observation_gaps(df: DataFrame, bucket_seconds: int | None = None) -> DataFrame:
     """Seconds since the previous reading of the series (null on the first)."""
+    width = bucket_width(df, bucket_seconds, HOUR)
     out = previous(
-        df.withColumn("_b", time_bucket("ts", bucket_seconds)), KEY, "_b", "ts", {"_prev": "ts"}
+        df.withColumn("_b", time_bucket("ts", width)), KEY, "_b", "ts", {"_prev": "ts"}
     )
     return out.withColumn("gap_s", seconds_between("ts", "_prev")).drop("_b", "_prev")
 
@@ -75,8 +76,16 @@ def suggest_bucket_seconds(
     return int(max(1, min(widest, HOUR * target_rows // densest)))
 
 
+def bucket_width(readings: DataFrame, given: int | None, widest: int) -> int:
+    """The caller's width, or else one that follows the densest hour of the readings.
+
+    No result depends on it: it bounds the rows that a (series, bucket) sorts.
+    """
+    return given or suggest_bucket_seconds(readings, widest=widest)
+
+
 def _sampling(
-    df: DataFrame, minutes: float, bucket_seconds: int
+    df: DataFrame, minutes: float, bucket_seconds: int | None
 ) -> tuple[DataFrame, DataFrame]:
     """Rows with their bucket, and one row per (series, bucket) with the verdict.
 
@@ -88,7 +97,7 @@ def _sampling(
     """
     limit = minutes * 60.0
     part = [*KEY, "_b"]
-    rows = df.withColumn("_b", time_bucket("ts", bucket_seconds))
+    rows = df.withColumn("_b", time_bucket("ts", bucket_width(df, bucket_seconds, HOUR)))
     inside = rows.withColumn(
         "_g", seconds_between("ts", F.lag("ts").over(Window.partitionBy(*part).orderBy("ts")))
     )
@@ -122,7 +131,7 @@ def _sampling(
 
 
 def sampling_profile(
-    df: DataFrame, minutes: float = SUBHOURLY_MINUTES, bucket_seconds: int = HOUR
+    df: DataFrame, minutes: float = SUBHOURLY_MINUTES, bucket_seconds: int | None = None
 ) -> DataFrame:
     """Per series: reading count and whether the median gap is below ``minutes``."""
     _, cells = _sampling(df, minutes, bucket_seconds)
@@ -132,7 +141,7 @@ def sampling_profile(
 
 
 def resample_subhourly(
-    df: DataFrame, minutes: float = SUBHOURLY_MINUTES, bucket_seconds: int = HOUR
+    df: DataFrame, minutes: float = SUBHOURLY_MINUTES, bucket_seconds: int | None = None
 ) -> DataFrame:
     """Hourly means for the series that report faster than hourly.
 
@@ -152,7 +161,7 @@ def resample_subhourly(
 
 
 def _segments(
-    df: DataFrame, break_hours: float, bucket_seconds: int
+    df: DataFrame, break_hours: float, bucket_seconds: int | None
 ) -> tuple[DataFrame, DataFrame]:
     """Rows with their piece, and one row per piece with its segment.
 
@@ -162,7 +171,7 @@ def _segments(
     part = [*KEY, "_b"]
     w = Window.partitionBy(*part).orderBy("ts")
     far = break_hours * HOUR
-    rows = df.withColumn("_b", time_bucket("ts", bucket_seconds)).withColumn(
+    rows = df.withColumn("_b", time_bucket("ts", bucket_width(df, bucket_seconds, DAY))).withColumn(
         "_g", seconds_between("ts", F.lag("ts").over(w))
     )
     rows = rows.withColumn("_piece", F.sum(F.when(F.col("_g") > far, 1).otherwise(0)).over(w))
@@ -178,7 +187,7 @@ def _segments(
 
 
 def gap_segments(
-    df: DataFrame, break_hours: float = SEGMENT_BREAK_HOURS, bucket_seconds: int = DAY
+    df: DataFrame, break_hours: float = SEGMENT_BREAK_HOURS, bucket_seconds: int | None = None
 ) -> DataFrame:
     """Segment number per reading; a gap strictly above ``break_hours`` starts one.
 
@@ -222,7 +231,7 @@ def longest_segments(segmented: DataFrame) -> DataFrame:
 
 
 def keep_longest_segment(
-    df: DataFrame, break_hours: float = SEGMENT_BREAK_HOURS, bucket_seconds: int = DAY
+    df: DataFrame, break_hours: float = SEGMENT_BREAK_HOURS, bucket_seconds: int | None = None
 ) -> DataFrame:
     """Readings of each series' longest segment, with the segment's bounds."""
     rows, pieces = _segments(df, break_hours, bucket_seconds)
@@ -418,7 +427,7 @@ def window_facts(
     min_rows: int = MIN_ROWS,
     min_cov: float = MIN_COVERAGE,
     step_seconds: int = HOUR,
-    bucket_seconds: int = DAY,
+    bucket_seconds: int | None = None,
 ) -> DataFrame:
     """Per series: size, bounds and coverage of the cleaned window, and why it fails.
 
@@ -442,18 +451,17 @@ def usable_window(
     min_rows: int = MIN_ROWS,
     min_cov: float = MIN_COVERAGE,
     step_seconds: int = HOUR,
-    bucket_seconds: int = DAY,
+    bucket_seconds: int | None = None,
 ) -> DataFrame:
     """The gate: sanitize, de-duplicate, longest segment, fill, accept or drop.
 
     Returns the panel ``series_id, ts, y, is_filled, pos, n``; series that fail
     are absent (``rejected_series`` lists them with the reason).  Rows move
     once for the de-duplication and once on (series, bucket); acceptance and
-    positions are decided on the bucket rows.  Dense readings want narrower
-    buckets, see ``suggest_bucket_seconds``.
+    positions are decided on the bucket rows.
     """
     clean = _gate_input(readings, seq, lo, hi)
-    kept = keep_longest_segment(clean, break_hours, bucket_seconds)
+    kept = keep_longest_segment(clean, break_hours, bucket_width(readings, bucket_seconds, DAY))
     g, cells = _filled(kept, limit, step_seconds)
     accepted = cells.filter(reject_reason(min_rows, min_cov).isNull())
     return _emit(g, accepted, step_seconds)

@@ -156,3 +156,17 @@ def test_rows_never_meet_a_whole_series_window(spark, frame):
     plan = quality.resample_subhourly(df.drop("seq"))._jdf.queryExecution().executedPlan().toString()
     row_windows = [x for x in plan.splitlines() if " Window " in x and "lag(ts" in x]
     assert row_windows and all("_b#" in x.split("windowspecdefinition(")[1].split(" ASC")[0] for x in row_windows)
+
+
+def test_dense_series_get_narrow_buckets(frame, monkeypatch):
+    """One hot series: by default no (series, bucket) holds more than the target rows."""
+    rows = [("hot", datetime(2024, 1, 1, 0, i // 60, i % 60), float(i), i) for i in range(1200)]
+    rows += [("cold", datetime(2024, 1, 1, i), float(i), i) for i in range(12)]
+    df = frame("series_id string, ts timestamp, y double, seq long", rows)
+    choose = quality.suggest_bucket_seconds
+    monkeypatch.setattr(quality, "suggest_bucket_seconds", lambda d, target_rows=60, widest=86400: choose(d, 60, widest))
+    width = quality.bucket_width(df, None, 86400)
+    most = df.groupBy("series_id", quality.time_bucket("ts", width).alias("b")).count().agg({"count": "max"}).first()[0]
+    assert most <= 180 and width < 3600
+    same = [sorted(map(tuple, op.collect())) for op in (quality.gap_segments(df), quality.gap_segments(df, bucket_seconds=86400))]
+    assert same[0] == same[1]
