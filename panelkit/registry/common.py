@@ -75,18 +75,24 @@ def panel(spark: SparkSession, sf: str) -> DataFrame:
     return settled(panels.supplier_panel(spark, sf), "panel")
 
 
-def predictions(spark: SparkSession, sf: str) -> DataFrame:
-    p = panels.supplier_panel(spark, sf)
+def predicted(p: DataFrame) -> DataFrame:
     return backtest.baselines(p, HORIZON, FOLDS, MIN_TRAIN, SEASON, CYCLES, LONG)
 
 
-def scores(spark: SparkSession, sf: str) -> DataFrame:
-    p = panel(spark, sf)
-    preds = backtest.baselines(p, HORIZON, FOLDS, MIN_TRAIN, SEASON, CYCLES, LONG)
+def scored(p: DataFrame, preds: DataFrame) -> DataFrame:
     scale = metrics.mase_scale(p, backtest.first_train_end(HORIZON, FOLDS, MIN_TRAIN), SEASON)
     return metrics.score(preds, scale)
 
 
+def predictions(spark: SparkSession, sf: str) -> DataFrame:
+    return predicted(panels.supplier_panel(spark, sf))
+
+
+def scores(spark: SparkSession, sf: str) -> DataFrame:
+    p = panel(spark, sf)
+    return scored(p, predicted(p))
+
+
 def supplier_tiers(spark: SparkSession, sf: str) -> DataFrame:
     """Series dimension: tier by the sign of the supplier's balance rank."""
     s = panels.table(spark, sf, "supplier")

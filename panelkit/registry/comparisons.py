@@ -196,9 +196,9 @@ ROLL = """roll AS (SELECT model_a, model_b, count(*) AS n_series, count_if(coale
   FROM adjusted GROUP BY model_a, model_b)"""
 
 
-def _rollup(spark, sf):
-    t = settled(_tests(spark, sf), "tests")
-    t = settled(stats.benjamini_hochberg(t, ["model_a", "model_b"]), "adjusted")
+def _rollup(spark, sf, preds=None):
+    t = _tests(spark, sf) if preds is None else stats.paired_summary(preds, MODELS, HORIZON)
+    t = settled(stats.benjamini_hochberg(settled(t, "tests"), ["model_a", "model_b"]), "adjusted")
     return stats.panel_rollup(t)
 
 

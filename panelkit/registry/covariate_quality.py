@@ -44,9 +44,9 @@ profile AS (SELECT series_id, variable, lead_day, count(*) AS n, avg(abs(e)) AS
   FROM lagx GROUP BY ALL HAVING count(*) >= 48)"""
 
 
-def _profile(spark, sf):
+def _profile(spark, sf, long=None):
     """Persistence at 1 to 3 rows plays the forecast of each lead."""
-    long = _long(spark, sf)
+    long = _long(spark, sf) if long is None else long
     rows = over_rows(
         long,
         ["series_id", "variable"],
@@ -102,8 +102,9 @@ def i3(spark, sf):
     FROM persist p JOIN model m ON m.variable = p.variable GROUP BY p.variable""",
 )
 def i3_alpha(spark, sf):
-    frac = c.persistence_fraction(_long(spark, sf), horizon=13)
-    return c.persistence_alpha(frac, c.error_model(_profile(spark, sf)))
+    long = settled(_long(spark, sf), "long")
+    frac = c.persistence_fraction(long, horizon=13)
+    return c.persistence_alpha(frac, c.error_model(_profile(spark, sf, long)))
 
 
 def _uniform(tag: str) -> str:

@@ -12,8 +12,11 @@ from panelkit.registry.common import (
     TIERS,
     Registry,
     d,
+    panel,
+    predicted,
     predictions,
     r,
+    scored,
     scores,
     supplier_tiers,
     t,
@@ -101,11 +104,14 @@ def j2_raw(spark, sf):
     FROM st LEFT JOIN rk ON rk.model = st.model LEFT JOIN w ON w.model = st.model""",
 )
 def j3(spark, sf):
-    s = settled(scores(spark, sf), "scores")
+    """Panel and predictions are built once, for scores and tests alike."""
+    p = panel(spark, sf)
+    preds = settled(predicted(p), "preds")
+    s = settled(scored(p, preds), "scores")
     out = report.accuracy_table(
         report.panel_stats(s, ["model"]),
         stats.average_ranks(_ranks(spark, sf, s), ["panel"], len(MODELS)),
-        report.oriented_wins(_rollup(spark, sf), "seasonal_mean"),
+        report.oriented_wins(_rollup(spark, sf, preds), "seasonal_mean"),
     )
     return out.drop("critical_difference").fillna(-1, ["ref_wins_fdr", "model_wins_fdr"])
 
