@@ -7,7 +7,7 @@ checkpoint, so a restarted query continues where it stopped.
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from collections.abc import Callable, Sequence
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -49,19 +49,22 @@ def run_once(
     return spark.read.schema(stream.schema).parquet(out)
 
 
-def run_complete(stream: DataFrame, name: str) -> DataFrame:
-    """Drive an aggregate without watermark; the last full result is returned.
+def run_latest(stream: DataFrame, keys: Sequence[str], name: str) -> DataFrame:
+    """Drive an aggregate without watermark; the latest row of each key is returned.
 
-    Each micro-batch overwrites its own folder, so a retried batch is harmless.
+    A micro-batch writes the keys that it changed, to a folder of its own number,
+    so a retried batch is harmless and old state is not written again; the reader
+    keeps each key's row of the highest batch.
     """
     spark = stream.sparkSession
     base = shared_dir(spark, name)
+    rest = [c for c in stream.columns if c not in keys]
 
     def save(df: DataFrame, batch: int) -> None:
         df.write.mode("overwrite").parquet(f"{base}/rows/batch={batch}")
 
     (
-        stream.writeStream.outputMode("complete")
+        stream.writeStream.outputMode("update")
         .option("checkpointLocation", f"{base}/checkpoint")
         .trigger(availableNow=True)
         .foreachBatch(save)
@@ -69,8 +72,8 @@ def run_complete(stream: DataFrame, name: str) -> DataFrame:
         .awaitTermination()
     )
     every = spark.read.parquet(f"{base}/rows")
-    newest = every.agg(F.max("batch").alias("batch"))
-    return every.join(newest, "batch", "left_semi").drop("batch")
+    last = every.groupBy(*keys).agg(F.max_by(F.struct(*rest), "batch").alias("_last"))
+    return last.select(*keys, *[F.col(f"_last.{c}").alias(c) for c in rest])
 
 
 def deduplicated(stream: DataFrame, delay: str = "1 hour") -> DataFrame:
@@ -105,10 +108,11 @@ def gap_sessions(stream: DataFrame, gap: str = "48 hours", delay: str = "1 hour"
 
 
 def running_scores(stream: DataFrame) -> DataFrame:
-    """Running error sums per (series, model); MAE and RMSE at any moment."""
+    """Running error sums per (series, model); MAE, RMSE and MASE's numerator at any moment."""
     e = F.col("y_true") - F.col("y_pred")
     g = stream.groupBy("series_id", "model").agg(
         F.count(F.lit(1)).alias("n_points"),
+        F.sum(F.abs(e)).alias("abs_error_sum"),
         F.avg(F.abs(e)).alias("MAE"),
         F.sqrt(F.avg(e * e)).alias("RMSE"),
     )
