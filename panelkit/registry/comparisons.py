@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from panelkit.functions import tails
-from panelkit.operators import decide, metrics, report, stats
+from panelkit.operators import decide, features, metrics, report, stats
 from panelkit.operators import backtest as b
 from panelkit.registry.common import (
     FOLDS,
@@ -15,13 +15,20 @@ from panelkit.registry.common import (
     MODELS,
     PREDS,
     SCORED,
+    SCORES,
+    SEASON,
+    SUPPLIER_PANEL,
     TIERS,
     WIDE,
     Registry,
+    panel,
     predictions,
     r,
+    scale_cte,
+    scored,
     scores,
     supplier_tiers,
+    t,
 )
 from panelkit.session import settled
 from panelkit.sources import panels
@@ -550,3 +557,69 @@ def g25(spark, sf):
     p = _paired(spark, sf).withColumn("domain", F.lit("demand"))
     out = stats.foresight_ablation(p, ["domain"], "seasonal_mean", "last_value", "seasonal_naive")
     return out.drop("p_gain", "p_perfect", "p_causal", "verdict")
+
+
+# Two features have a 2 x 2 closed form, so SQL follows the covariate configurations end to end.
+CONFIG_SQL = f"""{SUPPLIER_PANEL},
+rows AS MATERIALIZED (SELECT a.series_id, a.pos, a.n, g.lead, m.mode, a.y AS x1,
+    CASE m.mode WHEN 'causal' THEN a.wx_discount WHEN 'perfect' THEN b.wx_discount ELSE 0.0 END AS x2, b.y AS target, b.ts AS target_ts
+  FROM panel a CROSS JOIN (SELECT unnest([1, 2, 3, 4]) AS lead) g CROSS JOIN (SELECT unnest(['none', 'causal', 'perfect']) AS mode) m
+  JOIN panel b ON b.series_id = a.series_id AND b.pos = a.pos + g.lead),
+sums AS (SELECT series_id, lead, mode, fold, count(*) AS c, avg(x1) AS m1, avg(x2) AS m2, avg(target) AS my, stddev_pop(x1) AS s1,
+    stddev_pop(x2) AS s2, covar_pop(x1, x2) AS c12, covar_pop(x1, target) AS c1y, covar_pop(x2, target) AS c2y
+  FROM rows CROSS JOIN (SELECT unnest(range(6)) AS fold) f
+  WHERE pos + lead < n - 24 + fold * 4 AND x2 IS NOT NULL GROUP BY ALL),
+normed AS (SELECT *, CASE WHEN s1 > 0 THEN c ELSE 0 END + 1.0::DOUBLE AS z11, CASE WHEN s2 > 0 THEN c ELSE 0 END + 1.0::DOUBLE AS z22,
+    CASE WHEN s1 > 0 AND s2 > 0 THEN c * c12 / s1 / s2 ELSE 0 END AS z12,
+    CASE WHEN s1 > 0 THEN c * c1y / s1 ELSE 0 END AS r1, CASE WHEN s2 > 0 THEN c * c2y / s2 ELSE 0 END AS r2 FROM sums),
+fit AS (SELECT *, CASE WHEN s1 > 0 THEN (r1 * z22 - z12 * r2) / (z11 * z22 - z12 * z12) / s1 ELSE 0 END AS b1,
+    CASE WHEN s2 > 0 THEN (r2 * z11 - z12 * r1) / (z11 * z22 - z12 * z12) / s2 ELSE 0 END AS b2 FROM normed),
+preds AS MATERIALIZED (SELECT f.series_id, f.mode AS model, f.fold, f.lead, r.pos + r.lead AS pos, r.target_ts AS ts, r.target AS y_true,
+    f.my + f.b1 * (r.x1 - f.m1) + f.b2 * (r.x2 - f.m2) AS y_pred
+  FROM fit f JOIN rows r ON r.series_id = f.series_id AND r.lead = f.lead AND r.mode = f.mode AND r.pos = r.n - 24 + f.fold * 4 - 1
+  WHERE r.pos + 1 > {MIN_TRAIN})"""
+CONFIGS = {"none": (), "causal": ("cov0_wx_discount",), "perfect": ("fut_wx_discount",)}
+
+
+def _config_predictions(p):
+    """The same direct ridge without the covariate, with its value at the origin, and with its value at the target."""
+    out = None
+    for mode, extra in CONFIGS.items():
+        d = features.design(p, range(1, HORIZON + 1), ["wx_discount"] if extra else (), mode, lags=(0,), rolls=(), cal=False)
+        one = b.direct_ridge(d, ["ylag_0", *extra], HORIZON, FOLDS, MIN_TRAIN, model=mode)
+        out = one if out is None else out.unionByName(one)
+    return out
+
+
+@reg.add(
+    "e4_covariate_configs",
+    f"""WITH {CONFIG_SQL} SELECT series_id, model, fold, lead, pos, {t("ts")}, {r("y_true")}, {r("y_pred")} FROM preds""",
+)
+def e4_configs(spark, sf):
+    return _config_predictions(panel(spark, sf))
+
+
+@reg.add(
+    "g25_foresight_configs",
+    f"""WITH {CONFIG_SQL}, {scale_cte(HORIZON, FOLDS, MIN_TRAIN, SEASON)}, {SCORES},
+    wide AS MATERIALIZED (SELECT 'demand' AS domain, series_id, avg(MASE) FILTER (model = 'none') AS a,
+        avg(MASE) FILTER (model = 'perfect') AS b, avg(MASE) FILTER (model = 'causal') AS c FROM scores GROUP BY series_id),
+    x AS MATERIALIZED (SELECT domain, a, b, c FROM wide WHERE a IS NOT NULL AND b IS NOT NULL AND c IS NOT NULL),
+    tests AS (SELECT domain, 'gain' AS test, c - b AS d FROM x UNION ALL SELECT domain, 'perfect', b - a FROM x UNION ALL SELECT domain, 'causal', c - a FROM x),
+    {signed_rank_sql("tests", "domain, test", "d")},
+    p AS (SELECT domain, max(p_wilcoxon) FILTER (test = 'gain') AS p_gain, max(p_wilcoxon) FILTER (test = 'perfect') AS p_perfect,
+        max(p_wilcoxon) FILTER (test = 'causal') AS p_causal FROM sr GROUP BY domain),
+    g AS (SELECT domain, count(*) AS n, avg(b) AS mean_perfect, avg(c) AS mean_causal, avg(a) AS mean_base, avg(c - b) AS foresight_gain,
+        count_if(b - a < 0) AS perfect_wins, count_if(c - a < 0) AS causal_wins FROM x GROUP BY domain)
+    SELECT domain, n, {r("mean_perfect")}, {r("mean_causal")}, {r("mean_base")}, {r("foresight_gain")}, perfect_wins, causal_wins,
+      {r("p_gain")}, {r("p_perfect")}, {r("p_causal")},
+      CASE WHEN p_perfect < 0.05 AND p_causal >= 0.05 THEN 'depends on foresight' WHEN p_causal < 0.05 THEN 'robust to causal covariates'
+        ELSE 'no significant lead' END AS verdict
+    FROM g JOIN p USING (domain)""",
+)
+def g25_configs(spark, sf):
+    """Backtest by covariate configuration, scored on one scale, tested across series."""
+    p = panel(spark, sf)
+    s = scored(p, settled(_config_predictions(p), "configs"))
+    wide = settled(decide.wide_scores(s, list(CONFIGS)).withColumn("domain", F.lit("demand")), "wide")
+    return stats.foresight_ablation(wide, ["domain"], "perfect", "causal", "none")

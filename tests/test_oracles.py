@@ -16,7 +16,7 @@ from panelkit import registry
 
 SF = os.environ.get("PANELKIT_SF", "/root/testdata/sf0.001")
 SMALL = SF.endswith("sf0.001")
-LARGE_SAMPLE = {"g11_signed_rank", "g21_lead_tests", "g14_pearson", "g18_tost"}
+LARGE_SAMPLE = {"g11_signed_rank", "g21_lead_tests", "g14_pearson", "g18_tost", "g25_foresight_configs"}
 QUERIES, ORACLES = registry.all_queries(), registry.all_oracles()
 
 
