@@ -40,8 +40,8 @@ _BLOCK = frozenset(
 _OPEN_ENDED = frozenset("p h1 h2 h3 h4 h5 h6 dt dd".split())
 _HOLDERS = frozenset("article main section div td body".split())
 _NAMED = frozenset(
-    "ad ads advert advertisement adverts banner breadcrumb breadcrumbs comment comments consent cookie cookies disqus footer header masthead menu "
-    "modal nav navbar navigation newsletter notice popup promo promoted related share sharing sidebar signup social sponsor sponsored subscribe toolbar widget".split()
+    "ad adbox ads adsbygoogle adslot advert advertisement adverts banner breadcrumb breadcrumbs comment comments consent cookie cookies disqus footer gdpr header masthead menu "
+    "modal nav navbar navigation newsletter notice popup promo promoted related replies share sharing sidebar sidenav signup social sponsor sponsored subnav subscribe toolbar topnav widget".split()
 )
 _ROLES = frozenset("navigation banner contentinfo complementary search form dialog alert menu menubar toolbar".split())
 _CUT_TAG = re.compile(r"<[A-Za-z/!?]").match

@@ -254,7 +254,8 @@ def with_spans(docs: DataFrame, window: int = WINDOW, hot_runs: int = HOT_RUNS)
     runs = settled(_runs(docs, window), "runs")
     ids = F.min(_ID).alias("lo"), F.max(_ID).alias("hi"), F.min("run").alias("run_lo"), F.max("run").alias("run_hi")
     shared = runs.groupBy("anchor").agg(*ids).where("lo < hi").select("anchor", (F.col("run_lo") != F.col("run_hi")).alias("mixed"))
-    live = settled(runs.join(shared, "anchor"), "live")
+    # written, so that the join is between two plain shuffles and a frequent anchor can be split
+    live = settled(runs.join(settled(shared, "shared"), "anchor"), "live")
     earliest = live.groupBy("anchor", "run", "mixed").agg(F.min(_ID).alias("earliest"))
     crowded = earliest.where("mixed").groupBy("anchor").count().where(F.col("count") > hot_runs).select("anchor", F.lit(True).alias("hot"))
     judged = live.join(earliest.drop("mixed"), ["anchor", "run"]).where(f"{_ID} > earliest OR mixed").join(crowded, "anchor", "left")
