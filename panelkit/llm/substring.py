@@ -66,16 +66,24 @@ def least_positions(marks: np.ndarray, width: int) -> np.ndarray:
 
 
 def anchored_runs(words: np.ndarray, window: int, gram: int) -> tuple[np.ndarray, ...]:
-    """First window, number of windows, anchor and fingerprint of each run."""
+    """First window, number of windows, further windows by repetition, anchor and fingerprint of each run.
+
+    In periodic text a run is followed by equal ones; they count as its repetitions.
+    A span of a run, at least a window long, overlaps the same span of the next
+    repetition, so all of them together only end that many words later.
+    """
     n = len(words) - window + 1
     if n <= 0:
         none = np.empty(0, np.int64)
-        return none, none, none, none
+        return none, none, none, none, none
     marks = grams(words, gram)
     at = least_positions(marks, window - gram + 1)
     first = np.flatnonzero(np.r_[True, at[1:] != at[:-1]])
     last = np.r_[first[1:], n]
-    return first, last - first, marks[at[first]].view(np.int64), spans(words, first, last + window - 1).view(np.int64)
+    size, anchor, run = last - first, marks[at[first]].view(np.int64), spans(words, first, last + window - 1).view(np.int64)
+    kept = np.flatnonzero(np.r_[True, (size[1:] != size[:-1]) | (anchor[1:] != anchor[:-1]) | (run[1:] != run[:-1])])
+    times = np.diff(np.r_[kept, len(first)])
+    return first[kept], size[kept], size[kept] * (times - 1), anchor[kept], run[kept]
 
 
 class SuffixAutomaton:
@@ -141,29 +149,29 @@ def _runs(docs: DataFrame, window: int) -> DataFrame:
         parts = []
         for doc_id, text_hash, words in zip(ids, hashes, texts_hashes([(t or "").encode() for t in texts]), strict=True):
             if doc_id is not None and len(words) >= window:
-                first, n, anchor, run = anchored_runs(words, window, GRAM)
-                parts.append((np.full(len(first), doc_id), np.full(len(first), text_hash), first, n, anchor, run))
-        return [np.concatenate(c) for c in zip(*parts, strict=True)] if parts else [[]] * 6
+                first, n, more, anchor, run = anchored_runs(words, window, GRAM)
+                parts.append((np.full(len(first), doc_id), np.full(len(first), text_hash), first, n, more, anchor, run))
+        return [np.concatenate(c) for c in zip(*parts, strict=True)] if parts else [[]] * 7
 
-    out = {_ID: "long", _HASH: "long", "start": "long", "n": "long", "anchor": "long", "run": "long"}
+    out = {_ID: "long", _HASH: "long", "start": "long", "n": "long", "more": "long", "anchor": "long", "run": "long"}
     return map_slices(docs.select(_ID, _HASH, "text"), "text", out, work)
 
 
 _KEYED = {
-    "kind": "int", "key": "long", "key2": "long", _ID: "long", _HASH: "long", "start": "long", "end": "long", "words": "string",
+    "kind": "int", "key": "long", "key2": "long", _ID: "long", _HASH: "long", "start": "long", "end": "long", "more": "long", "words": "string",
 }
 _SPAN = {_ID: "long", _HASH: "long", "start": "long", "end": "long"}
 _SPAN_KIND, _RUN_KIND, _WINDOW_KIND = 0, 1, 2
 
 
 def _earliest(rows: list[tuple], window: int) -> Iterator[tuple]:
-    """Of hot windows (key, key2, doc_id, text hash, start): the earliest document's of each, and spans of the others."""
+    """Of hot windows (key, key2, doc_id, text hash, start, more): the earliest document's of each, and spans of the others."""
     rows.sort()
     for _, own in groupby(rows, key=lambda r: r[:2]):
         own = list(own)
-        for key, key2, doc_id, text_hash, start in own:
+        for key, key2, doc_id, text_hash, start, more in own:
             kind = _SPAN_KIND if doc_id > own[0][2] else _WINDOW_KIND
-            yield kind, key if kind else doc_id, key2, doc_id, text_hash, start, start + window, None
+            yield kind, key if kind else doc_id, key2, doc_id, text_hash, start, start + window + more, 0, None
 
 
 def _contested(window: int, hot_buffer: int = 500_000):
@@ -189,9 +197,9 @@ def _contested(window: int, hot_buffer: int = 500_000):
                         if r["hot"]:
                             at = np.arange(start, end - window + 1)
                             key, key2 = spans(marks, at, at + window), spans(marks ^ U(0x5851F42D4C957F2D), at, at + window)
-                            hot += [(int(a), int(b), doc_id, text_hash, int(i)) for a, b, i in zip(key.view(np.int64), key2.view(np.int64), at, strict=True)]
+                            hot += [(int(a), int(b), doc_id, text_hash, int(i), r["more"]) for a, b, i in zip(key.view(np.int64), key2.view(np.int64), at, strict=True)]
                         else:
-                            rows.append((_RUN_KIND, r["anchor"], None, doc_id, text_hash, start, end, b" ".join(words[start:end]).decode()))
+                            rows.append((_RUN_KIND, r["anchor"], None, doc_id, text_hash, start, end, r["more"], b" ".join(words[start:end]).decode()))
                 if rows:
                     yield packed(rows)
                 if len(hot) >= hot_buffer:
@@ -226,11 +234,11 @@ def _shards(window: int):
                 for words in pending:
                     automaton.add(words)
                 pending = []
-                for _, _, _, doc_id, text_hash, start, _, text in same:
+                for _, _, _, doc_id, text_hash, start, _, more, text in same:
                     pending.append(text.split(" "))
                     if first is not None:
                         for a, b in automaton.matches(pending[-1], window):
-                            yield doc_id, text_hash, start + a, start + b
+                            yield doc_id, text_hash, start + a, start + b + more
                 first = doc
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -258,13 +266,14 @@ def with_spans(docs: DataFrame, window: int = WINDOW, hot_runs: int = HOT_RUNS)
     live = settled(runs.join(settled(shared, "shared"), "anchor"), "live")
     earliest = live.groupBy("anchor", "run", "mixed").agg(F.min(_ID).alias("earliest"))
     crowded = earliest.where("mixed").groupBy("anchor").count().where(F.col("count") > hot_runs).select("anchor", F.lit(True).alias("hot"))
+    crowded = settled(crowded, "crowded")  # as above
     judged = live.join(earliest.drop("mixed"), ["anchor", "run"]).where(f"{_ID} > earliest OR mixed").join(crowded, "anchor", "left")
     judged = settled(judged.withColumn("hot", F.coalesce("hot", F.lit(False))), "judged")
-    whole = judged.where(f"{_ID} > earliest").select(_ID, _HASH, "start", (F.col("start") + F.col("n") + window - 1).alias("end"))
+    whole = judged.where(f"{_ID} > earliest").select(_ID, _HASH, "start", (F.col("start") + F.col("n") + F.col("more") + window - 1).alias("end"))
     contested = (
         judged.where(f"{_ID} = earliest")
         .groupBy(_ID, _HASH)
-        .agg(F.collect_list(F.struct("start", "n", "anchor", "hot")).alias("__runs"))  # at most the document's own runs
+        .agg(F.collect_list(F.struct("start", "n", "more", "anchor", "hot")).alias("__runs"))  # at most the document's own runs
     )
     # used twice with the same columns, so that its shuffle is written once
     texts = docs.repartition(parts, _ID, _HASH)

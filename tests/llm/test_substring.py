@@ -28,6 +28,8 @@ def corpus(seed: int) -> list[tuple]:
         rows.append((i, r.choice([" ", "\n", "  "]).join(words), "en", 7, 1))
     rows += [(None, rows[3][1], "en", 1, 1), (100, None, None, None, None), (101, "", "en", 0, 0), rows[5], (7, rows[9][1], "en", 1, 1)]
     rows += [(200, "w " * 300, "en", 1, 1), (201, "w " * 120, "en", 1, 1), (202, " ".join(f"u{i % 70}" for i in range(20_000)), "en", 1, 1)]
+    rows += [(300 + j, " ".join(["v", "z"][j % 2 :] * r.randint(40, 300)), "en", 1, 1) for j in range(6)]
+    rows += [(320 + j, f"s{j} " + "l m " * r.randint(20, 90) + "l x " * 40 + "m l " * 60, "en", 1, 1) for j in range(5)]
     rows += [(203 + j, " ".join(f"u{i % 70}" for i in range(j, 500)), "en", 1, 1) for j in range(3)]
     r.shuffle(rows)
     return rows
