@@ -4,10 +4,12 @@ The standard library's streaming parser gives start, end and data events.  Text
 between block-level tags is a block, the page's "line"; its ratio is its characters
 per tag inside it.  Ratios are smoothed with a Gaussian along the page, and the
 threshold is their standard deviation.  Blocks cluster by the element that holds
-them (an ``article``, else ``main``, else the nearest division); a cluster is content
-if one of its blocks reaches the threshold, smoothed and by itself.  Content clusters keep all their
-blocks, so short paragraphs between long ones stay; if no cluster reaches it, the best
-one is taken.  Elements that say what they are (navigation, headers, footers, sidebars,
+them (an ``article``, else a ``main`` without articles, else the nearest division); a
+cluster is content if one of its blocks reaches the threshold, smoothed and by itself.
+All clusters compete: the ratio of one in ``article`` or ``main`` counts ``BONUS``
+times, no more.  Content clusters keep all their blocks, so short paragraphs between
+long ones stay; so do headings of a ``main`` before content.  If no cluster reaches the
+threshold, the best one is taken.  Elements that say what they are (navigation, headers, footers, sidebars,
 forms, scripts, and those whose class, id or role names such a part) never count as
 content, but their ratios take part in the smoothing.
 
@@ -28,6 +30,8 @@ from panelkit.llm.arrow import map_slices
 
 #: Width of the Gaussian, in blocks, and how far it reaches.
 SIGMA, REACH = 1.0, 3
+#: How much more a ratio counts in an article or main element.
+BONUS = 1.5
 _SKIPPED = frozenset(
     "head title script style noscript template nav header footer aside form button select textarea iframe object svg canvas dialog menu".split()
 )
@@ -37,6 +41,7 @@ _BLOCK = frozenset(
     "header hr html li main menu nav ol p pre section summary table tbody td tfoot th thead tr ul".split()
 )
 #: Elements that end when the next block starts; those that hold clusters of blocks.
+_HEADINGS = frozenset("h1 h2 h3 h4 h5 h6".split())
 _OPEN_ENDED = frozenset("p h1 h2 h3 h4 h5 h6 dt dd".split())
 _HOLDERS = frozenset("article main section div td body".split())
 _NAMED = frozenset(
@@ -61,11 +66,12 @@ def _says_no_content(attributes: list[tuple[str, str | None]]) -> bool:
 
 
 class Blocks(HTMLParser):
-    """Blocks of a page: (text, tags, cluster or None for what can't be content)."""
+    """Blocks of a page: (text, tags, cluster or None for what can't be content, is a heading)."""
 
     def __init__(self) -> None:
         super().__init__(convert_charrefs=True)
-        self.blocks: list[tuple[str, int, tuple | None]] = []
+        self.blocks: list[tuple[str, int, tuple | None, bool]] = []
+        self.split: set[int] = set()  # main elements that hold articles
         self.open: list[tuple[str, bool, int]] = []  # tag, skipped, number
         self.number = self.skipped = self.tags = 0
         self.parts: list[str] = []
@@ -74,19 +80,23 @@ class Blocks(HTMLParser):
         if self.parts:
             text = " ".join("".join(self.parts).split())
             if text:
-                self.blocks.append((text, self.tags, None if self.skipped else self._cluster()))
+                heading = any(tag in _HEADINGS for tag, _, _ in self.open[-1:])
+                self.blocks.append((text, self.tags, None if self.skipped else self._cluster(), heading))
         self.parts, self.tags = [], 0
 
     def _cluster(self) -> tuple:
-        holder = (0, 0)
+        """Level (2 article, 1 main, 0 neither), element and nearest division."""
+        level = holder = nearest = 0
         for tag, _, number in self.open:
             if tag == "article":
-                return (2, number)  # the outermost one
+                return (2, number, number)  # the outermost one
             if tag == "main":
-                holder = (1, number)
-            elif tag in _HOLDERS and holder[0] == 0:
-                holder = (0, number)
-        return holder
+                level, holder = 1, number
+            elif tag in _HOLDERS and level == 0:
+                holder = number
+            if tag in _HOLDERS:
+                nearest = number
+        return (level, holder, nearest)
 
     def _pop(self, at: int) -> None:
         self.skipped -= sum(entry[1] for entry in self.open[at:])
@@ -110,6 +120,8 @@ class Blocks(HTMLParser):
             self.number += 1
             self.open.append((tag, skip, self.number))
             self.skipped += skip
+            if tag == "article" and not self.skipped:
+                self.split.update(number for name, _, number in self.open if name == "main")
 
     def handle_startendtag(self, tag: str, attributes: list) -> None:
         self.handle_starttag(tag, attributes)
@@ -151,20 +163,24 @@ def main_text(html: str | None) -> str:
     parser = Blocks()
     parser.feed(html)
     parser.close()
-    own = [len(text) / (1 + tags) for text, tags, _ in parser.blocks]
+    own = [len(text) / (1 + tags) for text, tags, _, _ in parser.blocks]
     ratios = smoothed(own)
+    clusters = [c and (c[0], c[2] if c[0] == 1 and c[1] in parser.split else c[1]) for _, _, c, _ in parser.blocks]
     best: dict[tuple, float] = {}
-    for (_, _, cluster), *both in zip(parser.blocks, ratios, own, strict=True):
+    for cluster, *both in zip(clusters, ratios, own, strict=True):
         if cluster is not None:  # a short block beside long ones is none of their kind by itself
-            best[cluster] = max(best.get(cluster, 0.0), min(both))
+            best[cluster] = max(best.get(cluster, 0.0), min(both) * (BONUS if cluster[0] else 1.0))
     if not best:
         return ""
-    level = max(level for level, _ in best)  # articles, else main parts, else divisions
-    best = {c: r for c, r in best.items() if c[0] == level}
     mean = sum(ratios) / len(ratios)
     threshold = math.sqrt(sum((r - mean) ** 2 for r in ratios) / len(ratios))
-    chosen = {c for c, r in best.items() if r >= threshold} or {max(best, key=lambda c: (best[c], -c[1]))}
-    return "\n\n".join(text for text, _, cluster in parser.blocks if cluster in chosen)
+    chosen = {c for c, r in best.items() if r >= threshold} or {max(best, key=lambda c: (best[c], c[0], -c[1]))}
+    kept, follows = [], False
+    for (text, _, _, heading), cluster in zip(reversed(parser.blocks), reversed(clusters), strict=True):
+        if cluster in chosen or follows and heading and cluster is not None and cluster[0] == 1:
+            kept.append(text)
+            follows = True
+    return "\n\n".join(reversed(kept))
 
 
 def extract(pages: DataFrame) -> DataFrame:

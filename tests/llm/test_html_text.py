@@ -41,6 +41,21 @@ def test_pages_without_article_elements():
     assert html_text.main_text("just &lt;words&gt;  and\nmore") == "just <words> and more"
 
 
+def test_teaser_articles_do_not_replace_the_body():
+    body = "".join(f"<p>{'long body text ' * n}</p>" for n in (30, 4, 40, 25))
+    teasers = "".join(f"<article><h3><a href=/{i}>Teaser {i}</a></h3><p>Read <a href=/{i}>more</a></p></article>" for i in range(4))
+    got = html_text.main_text(f"<body><div class=text>{body}</div><div class=cards>{teasers}</div></body>")
+    assert got.count("long body text") == 99 and "Teaser" not in got
+
+
+def test_heading_and_lead_in_main_outside_the_article_stay():
+    lead, text = "lead words here " * 20, "article words " * 40
+    html = f"<body><main><h1>Title</h1><p>{lead}</p><article><p>{text}</p></article><div><a href=/a>x</a> <a href=/b>y</a></div></main></body>"
+    assert html_text.main_text(html).split("\n\n") == ["Title", lead.strip(), text.strip()]
+    html = f"<body><main><h1>Title</h1><article><p>{text}</p><p>{text}</p></article></main></body>"
+    assert html_text.main_text(html).split("\n\n") == ["Title", text.strip(), text.strip()]
+
+
 def test_smoothing_is_a_weighted_mean():
     got = html_text.smoothed([0.0, 0.0, 10.0, 0.0, 0.0])
     assert got[2] == max(got) and got[1] == got[3] and all(0 < x < 10 for x in got)
