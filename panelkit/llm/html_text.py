@@ -11,7 +11,11 @@ times, no more.  Content clusters keep all their blocks, so short paragraphs bet
 long ones stay; so do headings of a ``main`` before content.  If no cluster reaches the
 threshold, the best one is taken.  Elements that say what they are (navigation, headers, footers, sidebars,
 forms, scripts, and those whose class, id or role names such a part) never count as
-content, but their ratios take part in the smoothing.
+content, but their ratios take part in the smoothing.  A class or id is a weaker word:
+where its element holds an article or main, or most of the text of a page without
+these, it only lowers ratios to ``PENALTY`` times, and where it holds both it counts for
+nothing.  What a name says
+after ``has``, ``no``, ``with`` or ``without`` is about something else.
 
 Defined cases: null, empty and textless pages give an empty text; unclosed and cut-off
 markup is read as far as it goes; null ids and repeated rows are carried; extra columns
@@ -22,6 +26,7 @@ from __future__ import annotations
 
 import math
 import re
+from collections import Counter
 from html.parser import HTMLParser
 
 from pyspark.sql import DataFrame
@@ -32,6 +37,8 @@ from panelkit.llm.arrow import map_slices
 SIGMA, REACH = 1.0, 3
 #: How much more a ratio counts in an article or main element.
 BONUS = 1.5
+#: What is left of a ratio under a name that holds an article or main.
+PENALTY = 0.5
 _SKIPPED = frozenset(
     "head title script style noscript template nav header footer aside form button select textarea iframe object svg canvas dialog menu".split()
 )
@@ -49,29 +56,39 @@ _NAMED = frozenset(
     "modal nav navbar navigation newsletter notice popup promo promoted related replies share sharing sidebar sidenav signup social sponsor sponsored subnav subscribe toolbar topnav widget".split()
 )
 _ROLES = frozenset("navigation banner contentinfo complementary search form dialog alert menu menubar toolbar".split())
+_MODIFIERS = frozenset("has no with without".split())
 _CUT_TAG = re.compile(r"<[A-Za-z/!?]").match
 _TOKENS = re.compile(r"[a-z0-9]+")
 _GAUSS = [math.exp(-(d * d) / (2 * SIGMA * SIGMA)) for d in range(REACH + 1)]
 
 
-def _says_no_content(attributes: list[tuple[str, str | None]]) -> bool:
+def _named(attributes: list[tuple[str, str | None]]) -> bool:
+    """A class or id names a part that is no content."""
     for name, value in attributes:
         if name in ("class", "id"):
-            words = re.sub(r"([a-z])([A-Z])", r"\1-\2", value or "").lower()
-            if not _NAMED.isdisjoint(_TOKENS.findall(words)):
-                return True
-        elif name == "role" and (value or "").lower() in _ROLES or name == "hidden" or name == "aria-hidden" and value == "true":
-            return True
+            for words in re.sub(r"([a-z])([A-Z])", r"\1-\2", value or "").lower().split():
+                tokens = _TOKENS.findall(words)
+                own = next((i for i, t in enumerate(tokens) if t in _MODIFIERS), len(tokens))
+                if not _NAMED.isdisjoint(tokens[:own]):
+                    return True
     return False
 
 
+def _shut(attributes: list[tuple[str, str | None]]) -> bool:
+    """A role that is no content, or hidden."""
+    return any(n == "role" and (v or "").lower() in _ROLES or n == "hidden" or n == "aria-hidden" and v == "true" for n, v in attributes)
+
+
 class Blocks(HTMLParser):
-    """Blocks of a page: (text, tags, cluster or None for what can't be content, is a heading)."""
+    """Blocks of a page: (text, tags, cluster or None for what can't be content, is a heading, named elements around it)."""
 
     def __init__(self) -> None:
         super().__init__(convert_charrefs=True)
-        self.blocks: list[tuple[str, int, tuple | None, bool]] = []
+        self.blocks: list[tuple[str, int, tuple | None, bool, tuple]] = []
         self.split: set[int] = set()  # main elements that hold articles
+        self.holding: set[int] = set()  # named elements that hold articles or main
+        self.parted = False  # there is an article or main
+        self.named: list[int] = []  # numbers of the open named elements
         self.open: list[tuple[str, bool, int]] = []  # tag, skipped, number
         self.number = self.skipped = self.tags = 0
         self.parts: list[str] = []
@@ -81,7 +98,7 @@ class Blocks(HTMLParser):
             text = " ".join("".join(self.parts).split())
             if text:
                 heading = any(tag in _HEADINGS for tag, _, _ in self.open[-1:])
-                self.blocks.append((text, self.tags, None if self.skipped else self._cluster(), heading))
+                self.blocks.append((text, self.tags, None if self.skipped else self._cluster(), heading, tuple(self.named)))
         self.parts, self.tags = [], 0
 
     def _cluster(self) -> tuple:
@@ -100,14 +117,19 @@ class Blocks(HTMLParser):
 
     def _pop(self, at: int) -> None:
         self.skipped -= sum(entry[1] for entry in self.open[at:])
+        while self.named and at < len(self.open) and self.named[-1] >= self.open[at][2]:
+            self.named.pop()
         del self.open[at:]
 
     def handle_starttag(self, tag: str, attributes: list) -> None:
         block = tag in _BLOCK
-        skip = tag in _SKIPPED or (bool(attributes) and _says_no_content(attributes) and tag not in ("html", "body", "article", "main"))
-        if tag == "article" and attributes and _says_no_content([a for a in attributes if a[0] in ("class", "id", "hidden")]):
-            skip = True
-        if block or skip:
+        whole = tag in ("html", "body", "main")
+        skip = tag in _SKIPPED
+        named = False
+        if attributes and not whole and not skip:
+            skip = _shut(attributes) if tag != "article" else any(name == "hidden" for name, _ in attributes)
+            named = not skip and _named(attributes)
+        if block or skip or named:
             self._end_block()
         if block and self.open and self.open[-1][0] in _OPEN_ENDED:
             self._pop(len(self.open) - 1)
@@ -116,10 +138,15 @@ class Blocks(HTMLParser):
         self.tags += 1
         if tag == "br":
             self.parts.append(" ")
-        if tag not in _VOID and (block or skip):
+        if tag not in _VOID and (block or skip or named):
             self.number += 1
             self.open.append((tag, skip, self.number))
             self.skipped += skip
+            if tag in ("article", "main") and not self.skipped and not named:
+                self.holding.update(self.named)
+                self.parted = True
+            if named:
+                self.named.append(self.number)
             if tag == "article" and not self.skipped:
                 self.split.update(number for name, _, number in self.open if name == "main")
 
@@ -163,20 +190,33 @@ def main_text(html: str | None) -> str:
     parser = Blocks()
     parser.feed(html)
     parser.close()
-    own = [len(text) / (1 + tags) for text, tags, _, _ in parser.blocks]
+    own = [len(text) / (1 + tags) for text, tags, *_ in parser.blocks]
     ratios = smoothed(own)
-    clusters = [c and (c[0], c[2] if c[0] == 1 and c[1] in parser.split else c[1]) for _, _, c, _ in parser.blocks]
+    size: Counter[int] = Counter()
+    for text, _, cluster, _, names in parser.blocks:
+        if cluster is not None:
+            size.update(dict.fromkeys((0, *names), len(text)))
+    most = {n for n, chars in size.items() if 2 * chars > size[0]}
+    weak, held = most & parser.holding, parser.holding if parser.parted else most
+    clusters, weights = [], []
+    for _, _, c, _, names in parser.blocks:
+        against = [n for n in names if n not in weak]
+        if c is None or not held.issuperset(against):
+            clusters.append(None)
+        else:
+            clusters.append((c[0], c[2] if c[0] == 1 and c[1] in parser.split else c[1]))
+        weights.append(PENALTY if against else BONUS if c and c[0] else 1.0)
     best: dict[tuple, float] = {}
-    for cluster, *both in zip(clusters, ratios, own, strict=True):
+    for cluster, weight, *both in zip(clusters, weights, ratios, own, strict=True):
         if cluster is not None:  # a short block beside long ones is none of their kind by itself
-            best[cluster] = max(best.get(cluster, 0.0), min(both) * (BONUS if cluster[0] else 1.0))
+            best[cluster] = max(best.get(cluster, 0.0), min(both) * weight)
     if not best:
         return ""
     mean = sum(ratios) / len(ratios)
     threshold = math.sqrt(sum((r - mean) ** 2 for r in ratios) / len(ratios))
     chosen = {c for c, r in best.items() if r >= threshold} or {max(best, key=lambda c: (best[c], c[0], -c[1]))}
     kept, follows = [], False
-    for (text, _, _, heading), cluster in zip(reversed(parser.blocks), reversed(clusters), strict=True):
+    for (text, _, _, heading, _), cluster in zip(reversed(parser.blocks), reversed(clusters), strict=True):
         if cluster in chosen or follows and heading and cluster is not None and cluster[0] == 1:
             kept.append(text)
             follows = True

@@ -56,6 +56,21 @@ def test_heading_and_lead_in_main_outside_the_article_stay():
     assert html_text.main_text(html).split("\n\n") == ["Title", text.strip(), text.strip()]
 
 
+@pytest.mark.parametrize("wrap", ["<div class='site has-sidebar'>", "<div id='content-with-comments'>", "<div class=noSidebar>", "<div class='widget'>", "<section id=related-main>"])
+@pytest.mark.parametrize("article", ["<article>", "<article class='post has-comments'>"])
+def test_names_of_wrappers_do_not_empty_the_page(wrap, article):
+    text = "article words " * 40
+    close = wrap[1:].split()[0]
+    html = f"<body>{wrap}<div class=sidebar><p>{'aside ' * 9}</p></div>{article}<p>{text}</p><p>Short.</p></article><div class=comments><p>{'me too ' * 30}</p></div></{close}></body>"
+    assert html_text.main_text(html) == f"{text.strip()}\n\nShort."
+
+
+def test_a_name_with_an_article_only_lowers_ratios():
+    text, more = "article words " * 30, "other words " * 30
+    html = f"<body><div class=widget><article><p>{text}</p></article></div><div class=more><p>{more}</p><p>{more}</p></div><div class=ad><p>{'buy ' * 20}</p></div></body>"
+    assert html_text.main_text(html).split("\n\n") == [text.strip(), more.strip(), more.strip()]
+
+
 def test_smoothing_is_a_weighted_mean():
     got = html_text.smoothed([0.0, 0.0, 10.0, 0.0, 0.0])
     assert got[2] == max(got) and got[1] == got[3] and all(0 < x < 10 for x in got)
