@@ -171,14 +171,16 @@ def e4_full(spark, sf):
 
 @reg.add("e4_pooled_trees")
 def e4_trees(spark, sf):
-    """Pooled boosted trees on the last fold, one row per series."""
+    """Pooled boosted trees, fitted before the first fold; scored from the origin of every fold, one row per series and fold."""
     d = _full_design(spark, sf)
     target_pos = F.col("pos") + F.col("lead")
+    into = F.col("pos") + 1 - b.first_test_pos(HORIZON, FOLDS)
     train = d.filter(target_pos < b.first_test_pos(HORIZON, FOLDS))
-    test = d.filter((F.col("pos") == F.col("n") - HORIZON - 1) & F.col("target").isNotNull())
-    scored, _ = b.pooled_trees(train, test, [*FEATURES, "lead"], max_iter=5, max_depth=4)
+    test = d.filter((into >= 0) & (into % HORIZON == 0) & (F.col("pos") + 1 > MIN_TRAIN) & F.col("target").isNotNull())
+    test = test.withColumn("fold", F.floor(into / HORIZON).cast("int"))
+    scored, _ = b.pooled_trees(train, test, [*FEATURES, "lead"])
     e = F.abs(F.col("target") - F.col("y_pred"))
-    return scored.groupBy("series_id").agg(F.avg(e).alias("MAE"), F.count(F.lit(1)).alias("n_points"))
+    return scored.groupBy("series_id", "fold").agg(F.avg(e).alias("MAE"), F.count(F.lit(1)).alias("n_points"))
 
 
 EFFECT_SQL = """sums AS (SELECT series_id, fold, count(*) AS c, avg(wx_discount) AS mx, avg(y) AS my,
@@ -364,7 +366,7 @@ def e8_trees(spark, sf):
     d = _full_design(spark, sf)
     names = [*FEATURES, "lead"]
     train = d.filter(F.col("pos") + F.col("lead") < b.first_test_pos(HORIZON, FOLDS))
-    _, weights = b.pooled_trees(train, d, names, max_iter=3, max_depth=3)
+    _, weights = b.pooled_trees(train, d, names)
     pairs = list(zip(names, weights))
     return spark.createDataFrame(pairs, "feature string, importance double").orderBy(F.desc("importance"), "feature")
 

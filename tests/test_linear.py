@@ -112,3 +112,27 @@ def test_small_lead_means_are_not_zeros(frame):
     diffs = frame("series_id string, model_a string, model_b string, lead int, pos long, d double", rows)
     got = stats.lead_tests(diffs).collect()[0]
     assert got["n_favouring_b"] == 20 and got["n_used"] == 20
+
+
+def test_tree_queries_do_the_whole_job(spark, monkeypatch):
+    """Every kept fold of every series is scored, and no query fits less than the operator's default."""
+    from inspect import signature
+
+    from panelkit.registry import all_queries
+
+    whole, kinds, fits = backtest.pooled_trees, signature(backtest.pooled_trees), []
+
+    def small(train, test, features, **given):
+        call = kinds.bind(train, test, features, **given)
+        call.apply_defaults()
+        fits.append((call.arguments["max_iter"], call.arguments["max_depth"]))
+        return whole(train, test, features, max_iter=1, max_depth=2)
+
+    monkeypatch.setattr(backtest, "pooled_trees", small)
+    sf, queries = "/root/testdata/sf0.01", all_queries()
+    got = {(r["series_id"], r["fold"]): r["n_points"] for r in queries["e4_pooled_trees"](spark, sf).collect()}
+    want = {(r["series_id"], r["fold"]) for r in queries["e1_folds"](spark, sf).collect()}
+    assert set(got) == want and {fold for _, fold in want} == set(range(6)) and set(got.values()) == {4}
+    assert queries["e8_tree_importance"](spark, sf).count() == 9
+    default = tuple(kinds.parameters[p].default for p in ("max_iter", "max_depth"))
+    assert fits == [default, default]
