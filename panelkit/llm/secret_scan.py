@@ -4,7 +4,9 @@ Base kinds (assign, access, hex) have the fixed forms below.  The method adds
 ``novel``: a string in sensitive context (a cue shortly before it) is measured by
 the bytes that it adds to a zstandard frame whose dictionary holds common
 identifiers and which already holds the surrounding text.  What can be guessed from
-words, names and neighbours adds little; a random secret adds most of its length.
+words, names and neighbours adds little; a random secret adds most of its length, with
+digits or without.  Fixed bytes without repetitions stand before the string in both
+frames, so that a frame of few bytes does not change its form with the string.
 
 Defined cases: a null text is an empty one; null ids and repeated rows are carried;
 spans count code points, end exclusive; extra columns are left out.
@@ -18,6 +20,7 @@ import zstandard
 from pyspark.sql import DataFrame
 
 from panelkit.llm.arrow import map_slices
+from panelkit.llm.identifiers import WORDS
 
 BASE = ("assign", "access", "hex")
 KINDS = (*BASE, "novel")
@@ -32,9 +35,10 @@ _CUE = re.compile("|".join(_CUES), re.IGNORECASE | re.ASCII)
 _CANDIDATE = re.compile(r"[A-Za-z0-9+/_=-]{16,}")
 #: A candidate starts within this many characters of the cue's end; as much text before it is its context.
 REACH, CONTEXT = 48, 256
-#: Least added bytes for each character (measured in short contexts: random strings 0.88 to 1.3, names 0.5 to 0.8),
-#: and least digits, since identifiers of rare words hold few.
-NOVEL, DIGITS = 0.85, 3
+#: Least added bytes for each character (README has the share of random strings and of unseen names that reach it).
+#: With so many digits it is hardly a name, and less is asked, since hexadecimal strings add less.
+NOVEL, DIGITS, NOVEL_DIGITS = 0.95, 3, 0.75
+_PAD = bytes(range(128, 176))
 _HEX_BYTES = bytes(120 if chr(b) in "0123456789abcdef" else 32 for b in range(256))
 _IDENTIFIERS = (
     "authorization bearer token access_token refresh_token client_id client_secret api_key apikey secret_key "
@@ -42,18 +46,20 @@ _IDENTIFIERS = (
     "config configuration settings environment variable default value string integer boolean function return "
     "import export public private protected static const class interface package module application service "
     "database connection host port localhost example index identifier reference document version updated created"
-).encode()
+)
+_DICTIONARY = " ".join([*(case(w) for case in (str.upper, str.title, str) for w in reversed(WORDS)), _IDENTIFIERS]).encode()
 
 
 class Novelty:
     """Bytes that a string adds to its primed context."""
 
     def __init__(self) -> None:
-        words = zstandard.ZstdCompressionDict(_IDENTIFIERS, dict_type=zstandard.DICT_TYPE_RAWCONTENT)
+        words = zstandard.ZstdCompressionDict(_DICTIONARY, dict_type=zstandard.DICT_TYPE_RAWCONTENT)
+        words.precompute_compress(level=19)
         self.compress = zstandard.ZstdCompressor(level=19, dict_data=words).compress
 
     def __call__(self, context: str, candidate: str) -> float:
-        before = context.encode()
+        before = context.encode() + _PAD
         added = len(self.compress(before + candidate.encode())) - len(self.compress(before))
         return max(0.0, added / len(candidate))
 
@@ -77,9 +83,10 @@ def spans(text: str, novelty: Novelty) -> list[tuple[int, int, int]]:
                     break
                 at = m.end()
                 own = m[0]
-                if len(re.findall("[0-9]", own)) < DIGITS or not re.search("[A-Za-z]", own):
+                if not re.search("[A-Za-z]", own):
                     continue
-                if novelty(text[max(0, m.start() - CONTEXT) : m.start()], own) >= NOVEL:
+                least = NOVEL_DIGITS if len(re.findall("[0-9]", own)) >= DIGITS else NOVEL
+                if novelty(text[max(0, m.start() - CONTEXT) : m.start()], own) >= least:
                     found.append((m.start(), 3, m.end()))
     return sorted(found)
 

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import random
 import re
+import string
 import struct
 import zlib
 
@@ -109,6 +110,17 @@ def test_novelty_tells_random_from_named():
 # licenses
 
 
+@pytest.mark.parametrize("length", [16, 20, 24, 32])
+def test_secrets_with_few_digits_are_measured(length):
+    r, novelty, letters = random.Random(length), secret_scan.Novelty(), string.ascii_letters
+    for _ in range(40):
+        own = "".join(r.choice(letters) for _ in range(length))
+        text = f"{r.choice(['Authorization: Bearer', 'my auth header', 'set auth_key in config.py to'])} {own} end"
+        assert [text[a:b] for a, k, b in secret_scan.spans(text, novelty) if secret_scan.KINDS[k] == "novel"] == [own]
+    for name in ("default_connection_settings", "getRequestHeadersFromContext", "MAX_BUFFER_SIZE_DEFAULT", "AbstractEventLoopPolicy"):
+        assert secret_scan.spans(f"the auth key of {name} is", novelty) == []
+
+
 def test_license_places_and_templates():
     text = "One. Released under the MIT-License!\nApache license, apache LICENSE; (CC) BY x"
     words = licenses.words_of(text)
