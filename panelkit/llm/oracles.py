@@ -104,9 +104,121 @@ FROM documents d LEFT JOIN sizes s ON d.doc_id = s.doc_id JOIN reach r ON r.a =
 GROUP BY d.doc_id, s.n
 """
 
+_LOWERED = "translate({}, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
+
+LEXICAL = rf"""
+WITH d AS MATERIALIZED (
+  SELECT row_number() OVER () AS r, doc_id,
+    regexp_extract_all({_LOWERED.format("coalesce(text, '')")}, '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+') AS terms FROM documents
+), sized AS MATERIALIZED (SELECT r, doc_id, terms, CAST(len(terms) AS BIGINT) AS n FROM d WHERE len(terms) > 0
+), total AS MATERIALIZED (SELECT count(*) AS nd, CAST(sum(n) AS BIGINT) AS l FROM sized
+), items AS MATERIALIZED (
+  SELECT DISTINCT item_id, unnest(regexp_extract_all({_LOWERED.format("coalesce(text, '')")}, '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+')) AS term FROM benchmark
+), tf AS MATERIALIZED (
+  SELECT r, term, count(*) AS tf FROM (SELECT r, unnest(terms) AS term FROM sized) WHERE term IN (SELECT term FROM items) GROUP BY r, term
+), w AS MATERIALIZED (
+  SELECT term, CAST(floor(1000 * ln(CAST(2 * nd + 2 AS DOUBLE) / CAST(2 * df + 1 AS DOUBLE))) AS BIGINT) AS w
+  FROM (SELECT term, count(*) AS df FROM tf GROUP BY term), total
+), scored AS (
+  SELECT i.item_id, s.r, s.doc_id,
+    CAST(sum(w.w * ((1000000000 * tf.tf) // (1000 * tf.tf + 8 * (10 + (90 * s.n * t.nd) // t.l)))) AS BIGINT) AS score
+  FROM tf JOIN sized s ON s.r = tf.r JOIN w ON w.term = tf.term JOIN items i ON i.term = tf.term, total t
+  GROUP BY i.item_id, s.r, s.doc_id
+), ranked AS (
+  SELECT *, CAST(row_number() OVER (PARTITION BY item_id ORDER BY score DESC, doc_id) AS INTEGER) AS rank FROM scored WHERE score > 0
+)
+SELECT item_id, rank, doc_id, score FROM ranked WHERE rank <= 10
+"""
+
+# crc32 by its table, which follows from its polynomial; then byte by byte
+_CRC_TABLE = "list_transform(range(0, 256), lambda i: list_reduce(range(0, 8), lambda c, k: CASE WHEN c % 2 = 1 THEN xor(c // 2, 3988292384) ELSE c // 2 END, CAST(i AS BIGINT)))"
+_CRC = "xor(4294967295, list_reduce({0}, lambda c, b: xor(c // 256, tab[CAST(xor(c, b) % 256 AS INTEGER) + 1]), 4294967295))"
+
+SPELLING = rf"""
+WITH RECURSIVE crc AS MATERIALIZED (SELECT {_CRC_TABLE} AS tab
+), runs AS MATERIALIZED (
+  SELECT doc_id, run, count(*) AS n FROM (
+    SELECT doc_id, {_LOWERED.format("unnest(regexp_extract_all(coalesce(text, ''), '[A-Za-zÀ-ÿ]+'))")} AS run FROM documents
+  ) GROUP BY doc_id, run
+), spelt AS MATERIALIZED (
+  SELECT run, n, flatten(list_transform(string_split(coalesce(CAST(doc_id AS VARCHAR), '') || ':' || run, ''),
+    lambda c: CASE WHEN unicode(c) < 128 THEN [CAST(unicode(c) AS BIGINT)] ELSE [195, CAST(unicode(c) - 64 AS BIGINT)] END)) AS b FROM runs
+), hashed AS MATERIALIZED (SELECT run, n, {_CRC.format("b")} AS h FROM spelt, crc
+), words AS MATERIALIZED (
+  SELECT word, CAST(sum(n) AS BIGINT) AS n FROM (
+    SELECT CASE WHEN h % 97 = 0 THEN substring(run, 1, CAST(h % length(run) AS INTEGER)) || substring(run, CAST(h % length(run) AS INTEGER) + 2) ELSE run END AS word, n
+    FROM hashed
+  ) WHERE length(word) >= 5 GROUP BY word HAVING sum(n) >= 3
+), places AS MATERIALIZED (
+  SELECT word, n, substring(word, 1, CAST(i AS INTEGER) - 1) AS a, substring(word, CAST(i AS INTEGER) + 1) AS b FROM words, unnest(range(1, length(word) + 1)) AS t(i)
+), pairs AS MATERIALIZED (
+  SELECT x.word, x.n, y.word AS near, y.n AS near_n FROM places x JOIN places y ON x.a = y.a AND x.b = y.b AND x.word <> y.word
+  UNION SELECT x.word, x.n, y.word, y.n FROM places x JOIN words y ON y.word = x.a || x.b
+  UNION SELECT y.word, y.n, x.word, x.n FROM places x JOIN words y ON y.word = x.a || x.b
+), best AS MATERIALIZED (
+  SELECT word, n, count(*) AS n_near, first(near ORDER BY near_n DESC, near) AS near, max(near_n) AS near_n FROM pairs GROUP BY word, n
+), forms AS MATERIALIZED (
+  SELECT w.word, w.n, coalesce(b.n_near, 0) AS n_near, CASE WHEN b.near_n >= 2 * w.n THEN b.near END AS form,
+    CASE WHEN b.near_n >= 2 * w.n THEN b.near_n END AS form_n
+  FROM words w LEFT JOIN best b ON b.word = w.word
+), chain AS (
+  SELECT word, coalesce(form, word) AS reached, 0 AS k FROM forms
+  UNION ALL SELECT c.word, f.form, k + 1 FROM chain c JOIN forms f ON f.word = c.reached WHERE f.form IS NOT NULL
+), roots AS MATERIALIZED (SELECT word, arg_max(reached, k) AS root FROM chain GROUP BY word)
+SELECT f.word, f.form, r.root, f.n, f.n_near, f.form_n FROM forms f JOIN roots r ON r.word = f.word
+"""
+
+
+def _draws(generations: list[tuple[int, list[int]]], name: str) -> str:
+    """SQL for the shard of ``key`` by the hash tree of ``shards.even``: lists of (draw, node), level by level."""
+
+    def step(children: str) -> str:
+        u = "(CAST('0x' || substr(md5(key || '|' || c.name), 1, 8) AS BIGINT) + 0.5) / 4294967296.0"
+        return f"list_min(list_transform({children}, lambda c: {{'draw': -ln({u}) / c.weight, 'name': c.name}})).name"
+
+    below: dict[str, dict[str, float]] = {}
+    for generation, numbers in generations:
+        for s in numbers:
+            region, rack = f"g{generation}r{s % 8 % 4}", f"g{generation}r{s % 8 % 4}k{s % 8}"
+            for node, child in (("root", region), (region, rack), (rack, f"{rack}s{s}")):
+                below.setdefault(node, {})[child] = below.get(node, {}).get(child, 0.0) + 1.0
+
+    def listed(node: str) -> str:
+        return "[" + ", ".join(f"{{'name': '{c}', 'weight': {w}}}" for c, w in below[node].items()) + "]"
+
+    regions = list(below["root"])
+    racks = [k for r in regions for k in below[r]]
+
+    def chosen(nodes: list[str], at: str) -> str:
+        return "CASE " + " ".join(f"WHEN {at} = '{n}' THEN {listed(n)}" for n in nodes) + " END"
+
+    return f"""{name}_region AS MATERIALIZED (SELECT *, {step(listed("root"))} AS region FROM facts),
+{name}_rack AS MATERIALIZED (SELECT *, {step(chosen(regions, "region"))} AS rack FROM {name}_region),
+{name} AS MATERIALIZED (SELECT r, CAST(regexp_extract({step(chosen(racks, "rack"))}, '[0-9]+$') AS INTEGER) AS s FROM {name}_rack)"""
+
+
+SHARDS = rf"""
+WITH crc AS MATERIALIZED (SELECT {_CRC_TABLE} AS tab),
+bytes AS MATERIALIZED (
+  SELECT row_number() OVER () AS r, doc_id, octet_length(encode(coalesce(text, ''))) AS n,
+    list_transform(regexp_extract_all(hex(encode(coalesce(text, ''))), '..'), lambda x: CAST('0x' || x AS BIGINT)) AS b FROM documents
+), facts AS MATERIALIZED (
+  SELECT r, doc_id, coalesce(CAST(doc_id AS VARCHAR), '') AS key, CAST(n + 16 AS BIGINT) AS size, {_CRC.format("b")} AS text_crc32 FROM bytes, crc
+),
+{_draws([(0, list(range(40)))], "now")},
+{_draws([(0, list(range(40))), (1, [40])], "grown")}
+SELECT f.doc_id, f.size, f.text_crc32, 'key' AS law, n.s AS shard,
+  row_number() OVER (PARTITION BY n.s ORDER BY CAST('0x' || substr(md5(f.key), 1, 8) AS BIGINT) % 1024, f.key, f.size, f.text_crc32, g.s) - 1 AS slot,
+  g.s AS grown_shard
+FROM facts f JOIN now n ON n.r = f.r JOIN grown g ON g.r = f.r
+"""
+
 ORACLES = {
     "op1_substring_dedup": SUBSTRING,
     "op2_top_k": TOP_K,
     "op8_quality_rules": QUALITY,
     "op10_jaccard_join": JACCARD,
+    "op11_lexical_search": LEXICAL,
+    "op12_spelling_variants": SPELLING,
+    "op13_sharding": SHARDS,
 }

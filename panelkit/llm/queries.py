@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from panelkit.llm import bpe, html_text, jaccard, licenses, packing, pii, quality, secret_scan, substring, topk
+from panelkit.llm import bpe, html_text, jaccard, lexical, licenses, packing, pii, quality, secret_scan, shards, spelling, substring, topk
 from panelkit.llm.oracles import ORACLES as ORACLES
 
 
@@ -65,10 +65,22 @@ def op10_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return jaccard.classes(_table(spark, sf_dir, "documents"))
 
 
+def op11_lexical_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lexical.search(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark"))
+
+
+def op12_spelling_variants(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return spelling.group(_table(spark, sf_dir, "documents"))
+
+
+def op13_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return shards.assign(_table(spark, sf_dir, "documents"), 40)
+
+
 QUERIES = {
     f.__name__: f
     for f in (
         op1_substring_dedup, op2_top_k, op3_html_extraction, op4_pii, op5_secrets, op6_licenses, op7_bpe,
-        op8_quality_rules, op9_packing, op10_jaccard_join,
+        op8_quality_rules, op9_packing, op10_jaccard_join, op11_lexical_search, op12_spelling_variants, op13_sharding,
     )
 }
