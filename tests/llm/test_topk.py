@@ -67,3 +67,35 @@ def test_bounds_stop_early():
     want = sorted((-int(vectors[0] @ v), i) for i, v in enumerate(vectors) if i)[:5]
     assert [(-s, i) for _, i, s in got] == want
     assert 0 < sum(seen) < 1000
+
+
+WIDE = "vec_id long, embedding array<double>"
+
+
+def exact(rows, k):
+    floored = lambda x: 256 * int(x) if abs(x) >= 2.0**45 else math.floor(256 * x)
+    whole = {i: [floored(x) for x in v] for i, v in rows}
+    out = []
+    for q in (i for i in whole if i % 50 == 0):
+        cut = lambda s: max(-(1 << 63), min((1 << 63) - 1, s))
+        scores = sorted((-cut(sum(a * b for a, b in zip(whole[q], v))), i) for i, v in whole.items() if i != q and len(v) == len(whole[q]))
+        out += [(q, rank, i, -s) for rank, (s, i) in enumerate(scores[:k], 1)]
+    return sorted(out)
+
+
+@pytest.mark.parametrize("seed", range(3))
+def test_components_of_any_finite_size(frame, monkeypatch, seed):
+    monkeypatch.setattr(topk, "BLOCK", 16)
+    r = random.Random(seed)
+    size = lambda: r.choice([1e-300, 1e-3, 1.0, 1e3, 1e5, 1e6, 1e8, 1e11, 1e19, 1e307])
+    rows = [(i, [r.uniform(-1, 1) * s for _ in range(3)]) for i in range(200) for s in [size()]]
+    rows += [(1000 + i, [r.uniform(-1, 1) * size() for _ in range(3)]) for i in range(50)]
+    rows += [(2000, [1e307, 1.0, 0.0]), (2050, [1.7e308] * 3), (2001, [-1.7e308] * 3), (2100, [0.0] * 3), (2150, [1e8, 1e8, 1e8]), (2151, [1e8, 1e8, 1e8])]
+    got = topk.top_k(frame(WIDE, rows).repartition(3), F.col("vec_id") % 50 == 0, 5)
+    assert sorted(map(tuple, got.collect())) == exact(rows, 5)
+
+
+def test_one_large_vector_leaves_the_others_their_results(frame):
+    rows = [(i, [math.sin(i), math.cos(i)]) for i in range(300)]
+    got = topk.top_k(frame(WIDE, [*rows, (301, [1e307, 1.0])]), F.col("vec_id") % 50 == 0, 5)
+    assert sorted(map(tuple, got.collect())) == exact([*rows, (301, [1e307, 1.0])], 5)
