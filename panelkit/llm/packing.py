@@ -60,14 +60,14 @@ class ChunkTokenizer:
     The vocabulary's tokenizer never joins across white space, so a text's ids are
     those of its white-space-separated chunks; ids of chunks seen lately are kept.
     Chunks of plain letters and marks are lower-cased and cut here and go to the
-    tokenizer's model at once; all others take its whole way.
+    tokenizer's model at once; all others take its whole way, among them chunks with a
+    special token's literal, which is that token as the library has it.
     """
 
     def __init__(self, path: str) -> None:
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
-        self.tokenizer.encode_special_tokens = True
         self.model = self.tokenizer.model
         # as a Latin-1 string holds its UTF-8 bytes, so each byte's character can be put in by translate()
         self.characters = _byte_characters()

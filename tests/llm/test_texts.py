@@ -236,7 +236,6 @@ def test_packing_holds_every_token_once_without_padding(frame):
     r = random.Random(1)
     path = public_tokenizers.path("word_bpe_49k.json")
     library = Tokenizer.from_file(path)
-    library.encode_special_tokens = True
     texts = ["", None, "Ⅷ ǅ ΑΣ. é don't <|endoftext|> 12ab x\x1cy"] + [" ".join(r.choice(["thre", "Été", "x9", "won't", "\n"]) for _ in range(r.randint(1, 6000))) for _ in range(60)]
     got = packing.pack(frame(DOCS, [(i, t, "en", 0, 0) for i, t in enumerate(texts)]).coalesce(3), path).collect()
     pieces, windows = {}, {}
