@@ -43,6 +43,14 @@ TEMPLATES = (
     ("cc-by-nc", "Licensed under CC BY-NC 4.0."),
     ("cc-by-sa", "Licensed under CC BY-SA 4.0."),
     ("bsd", "Redistribution and use in source and binary forms, with or without modification, are permitted provided that the following conditions are met"),
+    ("bsd", 'THIS SOFTWARE IS PROVIDED BY THE COPYRIGHT HOLDERS AND CONTRIBUTORS "AS IS" AND ANY EXPRESS OR IMPLIED WARRANTIES, INCLUDING, BUT NOT LIMITED TO, THE IMPLIED WARRANTIES OF MERCHANTABILITY AND FITNESS FOR A PARTICULAR PURPOSE ARE DISCLAIMED.'),
+    ("isc", "Permission to use, copy, modify, and/or distribute this software for any purpose with or without fee is hereby granted, provided that the above copyright notice and this permission notice appear in all copies."),
+    ("lgpl", "This library is free software; you can redistribute it and/or modify it under the terms of the GNU Lesser General Public License as published by the Free Software Foundation; either version 2.1 of the License, or (at your option) any later version."),
+    ("agpl", "This program is free software: you can redistribute it and/or modify it under the terms of the GNU Affero General Public License as published by the Free Software Foundation, either version 3 of the License, or (at your option) any later version."),
+    ("unlicense", "This is free and unencumbered software released into the public domain. Anyone is free to copy, modify, publish, use, compile, sell, or distribute this software, either in source code form or as a compiled binary, for any purpose, commercial or non-commercial, and by any means."),
+    ("bsl", "Boost Software License - Version 1.0 - August 17th, 2003"),
+    ("cc0", "To the extent possible under law, the author(s) have dedicated all copyright and related and neighboring rights to this software to the public domain worldwide. This software is distributed without any warranty."),
+    ("epl", "This program and the accompanying materials are made available under the terms of the Eclipse Public License 2.0"),
     ("mpl", "This Source Code Form is subject to the terms of the Mozilla Public License, v. 2.0."),
 )
 #: Bytes that belong to words, with A-Z in lower case; all others separate.
@@ -59,9 +67,11 @@ def base_places(words: list[bytes]) -> list[tuple[int, str]]:
     """(word number, label) of each place where a phrase's words stand in a row."""
     joined, found = b" " + b" ".join(words) + b" ", []
     for phrase, label in PHRASES.items():
-        sought, at = f" {phrase} ".encode(), 0
+        sought, at, counted, number = f" {phrase} ".encode(), 0, 0, 0
         while (at := joined.find(sought, at)) >= 0:
-            found.append((joined.count(b" ", 0, at), label))
+            number += joined.count(b" ", counted, at)  # goes on from the last place
+            found.append((number, label))
+            counted = at
             at += 1
     return sorted(found)
 
