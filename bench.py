@@ -37,9 +37,13 @@ HEADLINE = [
     "g8_split_conformal",
     "g11_signed_rank",
     "g15_bootstrap_mean",
+    "g16_bootstrap_corr",
+    "g17_block_bootstrap",
     "h3_cost_sensitivity",
     "i1_error_profile",
+    "i4_perturb",
     "j3_accuracy_table",
+    "j5_budget_table",
     "j7_descriptive_cells",
     "k_top_k_per_group",
 ]

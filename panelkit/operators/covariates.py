@@ -2,16 +2,14 @@
 
 from __future__ import annotations
 
-import math
+import re
 from collections.abc import Sequence
 
-import numpy as np
-import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from panelkit.functions.columns import circular_difference, hashed_normal
-from panelkit.plans.ordered import CHUNK_ROWS, chunk_of, group_quantiles, over_rows, spread
+from panelkit.functions.columns import circular_difference, hashed_normal, nan_to_null
+from panelkit.plans.ordered import SCAN_ROWS, affine_scan, chunk_of, group_quantiles, over_rows, spread, with_position
 
 MIN_PAIRS = 48
 # Physical bounds per covariate; null means open on that side.
@@ -30,6 +28,38 @@ def long_variables(df: DataFrame, ids: Sequence[str], variables: Sequence[str])
     return df.unpivot(list(ids), list(variables), "variable", "value")
 
 
+_LEAD = re.compile(r"(.+)_previous_day([0-9]+)")
+
+
+def archive_leads(columns: Sequence[str]) -> list[tuple[str, int, str]]:
+    """(variable, lead day, forecast column) of the names ``<variable>_previous_day<N>`` whose variable is a column, too."""
+    known = set(columns)
+    found = [(m[1], int(m[2]), c) for c in columns if (m := _LEAD.fullmatch(c)) and m[1] in known]
+    return sorted(found, key=lambda f: f[:2])
+
+
+def archive_pairs(wide: DataFrame, key: str = "series_id", time: str = "ts", bucket_seconds: int = 86_400 * 64) -> DataFrame:
+    """series, variable, lead_day, ts, pos, actual and predicted of a forecast archive.
+
+    ``wide`` has one row per series and stamp; for each variable a column with what
+    came and, for each lead, a column ``<variable>_previous_day<N>`` with what was
+    forecast N days before.  The leads are read off the names.  Only complete pairs
+    stay (NaN is null) and are numbered by ``pos`` in time order for each lead.
+    Archives without any such column give an empty table.
+    """
+    number = lambda c: nan_to_null(F.col(f"`{c}`").cast("double"))
+    leads = archive_leads(wide.columns)
+    empty = F.array().cast("array<struct<variable:string,lead_day:int,actual:double,predicted:double>>")
+    melted = [
+        F.struct(F.lit(v).alias("variable"), F.lit(k).alias("lead_day"), number(v).alias("actual"), number(c).alias("predicted"))
+        for v, k, c in leads
+    ]
+    pairs = wide.select(F.col(key), F.col(time), F.inline(F.array(*melted) if melted else empty))
+    pairs = pairs.filter("actual IS NOT NULL AND predicted IS NOT NULL")
+    pairs = pairs.withColumn("_bucket", F.floor(F.unix_seconds(F.col(time)) / F.lit(bucket_seconds)))
+    return with_position(pairs, [key, "variable", "lead_day"], "_bucket", time, total=None).drop("_bucket")
+
+
 def _difference(a: Column, b: Column, circular: Sequence[str]) -> Column:
     plain = a - b
     if not circular:
@@ -159,22 +189,6 @@ def persistence_alpha(fractions: DataFrame, model: DataFrame) -> DataFrame:
     return group_quantiles(j, ["variable"], "ratio", {"alpha_equivalent": 0.5})
 
 
-_NOISE_OUT = ("series_id", "variable", "pos", "_err")
-
-
-def _noise_chunk(pdf: pd.DataFrame) -> pd.DataFrame:
-    """The recursion e = rho * e_before + sqrt(1 - rho**2) * z over one chunk."""
-    pdf = pdf.sort_values("pos")
-    rho = float(pdf["_rho"].iloc[0])
-    step = math.sqrt(1.0 - rho * rho)
-    out, prev = [], 0.0
-    for z, pos in zip(pdf["_z"], pdf["pos"]):
-        prev = z if pos == 0 else rho * prev + step * z
-        out.append(prev)
-    pdf = pdf.assign(_err=np.array(out, float))
-    return pdf.loc[pdf["_home"] == pdf["_chunk"], list(_NOISE_OUT)]
-
-
 def perturb(
     long: DataFrame,
     params: DataFrame,
@@ -182,24 +196,20 @@ def perturb(
     seed: int = 42,
     bounds: dict[str, tuple] | None = None,
     circular: dict[str, float] | None = None,
-    rows: int = CHUNK_ROWS,
+    rows: int = SCAN_ROWS,
 ) -> DataFrame:
     """Add stationary AR(1) error and bias to covariates, within their bounds.
 
     ``long`` holds series_id, variable, pos, value; ``params`` holds variable,
     sigma_frac, bias_frac, ar1.  alpha = 0 returns the input.  Innovations are
     hashed from (seed, series, variable, pos), so any task can recompute them.
-    The recursion runs per chunk with a warm-up of the rows before it: with
-    |rho| <= 0.99 a start value more than ``warm`` rows back weighs less than
-    one part in 10**18, which is the carry itself in double precision.
+    The recursion e = rho * e_before + sqrt(1 - rho**2) * z is an affine scan.
     """
     if alpha == 0:
         return long
     bounds = BOUNDS if bounds is None else bounds
     circular = CIRCULAR if circular is None else circular
     keys = ["series_id", "variable"]
-    warm = int(math.ceil(18 * math.log(10) / -math.log(0.99)))
-    rows = max(rows, warm)
     rho = F.least(F.greatest(F.coalesce(F.when(~F.isnan("ar1"), F.col("ar1")), F.lit(0.0)), F.lit(-0.99)), F.lit(0.99))
     facts = long.groupBy(*keys).agg(
         F.count("value").alias("_n"), F.stddev_pop("value").alias("_sd")
@@ -207,20 +217,11 @@ def perturb(
     facts = facts.filter((F.col("_n") >= 2) & (F.col("_sd") > 0)).join(
         params.select("variable", "sigma_frac", "bias_frac", rho.alias("_rho")), "variable"
     )
-    cells = long.withColumn("_b", chunk_of("pos", rows))
-    known = spread(cells, facts, keys, "_b")
-    home = F.floor(F.col("pos") / F.lit(rows))
-    late = F.col("pos") - home * rows >= rows - warm
+    known = spread(long.withColumn("_b", chunk_of("pos")), facts, keys, "_b", "left")
     z = hashed_normal(seed, F.col("series_id"), F.col("variable"), F.col("pos"))
-    noise = known.select(*keys, "pos", "_rho", z.alias("_z"), home.alias("_home"))
-    noise = noise.withColumn(
-        "_chunk", F.explode(F.array_compact(F.array(F.col("_home"), F.when(late, F.col("_home") + 1))))
-    )
-    errs = noise.groupBy(*keys, "_chunk").applyInPandas(
-        _noise_chunk, "series_id string, variable string, pos long, _err double"
-    )
-    j = long.join(known.select(*keys, "pos", "_sd", "sigma_frac", "bias_frac"), [*keys, "pos"], "left")
-    j = j.join(errs, [*keys, "pos"], "left")
+    first = F.col("pos") == 0
+    step = F.sqrt(1.0 - F.col("_rho") * F.col("_rho"))
+    j = affine_scan(known, keys, F.when(first, F.lit(0.0)).otherwise(F.col("_rho")), F.when(first, z).otherwise(step * z), "_err", rows=rows)
     noisy = F.col("value") + alpha * F.col("_sd") * (
         F.coalesce("sigma_frac", F.lit(0.0)) * F.col("_err") + F.coalesce("bias_frac", F.lit(0.0))
     )
@@ -234,7 +235,7 @@ def perturb(
         kept = F.when(F.col("variable") == name, inside).otherwise(kept)
     for name, period in circular.items():
         kept = F.when(F.col("variable") == name, F.pmod(noisy, F.lit(period))).otherwise(kept)
-    value = F.when(F.col("_err").isNotNull() & F.col("value").isNotNull(), kept).otherwise(F.col("value"))
+    value = F.when(F.col("_rho").isNotNull() & F.col("value").isNotNull(), kept).otherwise(F.col("value"))
     return j.select(*[value.alias(c) if c == "value" else F.col(c) for c in long.columns])
 
 

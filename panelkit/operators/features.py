@@ -122,24 +122,23 @@ def design(
 def freeze_covariates(panel: DataFrame, covariates: Sequence[str], folds: int, horizon: int) -> DataFrame:
     """Test-block covariates replaced by the last value before the block.
 
-    Missing values were filled beforehand (forward, then backward).  Only the
-    folds' rows are touched: their origin rows are few per series, and each
-    block row looks at most ``horizon`` rows back.
+    Missing values were filled beforehand (forward, then backward).  Rows before the
+    test blocks pass by as they are; the folds' rows, folds * horizon of a series at
+    most, meet their one origin row on (series, fold).  A block without a row before
+    it keeps its values.
     """
-    into = F.col("pos") - (F.col("n") - folds * horizon)
-    back = F.when((into >= 0) & (F.col("pos") >= 1), into % horizon + 1)
-
-    def columns(w: Window) -> dict[str, Column]:
-        past = F.collect_list(F.struct("pos", *covariates)).over(w.rowsBetween(-horizon, -1))
-        return {"_past": past}
-
-    out = over_rows(panel, KEY, columns, before=horizon)
-    origin = F.get(F.col("_past"), (F.size("_past") - back).cast("int"))
-    out = out.withColumn("_origin", F.when(back <= F.size("_past"), origin))
-    out = out.withColumns(
+    start = F.col("n") - folds * horizon
+    fold = F.floor((F.col("pos") - start) / F.lit(horizon))
+    tail = panel.filter(F.col("pos") >= start).withColumn("_fold", fold)
+    # the last row before a block belongs to the fold that starts one row later
+    next_fold = F.floor((F.col("pos") + 1 - start) / F.lit(horizon))
+    origins = panel.filter((F.col("pos") >= start - 1) & ((F.col("pos") + 1 - start) % horizon == 0) & (next_fold < folds))
+    origins = origins.select(*KEY, next_fold.alias("_fold"), F.struct(*covariates).alias("_origin"))
+    frozen = tail.join(origins, [*KEY, "_fold"], "left").withColumns(
         {c: F.when(F.col("_origin").isNotNull(), F.col(f"_origin.{c}")).otherwise(F.col(c)) for c in covariates}
     )
-    return out.drop("_past", "_origin")
+    head = panel.filter(F.col("pos") < start)
+    return head.unionByName(frozen.select(panel.columns))
 
 
 def train_moments(panel: DataFrame, train_end: Column, columns: Sequence[str]) -> DataFrame:

@@ -17,13 +17,14 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from panelkit.functions import tails
-from panelkit.functions.columns import hashed_integer, significant
+from panelkit.functions.columns import significant
+from panelkit.operators import resample
+from panelkit.operators.resample import POISSON as POISSON
 from panelkit.plans.ordered import (
     group_quantiles,
     ranked_values,
     running_extreme,
 )
-from panelkit.session import fanned_out
 
 ALPHA = 0.05
 
@@ -413,38 +414,6 @@ def margin_sweep(tests: DataFrame, margins: Sequence[float]) -> DataFrame:
 # --- bootstraps -------------------------------------------------------------
 
 
-# P(Poisson(1) <= k) for k = 0, 1, 2 and so on.
-POISSON = (
-    0.36787944117144233, 0.7357588823428847, 0.9196986029286058, 0.9810118431238462,
-    0.9963401531726563, 0.9994058151824183, 0.9999167588507119, 0.9999897508033253, 0.9999988747974020,
-)
-
-
-def _replicates(df: DataFrame, keys: Sequence[str], id_col: str, terms: dict[str, Column], draws: int, seed: int) -> DataFrame:
-    """Weighted sums of ``terms`` for each replicate, with the sum of weights ``_w`` and the rows ``n``.
-
-    Each row draws its number of appearances in a replicate from a Poisson law with
-    mean 1, by md5(seed|b|id), where a hash serves four replicates.  No draw depends on
-    another row, so groups of any size take one path: replicates are summed before the
-    shuffle and only (group, replicate) rows move.
-    """
-    keys = list(keys)
-    blocks = F.explode(F.sequence(F.lit(0), F.lit((draws - 1) // 4))).alias("_b")
-    rows = df.select(*keys, F.col(id_col).cast("string").alias("_id"), *[c.alias(k) for k, c in terms.items()])
-    rows = rows.select("*", blocks).withColumn("_h", F.md5(F.concat_ws("|", F.lit(str(seed)), F.col("_b").cast("string"), "_id")))
-
-    def one(i: int) -> Column:
-        u = (F.conv(F.substring("_h", 8 * i + 1, 8), 16, 10).cast("double") + 0.5) / 4294967296.0
-        weight = F.lit(0)
-        for p in POISSON:
-            weight = weight + F.when(u > p, 1).otherwise(0)
-        return F.struct((F.col("_b") * 4 + i).alias("_rep"), weight.cast("double").alias("_w"))
-
-    rows = rows.select(*keys, *terms, F.inline(F.array(*[one(i) for i in range(4)]))).filter(F.col("_rep") < draws)
-    sums = [F.sum(F.col("_w") * F.col(k)).alias(k) for k in terms]
-    return rows.groupBy(*keys, "_rep").agg(F.count(F.lit(1)).alias("n"), F.sum("_w").alias("_w"), *sums)
-
-
 def _percentile_interval(reps: DataFrame, keys: Sequence[str], stat: Column, level: float) -> DataFrame:
     """Percentile interval; a group holds one value per replicate."""
     tail = (1.0 - level) / 2.0
@@ -461,7 +430,7 @@ def bootstrap_mean(
 ) -> DataFrame:
     """iid (Poisson) bootstrap percentile interval of a mean; empty replicates drop out."""
     ok = df.filter(F.col(value).isNotNull())
-    reps = _replicates(ok, keys, id_col, {"_x": F.col(value)}, draws, seed)
+    reps = resample.replicates(ok, keys, id_col, {"_x": F.col(value)}, draws, seed)
     return _percentile_interval(reps, keys, F.col("_x") / F.when(F.col("_w") > 0, F.col("_w")), level)
 
 
@@ -478,7 +447,7 @@ def bootstrap_corr(
     ok = ok.join(means, list(keys))
     cx, cy = F.col(x) - F.col("_mx"), F.col(y) - F.col("_my")
     terms = {"_x": cx, "_y": cy, "_xx": cx * cx, "_yy": cy * cy, "_xy": cx * cy}
-    reps = _replicates(ok, keys, id_col, terms, draws, seed)
+    reps = resample.replicates(ok, keys, id_col, terms, draws, seed)
     w = F.col("_w")
     vx = w * F.col("_xx") - F.col("_x") * F.col("_x")
     vy = w * F.col("_yy") - F.col("_y") * F.col("_y")
@@ -491,50 +460,27 @@ def bootstrap_corr(
 
 def block_bootstrap(
     diffs: DataFrame,
-    block: int,
+    block: int | Sequence[int],
     draws: int = 10_000,
     seed: int = 7,
     level: float = 0.95,
     keys: Sequence[str] = tuple(PAIR),
 ) -> DataFrame:
-    """Moving-block bootstrap interval of mean(d) per series and pair.
+    """Moving-block bootstrap interval of mean(d) per series and pair, for one or several block lengths.
 
     The differences of one group, folds * horizon at most, travel as an array;
     ceil(n / block) blocks are drawn and cut to n.  Too short groups give null.
     """
     keys = list(keys)
+    lengths = [block] if isinstance(block, int) else list(block)
     g = diffs.groupBy(*keys).agg(
         F.transform(F.sort_array(F.collect_list(F.struct("pos", "d"))), lambda s: s["d"]).alias("_d")
     )
-    g = fanned_out(g.withColumn("n", F.size("_d")), *keys)
-    usable = g.filter(F.col("n") >= block + 1)
-    starts = F.col("n") - block + 1
-    blocks = F.ceil(F.col("n") / F.lit(float(block))).cast("int")
-    # Sum over block m is a prefix-sum difference, so a replicate costs one
-    # lookup per block rather than one per value.
-    prefix = F.aggregate(
-        "_d",
-        F.array(F.lit(0.0)),
-        lambda acc, x: F.concat(acc, F.array(F.element_at(acc, -1) + x)),
-    )
-    usable = usable.withColumns({"_prefix": prefix, "_blocks": blocks, "_starts": starts})
-    usable = usable.withColumn("_key", F.concat_ws("|", *[F.col(k).cast("string") for k in keys]))
-
-    def mean_of(rep: Column) -> Column:
-        def block_sum(acc: Column, m: Column) -> Column:
-            pick = hashed_integer(seed, F.col("_key"), block, rep, m) % F.col("_starts")
-            at = pick.cast("int")
-            size = F.least(F.lit(block), F.col("n") - m * block)
-            return acc + F.get("_prefix", at + size) - F.get("_prefix", at)
-
-        total = F.aggregate(F.sequence(F.lit(0), F.col("_blocks") - 1), F.lit(0.0), block_sum)
-        return total / F.col("n")
-
-    means = F.transform(F.sequence(F.lit(0), F.lit(draws - 1)), mean_of)
-    reps = usable.select(*keys, "n", F.explode(means).alias("_mean"))
-    ci = _percentile_interval(reps, keys, F.col("_mean"), level).drop("n")
-    out = g.drop("_d").join(ci, keys, "left").withColumn("block", F.lit(block))
+    g = g.withColumns({"n": F.size("_d"), "_key": F.concat_ws("|", *[F.col(k).cast("string") for k in keys])})
+    ci = resample.block_intervals(g, lengths, draws, seed, level)
+    out = g.drop("_d").withColumn("block", F.explode(F.array(*[F.lit(b) for b in lengths]))).join(ci, ["_key", "block"], "left")
     excludes = (F.col("ci_lo") > 0) | (F.col("ci_hi") < 0)
+    out = out.select(*keys, "n", "ci_lo", "ci_hi", "block")
     return out.withColumn("significant", F.coalesce(excludes, F.lit(False)))
 
 

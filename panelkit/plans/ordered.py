@@ -10,6 +10,8 @@ order-dependent work is done over *buckets* (contiguous pieces of a series):
   the summary side is small.
 * ``over_rows``: bounded look-back/look-ahead.  Rows near a chunk border are
   copied to the neighbouring chunk, so lags and rolling frames are exact.
+* ``affine_scan``: linear recursions of one row on the row before, as compositions of
+  (a, b) pairs per chunk that are carried from chunk to chunk.
 * ``spread``: joins per-key facts to rows on (key, bucket) instead of key.
 * ``ranked_values``: exact ranks and order statistics without sorting a key in
   one task and without a per-key buffer.
@@ -31,14 +33,15 @@ def chunk_of(pos: str = "pos", rows: int = CHUNK_ROWS) -> Column:
     return F.floor(F.col(pos) / F.lit(rows))
 
 
-def spread(rows: DataFrame, facts: DataFrame, keys: Sequence[str], bucket: str) -> DataFrame:
-    """Inner-join per-key ``facts`` to ``rows`` on (keys, bucket).
+def spread(rows: DataFrame, facts: DataFrame, keys: Sequence[str], bucket: str, how: str = "inner") -> DataFrame:
+    """Join per-key ``facts`` to ``rows`` on (keys, bucket).
 
     The facts are copied once per non-empty bucket of their key, so the row
-    side is joined on a balanced key.  Rows whose key has no facts drop out.
+    side is joined on a balanced key.  Rows whose key has no facts drop out,
+    unless ``how`` is "left".
     """
     cells = rows.groupBy(*keys, bucket).agg(F.lit(1).alias("_one")).drop("_one")
-    return rows.join(cells.join(facts, list(keys)), [*keys, bucket])
+    return rows.join(cells.join(facts, list(keys)), [*keys, bucket], how)
 
 
 def running(
@@ -195,6 +198,63 @@ def over_rows(
     return out.filter(F.col("_home") == F.col("_chunk")).drop("_home", "_chunk")
 
 
+#: Rows of a chunk, and chunks of a group, that ``affine_scan`` folds at a time.
+SCAN_ROWS = 256
+
+
+def _composed(steps: Column) -> Column:
+    """Prefix compositions of x -> a x + b over an ordered array: structs (a, b), each of all steps up to its own."""
+
+    def then(done: Column, step: Column) -> Column:
+        last = F.coalesce(F.get(done, F.size(done) - 1), F.struct(F.lit(1.0).alias("a"), F.lit(0.0).alias("b")))
+        new = F.struct((step["a"] * last["a"]).alias("a"), (step["a"] * last["b"] + step["b"]).alias("b"))
+        return F.concat(done, F.array(new))
+
+    return F.aggregate(steps, F.array().cast("array<struct<a:double,b:double>>"), then)
+
+
+def affine_scan(
+    df: DataFrame, keys: Sequence[str], a: Column, b: Column, name: str, pos: str = "pos", rows: int = SCAN_ROWS
+) -> DataFrame:
+    """``name`` = a * (``name`` of the row before) + b along ``pos``, from 0 before the first row of each key.
+
+    Steps compose associatively: a chunk of rows is one (a, b) pair, a group of chunks
+    again.  Chunks are folded by themselves, their pairs in groups, the groups' pairs per
+    key, where ``rows``^2 rows are one pair; what enters a chunk comes back by joins
+    on (keys, chunk).  Any ``a`` is allowed, 0 restarts the recursion.  ``pos`` must be
+    the distinct 0-based position.  Nulls in ``a`` or ``b`` count as no change: a = 1, b = 0.
+    """
+    keys = list(keys)
+    step = F.struct(
+        F.col(pos).alias("_at"),
+        F.when(a.isNotNull() & b.isNotNull(), a.cast("double")).otherwise(1.0).alias("a"),
+        F.when(a.isNotNull() & b.isNotNull(), b.cast("double")).otherwise(0.0).alias("b"),
+        F.struct(*df.columns).alias("row"),
+    )
+    cells = df.groupBy(*keys, F.floor(F.col(pos) / F.lit(rows)).alias("_chunk")).agg(F.sort_array(F.collect_list(step)).alias("_steps"))
+    cells = cells.withColumn("_done", _composed(F.col("_steps")))
+    pairs = cells.select(*keys, "_chunk", F.floor(F.col("_chunk") / F.lit(rows)).alias("_group"), F.element_at("_done", -1).alias("_pair"))
+
+    def entered(pairs: DataFrame, part: Sequence[str], order: str) -> DataFrame:
+        """Pairs of a part with the composition of all before them in it, and the composition of the whole part."""
+        g = pairs.groupBy(*part).agg(F.sort_array(F.collect_list(F.struct(F.col(order), F.col("_pair.a"), F.col("_pair.b")))).alias("_steps"))
+        g = g.withColumn("_done", _composed(F.col("_steps")))
+        before = F.transform(
+            "_steps", lambda s, i: F.struct(s[order].alias(order), F.when(i > 0, F.get(F.col("_done"), i - 1)).alias("_before"))
+        )
+        return g.select(*part, F.element_at("_done", -1).alias("_whole"), before.alias("_entries"))
+
+    groups = entered(pairs, [*keys, "_group"], "_chunk")
+    tops = entered(groups.select(*keys, "_group", F.col("_whole").alias("_pair")), keys, "_group")
+    tops = tops.select(*keys, F.inline("_entries")).select(*keys, "_group", F.coalesce("_before.b", F.lit(0.0)).alias("_top"))
+    inner = groups.select(*keys, "_group", F.inline("_entries")).join(tops, [*keys, "_group"])
+    # from 0 at the key's start, what leaves the composition (a, b) after ``_top`` is a * _top + b
+    enters = F.coalesce(F.col("_before.a"), F.lit(1.0)) * F.col("_top") + F.coalesce(F.col("_before.b"), F.lit(0.0))
+    carried = cells.join(inner.select(*keys, "_chunk", enters.alias("_enters")), [*keys, "_chunk"])
+    out = F.zip_with("_steps", "_done", lambda s, d: F.struct(s["row"].alias("row"), (d["a"] * F.col("_enters") + d["b"]).alias(name)))
+    return carried.select(F.inline(out)).select("row.*", name)
+
+
 def ranked_values(
     df: DataFrame, keys: Sequence[str], value: str, sums: dict[str, Column] | None = None
 ) -> DataFrame:

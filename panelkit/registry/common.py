@@ -103,6 +103,20 @@ def supplier_tiers(spark: SparkSession, sf: str) -> DataFrame:
     )
 
 
+def write_series_files(rows: DataFrame, base: str, name: str) -> None:
+    """One CSV file for each ``series_id`` of ``rows``, named after it, in ``base``/files; every series' rows are few."""
+    spark = rows.sparkSession
+    rows.repartition("series_id").write.partitionBy("series_id").option("header", True).csv(f"{base}/{name}")
+    path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path
+    root, goal = path(f"{base}/{name}"), path(f"{base}/files")
+    fs = root.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    fs.mkdirs(goal)
+    for folder in fs.globStatus(path(f"{base}/{name}/series_id=*")):
+        series = folder.getPath().getName().split("=", 1)[1]
+        (part,) = [f.getPath() for f in fs.listStatus(folder.getPath())]
+        fs.rename(part, path(goal, f"{series}.csv"))
+
+
 # --- SQL side ---------------------------------------------------------------
 
 READINGS = """readings AS (

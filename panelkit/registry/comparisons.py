@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from panelkit.functions import tails
 from panelkit.operators import decide, features, metrics, report, stats
 from panelkit.operators import backtest as b
+from panelkit.operators.resample import POISSON
 from panelkit.registry.common import (
     FOLDS,
     HORIZON,
@@ -356,7 +357,7 @@ def draw(seed: int, *parts: str) -> str:
     return f"CAST('0x' || substr(md5({text}), 1, 8) AS BIGINT)"
 
 
-WEIGHT = " + ".join(f"CAST(u > {p!r} AS INTEGER)" for p in stats.POISSON)
+WEIGHT = " + ".join(f"CAST(u > {p!r} AS INTEGER)" for p in POISSON)
 BOOT = f"""idx AS MATERIALIZED (SELECT tier, series_id, d, acctbal - avg(acctbal) OVER (PARTITION BY tier) AS x,
     d - avg(d) OVER (PARTITION BY tier) AS y FROM paired WHERE d IS NOT NULL AND acctbal IS NOT NULL),
 hashes AS MATERIALIZED (SELECT tier, d, x, y, b, md5('7|' || b || '|' || series_id) AS h
@@ -391,6 +392,17 @@ def g16(spark, sf):
 
 BLOCK, BLOCK_DRAWS = 12, 10_000
 KEYTEXT = "series_id || '|' || model_a || '|' || model_b"
+
+
+def block_sql(block: int, name: str = "mbb") -> str:
+    return f"""{name} AS (SELECT series_id, model_a, model_b, n, quantile_cont(mean, 0.025) AS ci_lo, quantile_cont(mean, 0.975) AS ci_hi FROM (
+  SELECT series_id, model_a, model_b, n, rep, sum(list_sum(list_slice(ds, st + 1, st + least({block}, n - m * {block})))) / n AS mean FROM (
+    SELECT a.*, rep, m, {draw(7, KEYTEXT, str(block), "rep", "m")} % (n - {block} + 1) AS st
+    FROM arr a CROSS JOIN (SELECT unnest(range({BLOCK_DRAWS})) AS rep) b CROSS JOIN (SELECT unnest(range(8)) AS m) c
+    WHERE n >= {block + 1} AND m < ceil(n / {block}.0))
+  GROUP BY series_id, model_a, model_b, n, rep) GROUP BY ALL)"""
+
+
 MBB = f"""arr AS (SELECT series_id, model_a, model_b, list(d ORDER BY pos) AS ds, count(*) AS n FROM diffs GROUP BY ALL),
 blocks AS (SELECT a.*, rep, m, {draw(7, KEYTEXT, str(BLOCK), "rep", "m")} % (n - {BLOCK} + 1) AS st
   FROM arr a CROSS JOIN (SELECT unnest(range({BLOCK_DRAWS})) AS rep) b CROSS JOIN (SELECT unnest(range(5)) AS m) c
@@ -414,6 +426,21 @@ def g17(spark, sf):
     return stats.block_bootstrap(_diffs(spark, sf), BLOCK, draws=BLOCK_DRAWS)
 
 
+@reg.add(
+    "g17_block_lengths",
+    f"""WITH {PREDS}, {LOSSES}, arr AS MATERIALIZED (SELECT series_id, model_a, model_b, list(d ORDER BY pos) AS ds, count(*) AS n
+      FROM diffs WHERE model_a = 'seasonal_naive' AND model_b = 'seasonal_mean' GROUP BY ALL), {block_sql(12, "b12")}, {block_sql(24, "b24")}, {block_sql(48, "b48")},
+    every AS (SELECT series_id, model_a, model_b, n, CAST(unnest([12, 24, 48]) AS BIGINT) AS block FROM arr),
+    found AS (SELECT *, 12 AS block FROM b12 UNION ALL SELECT *, 24 FROM b24 UNION ALL SELECT *, 48 FROM b48)
+    SELECT e.series_id, e.model_a, e.model_b, e.n, e.block, {r("ci_lo")}, {r("ci_hi")}, coalesce(ci_lo > 0 OR ci_hi < 0, false) AS significant
+    FROM every e LEFT JOIN found f ON f.series_id = e.series_id AND f.model_a = e.model_a AND f.model_b = e.model_b AND f.block = e.block""",
+)
+def g17_lengths(spark, sf):
+    """Longer folds would fill the longer blocks; too short a series has a row without an interval."""
+    pair = _diffs(spark, sf).filter("model_a = 'seasonal_naive' AND model_b = 'seasonal_mean'")
+    return stats.block_bootstrap(pair, (12, 24, 48), draws=BLOCK_DRAWS)
+
+
 @reg.add(
     "g18_tost",
     f"""WITH {PAIRED}, g AS (SELECT tier, count(*) AS n, avg(d) AS m, stddev_samp(d) / sqrt(count(*)) AS se FROM paired WHERE d IS NOT NULL GROUP BY tier),

@@ -8,8 +8,9 @@ from panelkit.operators import covariates as c
 from panelkit.operators import joins
 from panelkit.operators import backtest
 from panelkit.plans.ordered import over_rows
-from panelkit.registry.common import SCORED, SUPPLIER_PANEL, Registry, panel, r, scores
-from panelkit.session import settled
+from panelkit.registry.common import SCORED, SUPPLIER_PANEL, Registry, panel, r, scores, t, write_series_files
+from panelkit.session import settled, shared_dir
+from panelkit.sources import files, panels
 
 reg = Registry()
 QUERIES, ORACLES = reg.queries, reg.oracles
@@ -69,6 +70,66 @@ def i1(spark, sf):
     return _profile(spark, sf)
 
 
+# --- a forecast archive in wide files ----------------------------------------
+
+ARCHIVE_SQL = """obs AS (SELECT date_trunc('day', l_shipdate)::TIMESTAMP AS ts, 'l' || l_linenumber AS series_id, avg(l_discount) * 100 AS cloud_cover,
+    CAST(CAST(sum(l_quantity) AS BIGINT) * 7 % 360 AS DOUBLE) AS wind_direction_10m FROM lineitem GROUP BY ALL),
+long AS (SELECT series_id, ts, 'cloud_cover' AS variable, cloud_cover AS value FROM obs
+  UNION ALL SELECT series_id, ts, 'wind_direction_10m', wind_direction_10m FROM obs),
+pairs AS (SELECT a.series_id, a.variable, CAST(g.k AS INTEGER) AS lead_day, a.ts, round(a.value, 6) AS actual, round(b.value, 6) AS predicted
+  FROM long a CROSS JOIN (SELECT unnest([1, 2, 3]) AS k) g
+  JOIN long b ON b.series_id = a.series_id AND b.variable = a.variable AND b.ts = a.ts - to_days(CAST(g.k AS INTEGER))
+  WHERE g.k = 1 OR a.series_id NOT IN ('l1', 'l2') AND (g.k = 2 OR a.variable = 'cloud_cover')),
+errs AS (SELECT *, CASE WHEN variable = 'wind_direction_10m' THEN ((predicted - actual + 180) % 360 + 360) % 360 - 180 ELSE predicted - actual END AS e FROM pairs),
+cent AS (SELECT *, e - avg(e) OVER (PARTITION BY series_id, variable, lead_day) AS x FROM errs),
+lagx AS (SELECT *, lag(x) OVER (PARTITION BY series_id, variable, lead_day ORDER BY ts) AS x1 FROM cent),
+profile AS (SELECT series_id, variable, lead_day, count(*) AS n, avg(abs(e)) AS mae, sqrt(avg(e * e)) AS rmse, avg(e) AS bias,
+    stddev_pop(e) AS sd, stddev_pop(actual) AS actual_sd, sum(x * x1) / sum(x * x) AS err_ar1
+  FROM lagx GROUP BY ALL HAVING count(*) >= 48)"""
+
+
+def _archive(spark, sf):
+    """Files of daily weather-like columns by line number; what came k days before plays the forecast of lead k.
+
+    Two series have one lead only, the others leads 1 and 2, and 3 for one variable.
+    """
+    base = shared_dir(spark, "archive")
+    day = F.to_date("l_shipdate").cast("timestamp").alias("ts")
+    obs = panels.table(spark, sf, "lineitem").groupBy(F.concat(F.lit("l"), F.col("l_linenumber").cast("string")).alias("series_id"), day)
+    obs = obs.agg(
+        F.round(F.avg("l_discount") * 100, 6).alias("cloud_cover"),
+        (F.sum("l_quantity").cast("long") * 7 % 360).cast("double").alias("wind_direction_10m"),
+    )
+    wide = settled(obs, "observed")
+    for k in LEADS:
+        names = [F.col(v).alias(f"{v}_previous_day{k}") for v in ("cloud_cover", "wind_direction_10m")]
+        earlier = obs.select("series_id", (F.col("ts") + F.expr(f"INTERVAL {k} DAYS")).alias("ts"), *names)
+        wide = wide.join(earlier, ["series_id", "ts"], "left")
+    wide = settled(wide.withColumn("timestamp", F.date_format("ts", "yyyy-MM-dd HH:mm:ss")).drop("ts"), "archive-wide")
+    short = F.col("series_id").isin("l1", "l2")
+    for folder, rows, lacking in (
+        ("short", wide.filter(short), [f"{v}_previous_day{k}" for v in ("cloud_cover", "wind_direction_10m") for k in (2, 3)]),
+        ("long", wide.filter(~short), ["wind_direction_10m_previous_day3"]),
+    ):
+        write_series_files(rows.drop(*lacking), base, folder)
+    return files.archive_csv(spark, f"{base}/files")
+
+
+def _archive_pairs(spark, sf):
+    return settled(c.archive_pairs(_archive(spark, sf)), "pairs")
+
+
+@reg.add("i1_archive_pairs", f"WITH {ARCHIVE_SQL} SELECT series_id, variable, lead_day, {t('ts')}, row_number() OVER (PARTITION BY series_id, variable, lead_day ORDER BY ts) - 1 AS pos, {r('actual')}, {r('predicted')} FROM pairs")
+def i1_pairs(spark, sf):
+    """Forecasts of every lead that a file has, beside what came."""
+    return _archive_pairs(spark, sf)
+
+
+@reg.add("i1_archive_profile", f"WITH {ARCHIVE_SQL} SELECT {PROFILE_COLS} FROM profile")
+def i1_archive(spark, sf):
+    return c.error_profile(_archive_pairs(spark, sf))
+
+
 MODEL_SQL = f"""{PROFILE_SQL},
 lead AS (SELECT variable, lead_day * 24.0::DOUBLE + 12 AS x, avg(rmse / actual_sd) AS f, avg(bias / actual_sd) AS bf, avg(err_ar1) AS ar1, sum(n) AS n
   FROM profile WHERE actual_sd > 0 GROUP BY variable, lead_day),

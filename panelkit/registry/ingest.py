@@ -9,7 +9,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from panelkit.functions.columns import slug
-from panelkit.registry.common import PREDS, READINGS, SCORED, Registry, predictions, r, scores, t
+from panelkit.registry.common import PREDS, READINGS, SCORED, Registry, predictions, r, scores, t, write_series_files
 from panelkit.session import shared_dir
 from panelkit.sources import files, panels, sinks
 
@@ -39,6 +39,19 @@ def a1(spark, sf):
     return raw.withColumn("series_id", part).select("series_id", "ts", "y")
 
 
+@reg.add(
+    "a1_sensor_files",
+    f"""SELECT event_type || '_' || strftime(ts, '%Y%m%d') AS series_id, {t("ts")}, {r("value", "y")} FROM events""",
+)
+def a1_files(spark, sf):
+    """A file for each sensor and day; the file's name is the series."""
+    base = shared_dir(spark, "sensor-files")
+    series = F.concat("series_id", F.lit("_"), F.date_format("ts", "yyyyMMdd")).alias("series_id")
+    rows = panels.event_readings(spark, sf).select(series, _stamp().alias("timestamp"), F.col("y").alias("value"))
+    write_series_files(rows, base, "parts")
+    return files.sensor_csv(spark, f"{base}/files").select("series_id", "ts", "y")
+
+
 @reg.add(
     "a2_station_csv",
     f"""SELECT 's' || l_suppkey AS series_id, {t("l_shipdate + to_hours(l_linenumber)", "ts")}, {r("l_quantity", "y")}, {r("l_discount", "wx_TEMP")}
@@ -142,6 +155,21 @@ def a6(spark, sf):
     return files.weather_csv(spark, base).drop("series_id")
 
 
+@reg.add(
+    "a6_covariate_files",
+    f"""SELECT 'l' || l_linenumber AS series_id, {t("CAST(date_trunc('day', l_shipdate) AS TIMESTAMP)", "ts")}, {r("avg(l_discount)", "wx_discount")}, {r("sum(l_quantity)", "wx_qty")}
+    FROM lineitem GROUP BY l_linenumber, date_trunc('day', l_shipdate)""",
+)
+def a6_files(spark, sf):
+    """A covariate file for each series, named after it."""
+    base = shared_dir(spark, "weather-files")
+    series = F.concat(F.lit("l"), F.col("l_linenumber").cast("string")).alias("series_id")
+    li = panels.table(spark, sf, "lineitem").groupBy(series, F.to_date("l_shipdate").cast("timestamp").alias("ts"))
+    w = li.agg(F.avg("l_discount").alias("discount"), F.sum("l_quantity").alias("qty"))
+    write_series_files(w.select("series_id", _stamp().alias("timestamp"), "discount", "qty"), base, "parts")
+    return files.weather_csv(spark, f"{base}/files")
+
+
 @reg.add(
     "a7_manifest_slug",
     """SELECT lower(replace(p_name, ' ', '_')) AS series_id, p_brand AS country, CASE WHEN p_size >= 25 THEN 'rich' ELSE 'scarce' END AS tier, p_partkey AS sensor_id FROM part""",

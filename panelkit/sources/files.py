@@ -163,6 +163,22 @@ def weather_csv(
     return _union([read(raw) for raw in _named_scans(spark, path, by_name)])
 
 
+def archive_csv(spark: SparkSession, path: str) -> DataFrame:
+    """Forecast archives, a file for each series: a stamp, variables and their forecasts of earlier days.
+
+    Files hold different variables and leads; a column that a file lacks is null.
+    ``covariates.archive_pairs`` pairs what came with what was forecast.
+    """
+    ensure_utc(spark)
+
+    def read(raw: DataFrame) -> DataFrame:
+        t = sniff_time_column(raw.columns)
+        numbers = [_number(c).alias(c) for c in raw.columns if c != t]
+        return raw.select(file_stem().alias("series_id"), F.try_to_timestamp(F.col(f"`{t}`")).alias("ts"), *numbers)
+
+    return _union([read(raw) for raw in _named_scans(spark, path, True)])
+
+
 def wide_to_long(
     wide: DataFrame, columns: Sequence[str], time_column: str = "timestamp"
 ) -> DataFrame:
