@@ -114,14 +114,22 @@ def flagship(spark, sf):
 
 # One feature has a closed form, so SQL can check the whole direct path.
 RIDGE_SQL = f"""{SUPPLIER_PANEL},
-rows AS (SELECT a.series_id, a.pos, a.n, g.lead, a.y AS x, b.y AS target, b.ts AS target_ts
-  FROM panel a CROSS JOIN (SELECT unnest([1, 2, 3, 4]) AS lead) g
-  JOIN panel b ON b.series_id = a.series_id AND b.pos = a.pos + g.lead),
-sums AS (SELECT series_id, lead, fold, count(*) AS c, avg(x) AS mx, avg(target) AS my, stddev_pop(x) AS sx,
+ahead AS MATERIALIZED (SELECT series_id, pos, n, y AS x,
+    lead(y, 1) OVER w AS y1, lead(y, 2) OVER w AS y2, lead(y, 3) OVER w AS y3, lead(y, 4) OVER w AS y4,
+    lead(ts, 1) OVER w AS t1, lead(ts, 2) OVER w AS t2, lead(ts, 3) OVER w AS t3, lead(ts, 4) OVER w AS t4
+  FROM panel WINDOW w AS (PARTITION BY series_id ORDER BY pos)),
+rows AS MATERIALIZED (
+  SELECT series_id, pos, n, 1 AS lead, x, y1 AS target, t1 AS target_ts FROM ahead WHERE y1 IS NOT NULL
+  UNION ALL SELECT series_id, pos, n, 2, x, y2, t2 FROM ahead WHERE y2 IS NOT NULL
+  UNION ALL SELECT series_id, pos, n, 3, x, y3, t3 FROM ahead WHERE y3 IS NOT NULL
+  UNION ALL SELECT series_id, pos, n, 4, x, y4, t4 FROM ahead WHERE y4 IS NOT NULL),
+sums AS MATERIALIZED (SELECT series_id, lead, fold, count(*) AS c, avg(x) AS mx, avg(target) AS my, stddev_pop(x) AS sx,
     covar_pop(x, target) AS cxy
   FROM rows CROSS JOIN (SELECT unnest(range(6)) AS fold) f
   WHERE pos + lead < n - 24 + fold * 4 GROUP BY ALL),
-fit AS (SELECT *, CASE WHEN sx > 0 THEN c * cxy / sx / (c + 1.0) / sx ELSE 0 END AS beta FROM sums)"""
+fit AS MATERIALIZED (SELECT *, CASE WHEN sx > 0 THEN c * cxy / sx / (c + 1.0) / sx ELSE 0 END AS beta FROM sums),
+origins AS MATERIALIZED (SELECT *, CAST((pos + 1 - (n - 24)) // 4 AS BIGINT) AS fold FROM rows
+  WHERE pos + 1 >= n - 24 AND (pos + 1 - (n - 24)) % 4 = 0 AND pos + 1 < n)"""
 
 
 @reg.add(
@@ -129,7 +137,7 @@ fit AS (SELECT *, CASE WHEN sx > 0 THEN c * cxy / sx / (c + 1.0) / sx ELSE 0 END
     f"""WITH {RIDGE_SQL}
     SELECT f.series_id, 'direct_ridge' AS model, f.fold, f.lead, r.pos + r.lead AS pos, {t("r.target_ts", "ts")},
       {r("r.target", "y_true")}, {r("f.my + f.beta * (r.x - f.mx)", "y_pred")}
-    FROM fit f JOIN rows r ON r.series_id = f.series_id AND r.lead = f.lead AND r.pos = r.n - 24 + f.fold * 4 - 1
+    FROM fit f JOIN origins r ON r.series_id = f.series_id AND r.lead = f.lead AND r.fold = f.fold
     WHERE r.pos + 1 > {MIN_TRAIN}""",
 )
 def e4_one(spark, sf):
@@ -376,7 +384,7 @@ def e8_trees(spark, sf):
     f"""WITH {RIDGE_SQL.replace("WHERE pos + lead <", "WHERE pos >= n - 24 - greatest(CAST(floor((n - 24) * 25.0 / 100.0) AS BIGINT), 27) AND pos + lead <")}
     SELECT f.series_id, 'budget_ridge' AS model, f.fold, f.lead, r.pos + r.lead AS pos, {t("r.target_ts", "ts")},
       {r("r.target", "y_true")}, {r("f.my + f.beta * (r.x - f.mx)", "y_pred")}
-    FROM fit f JOIN rows r ON r.series_id = f.series_id AND r.lead = f.lead AND r.pos = r.n - 24 + f.fold * 4 - 1
+    FROM fit f JOIN origins r ON r.series_id = f.series_id AND r.lead = f.lead AND r.fold = f.fold
     WHERE r.pos + 1 > {MIN_TRAIN}""",
 )
 def e10(spark, sf):

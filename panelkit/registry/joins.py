@@ -159,10 +159,11 @@ def c9(spark, sf):
     return diffs.groupBy(*stats.PAIR).agg(F.avg("d").alias("mean_loss_diff"), F.count(F.lit(1)).alias("n"))
 
 
-MERGE_SQL = f"""{PREDS}, alt AS (SELECT * REPLACE (CASE WHEN hash_k THEN y_true + 1 ELSE y_true END AS y_true)
-  FROM (SELECT *, series_id LIKE '%7' AS hash_k FROM preds WHERE model = 'last_value' AND series_id NOT LIKE '%3')),
-gap AS (SELECT p.series_id, max(abs(p.y_true - a.y_true)) AS gap, count(a.pos) AS c FROM preds p
-  LEFT JOIN alt a ON a.series_id = p.series_id AND a.pos = p.pos WHERE p.model = 'seasonal_naive' GROUP BY p.series_id)"""
+MERGE_SQL = f"""{PREDS}, kept AS MATERIALIZED (SELECT * FROM preds),
+truths AS MATERIALIZED (SELECT series_id, pos, max(y_true) FILTER (model = 'seasonal_naive') AS main,
+    max(y_true + CASE WHEN series_id LIKE '%7' THEN 1 ELSE 0 END) FILTER (model = 'last_value' AND series_id NOT LIKE '%3') AS other
+  FROM kept GROUP BY series_id, pos),
+gap AS MATERIALIZED (SELECT series_id, max(abs(main - other)) AS gap, count(other) AS c FROM truths GROUP BY series_id)"""
 
 
 def _sources(spark, sf):
@@ -179,7 +180,7 @@ def _sources(spark, sf):
 @reg.add(
     "c10_merge_checked",
     f"""WITH {MERGE_SQL} SELECT p.series_id, model, fold, lead, pos, {r("y_true")}, {r("y_pred")}
-    FROM preds p JOIN gap g ON g.series_id = p.series_id WHERE g.c > 0 AND g.gap <= 1e-6""",
+    FROM kept p JOIN gap g ON g.series_id = p.series_id WHERE g.c > 0 AND g.gap <= 1e-6""",
 )
 def c10(spark, sf):
     merged, _ = _sources(spark, sf)
