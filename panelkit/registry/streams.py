@@ -10,7 +10,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from panelkit.registry.common import PREDS, READINGS, SUPPLIER_PANEL, Registry, predictions, r, t
+from panelkit.registry.common import PREDS, READINGS, SUPPLIER_PANEL, USER_READINGS, Registry, predictions, r, t
 from panelkit.session import shared_dir
 from panelkit.sources import panels
 from panelkit.streaming import ingest as s
@@ -30,14 +30,14 @@ def _events(spark: SparkSession, sf: str) -> DataFrame:
     )
 
 
-def _landed(spark: SparkSession, sf: str) -> DataFrame:
+def _landed(spark: SparkSession, sf: str, e: DataFrame | None = None) -> DataFrame:
     """The readings as landed files, with a last file that moves the watermark.
 
     The sentinel lies beyond every window and belongs to a series of its own,
     which the queries drop.
     """
     base = shared_dir(spark, "landed")
-    e = panels.event_readings(spark, sf)
+    e = panels.event_readings(spark, sf) if e is None else e
     e.write.parquet(f"{base}/day=0")
     last = e.agg(F.max("ts").alias("ts")).select(
         F.lit("~end").alias("series_id"),
@@ -71,7 +71,7 @@ def m2(spark, sf):
     """Readings delivered twice are kept once."""
     e = _events(spark, sf)
     twice = e.withColumn("_copy", F.explode(F.array(F.lit(0), F.lit(1)))).drop("_copy")
-    return s.run_once(s.deduplicated(twice, "40 days"), "dedupe").select("series_id", "ts")
+    return s.run_once(s.deduplicated(twice, "1 hour"), "dedupe").select("series_id", "ts")
 
 
 @reg.add(
@@ -102,28 +102,44 @@ def m3(spark, sf):
     return _without_sentinel(out)
 
 
-@reg.add(
-    "m4_sliding_mean",
-    f"""WITH e AS (SELECT event_type, value, date_trunc('hour', ts) AS h FROM events)
+def _sliding_sql(hours: int) -> str:
+    return f"""WITH e AS (SELECT event_type, value, date_trunc('hour', ts) AS h FROM events)
     SELECT event_type AS series_id, {t("h + to_hours(CAST(k AS INTEGER))", "ts")}, {r("avg(value)", "y")}, count(*) AS n
-    FROM e CROSS JOIN (SELECT unnest(range(1, 25)) AS k) GROUP BY event_type, h + to_hours(CAST(k AS INTEGER))""",
-)
+    FROM e CROSS JOIN (SELECT unnest(range(1, {hours + 1})) AS k) GROUP BY event_type, h + to_hours(CAST(k AS INTEGER))"""
+
+
+@reg.add("m4_sliding_mean", _sliding_sql(24))
 def m4(spark, sf):
     out = s.run_once(s.trailing_mean(_landed(spark, sf), delay="40 days"), "sliding")
     return _without_sentinel(out)
 
 
-@reg.add(
-    "m5_gap_sessions",
-    f"""WITH {READINGS}, g AS (SELECT *, epoch_us(ts) - epoch_us(lag(ts) OVER (PARTITION BY series_id ORDER BY ts)) AS gap FROM readings),
-    s AS (SELECT *, sum(CASE WHEN gap > 2 * 3600000000 THEN 1 ELSE 0 END) OVER (PARTITION BY series_id ORDER BY ts) AS sid FROM g)
-    SELECT series_id, count(*) AS n_obs, {t("min(ts)", "first_ts")}, {t("max(ts)", "last_ts")} FROM s GROUP BY series_id, sid""",
-)
+@reg.add("m4_sliding_week", _sliding_sql(168))
+def m4_week(spark, sf):
+    """A week's mean at every hour; 168 windows hold each pane, none holds readings."""
+    out = s.run_once(s.trailing_mean(_landed(spark, sf), "168 hours", delay="40 days"), "sliding-week")
+    return _without_sentinel(out)
+
+
+def _sessions_sql(hours: int, rows: str) -> str:
+    return f"""WITH {rows}, g AS (SELECT *, epoch_us(ts) - epoch_us(lag(ts) OVER (PARTITION BY series_id ORDER BY ts)) AS gap FROM readings),
+    s AS (SELECT *, sum(CASE WHEN gap > {hours} * 3600000000 THEN 1 ELSE 0 END) OVER (PARTITION BY series_id ORDER BY ts) AS sid FROM g)
+    SELECT series_id, count(*) AS n_obs, {t("min(ts)", "first_ts")}, {t("max(ts)", "last_ts")} FROM s GROUP BY series_id, sid"""
+
+
+@reg.add("m5_gap_sessions", _sessions_sql(2, READINGS))
 def m5(spark, sf):
     out = s.run_once(s.gap_sessions(_landed(spark, sf), "2 hours", "40 days"), "sessions")
     return _without_sentinel(out)
 
 
+@reg.add("m5_user_sessions", _sessions_sql(48, USER_READINGS))
+def m5_users(spark, sf):
+    """Silences of more than 48 hours part the readings of each user."""
+    out = s.run_once(s.gap_sessions(_landed(spark, sf, panels.user_readings(spark, sf)), "48 hours", "40 days"), "user-sessions")
+    return _without_sentinel(out)
+
+
 @reg.add(
     "m6_running_scores",
     f"""WITH {PREDS} SELECT series_id, model, count(*) AS n_points, {r("sum(abs(y_true - y_pred))", "abs_error_sum")}, {r("avg(abs(y_true - y_pred))", "MAE")}, {r("sqrt(avg((y_true - y_pred) * (y_true - y_pred)))", "RMSE")}

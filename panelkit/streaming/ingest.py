@@ -7,19 +7,36 @@ checkpoint, so a restarted query continues where it stopped.
 
 from __future__ import annotations
 
-from collections.abc import Callable, Sequence
+from collections.abc import Callable, Iterator, Sequence
+from contextlib import contextmanager
 
+import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 
-from panelkit.session import ensure_utc, shared_dir
+from panelkit.session import delete_at_exit, ensure_utc, shared_dir
 
 STATE_STORE = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
 
 
-def use_rocksdb_state(spark: SparkSession) -> None:
-    """Keep operator state outside the heap; needed once keys are many."""
-    spark.conf.set("spark.sql.streaming.stateStore.providerClass", STATE_STORE)
+@contextmanager
+def rocksdb_state(spark: SparkSession) -> Iterator[None]:
+    """Keep the state of queries started inside outside the heap; the session's own choice comes back."""
+    key = "spark.sql.streaming.stateStore.providerClass"
+    before = spark.conf.get(key)
+    spark.conf.set(key, STATE_STORE)
+    try:
+        yield
+    finally:
+        spark.conf.set(key, before)
+
+
+def _folder(spark: SparkSession, name: str) -> str:
+    """A shared folder for a query's rows and checkpoint, dropped when the driver ends."""
+    base = shared_dir(spark, name)
+    delete_at_exit(spark, base)
+    return base
 
 
 def file_stream(
@@ -37,7 +54,7 @@ def run_once(
 ) -> DataFrame:
     """Process what is there, then return the sink's rows as a batch table."""
     spark = stream.sparkSession
-    base = shared_dir(spark, name)
+    base = _folder(spark, name)
     out = out or f"{base}/rows"
     w = (
         stream.writeStream.format("parquet")
@@ -45,7 +62,8 @@ def run_once(
         .option("checkpointLocation", checkpoint or f"{base}/checkpoint")
         .trigger(availableNow=True)
     )
-    w.start(out).awaitTermination()
+    with rocksdb_state(spark):
+        w.start(out).awaitTermination()
     return spark.read.schema(stream.schema).parquet(out)
 
 
@@ -57,20 +75,20 @@ def run_latest(stream: DataFrame, keys: Sequence[str], name: str) -> DataFrame:
     keeps each key's row of the highest batch.
     """
     spark = stream.sparkSession
-    base = shared_dir(spark, name)
+    base = _folder(spark, name)
     rest = [c for c in stream.columns if c not in keys]
 
     def save(df: DataFrame, batch: int) -> None:
         df.write.mode("overwrite").parquet(f"{base}/rows/batch={batch}")
 
-    (
+    started = (
         stream.writeStream.outputMode("update")
         .option("checkpointLocation", f"{base}/checkpoint")
         .trigger(availableNow=True)
         .foreachBatch(save)
-        .start()
-        .awaitTermination()
     )
+    with rocksdb_state(spark):
+        started.start().awaitTermination()
     every = spark.read.parquet(f"{base}/rows")
     last = every.groupBy(*keys).agg(F.max_by(F.struct(*rest), "batch").alias("_last"))
     return last.select(*keys, *[F.col(f"_last.{c}").alias(c) for c in rest])
@@ -92,19 +110,79 @@ def hourly_mean(stream: DataFrame, delay: str = "1 hour") -> DataFrame:
 def trailing_mean(
     stream: DataFrame, width: str = "24 hours", step: str = "1 hour", delay: str = "1 hour"
 ) -> DataFrame:
-    """Sliding mean over a time span ending at each step."""
-    g = stream.withWatermark("ts", delay).groupBy(F.window("ts", width, step), "series_id")
-    return g.agg(F.avg("y").alias("y"), F.count("y").alias("n")).select(
-        "series_id", F.col("window.end").alias("ts"), "y", "n"
-    )
+    """Sliding mean over a time span ending at each step.
+
+    Readings are summed into panes of one step first; only panes, not readings, are
+    copied into the windows that they belong to.  State and shuffle grow with the panes.
+    """
+    panes = stream.withWatermark("ts", delay).groupBy(F.window("ts", step), "series_id")
+    panes = panes.agg(F.sum("y").alias("_sum"), F.count("y").alias("_n"))
+    g = panes.groupBy(F.window(F.window_time("window"), width, step).alias("span"), "series_id")
+    g = g.agg(F.sum("_sum").alias("_sum"), F.sum("_n").alias("n"))
+    mean = F.col("_sum") / F.when(F.col("n") > 0, F.col("n"))
+    return g.select("series_id", F.col("span.end").alias("ts"), mean.alias("y"), "n")
+
+
+class _Merged(StatefulProcessor):
+    """Joins a series' panes, which come in time order, into sessions; one open session is the state of a series."""
+
+    def __init__(self, gap: int, pane: int) -> None:
+        self.gap, self.pane = gap, pane  # microseconds
+
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        self.handle = handle
+        self.open = handle.getValueState("open", "n long, first long, last long")
+
+    def _rows(self, key, sessions: list[tuple]) -> pd.DataFrame:
+        return pd.DataFrame([(key[0], *s) for s in sessions], columns=["series_id", "n_obs", "first", "last"])
+
+    def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
+        panes = pd.concat(rows).sort_values("first")  # one row a pane that the watermark has just passed
+        now = self.open.get() if self.open.exists() else None
+        for timer in self.handle.listTimers():
+            self.handle.deleteTimer(timer)
+        closed = []
+        for n, first, last in zip(panes["n_obs"].tolist(), panes["first"].tolist(), panes["last"].tolist(), strict=True):
+            if now is not None and first - now[2] > self.gap:
+                closed.append(tuple(now))
+                now = None
+            now = (n, first, last) if now is None else (now[0] + n, min(now[1], first), max(now[2], last))
+        self.open.update(now)
+        # a reading within the gap lies in a pane that ends one pane later at most
+        self.handle.registerTimer(-(-(now[2] + self.gap + self.pane) // 1000))
+        yield self._rows(key, closed)
+
+    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
+        if self.open.exists():
+            now = tuple(self.open.get())
+            self.open.clear()
+            yield self._rows(key, [now])
+
+    def close(self) -> None:
+        pass
 
 
 def gap_sessions(stream: DataFrame, gap: str = "48 hours", delay: str = "1 hour") -> DataFrame:
-    """Segments closed by a silence longer than ``gap``."""
-    g = stream.withWatermark("ts", delay).groupBy(F.session_window("ts", gap), "series_id")
-    return g.agg(
-        F.count(F.lit(1)).alias("n_obs"), F.min("ts").alias("first_ts"), F.max("ts").alias("last_ts")
-    ).select("series_id", "n_obs", "first_ts", "last_ts")
+    """Segments closed by a silence longer than ``gap``.
+
+    First readings are reduced to panes of half a gap or a day, whichever is shorter;
+    no silence inside a pane can end a session, so count and extremes say all.  Panes are dealt by
+    (series, pane), so a hot series keeps many tasks busy.  Then a series' panes, a few each day,
+    are joined where their borders lie within the gap; a timer closes the last session once the
+    watermark has passed all that could prolong it.
+    """
+    micros = int(pd.Timedelta(gap).total_seconds() * 1e6)
+    pane = max(1_000_000, min(micros // 2, 86_400_000_000) // 1_000_000 * 1_000_000)
+    g = stream.withWatermark("ts", delay).groupBy(F.window("ts", f"{pane // 1_000_000} seconds"), "series_id")
+    panes = g.agg(
+        F.count(F.lit(1)).alias("n_obs"), F.min(F.unix_micros("ts")).alias("first"), F.max(F.unix_micros("ts")).alias("last")
+    )
+    sessions = panes.groupBy("series_id").transformWithStateInPandas(
+        _Merged(micros, pane), "series_id string, n_obs long, first long, last long", "Append", "EventTime"
+    )
+    return sessions.select(
+        "series_id", "n_obs", F.timestamp_micros("first").alias("first_ts"), F.timestamp_micros("last").alias("last_ts")
+    )
 
 
 def running_scores(stream: DataFrame) -> DataFrame:
@@ -142,10 +220,6 @@ def upsert_latest(
     def save(df: DataFrame, batch: int) -> None:
         merge(df).write.mode("overwrite").parquet(f"{path}/batch={batch}")
 
-    (
-        stream.writeStream.option("checkpointLocation", checkpoint)
-        .trigger(availableNow=True)
-        .foreachBatch(save)
-        .start()
-        .awaitTermination()
-    )
+    started = stream.writeStream.option("checkpointLocation", checkpoint).trigger(availableNow=True).foreachBatch(save)
+    with rocksdb_state(stream.sparkSession):
+        started.start().awaitTermination()
