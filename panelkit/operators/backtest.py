@@ -16,6 +16,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from panelkit.plans.ordered import chunk_of, spread
 from panelkit.session import fanned_out
 
 KEY = ["series_id"]
@@ -584,10 +585,15 @@ def plugin_forecast(
     min_train: int,
     context: int = 672,
 ) -> DataFrame:
-    """Run any ``f(context_values, horizon) -> values`` per series and fold.
+    """Run any ``f(context_values, horizon) -> values`` per series and fold, on the fold's last ``context`` rows."""
+    return forecast_contexts(fold_contexts(panel, horizon, folds, min_train, context), forecaster, horizon)
 
-    Each (series, fold) is one row with its context as an array, ``context``
-    values at most; batches of such rows go to Python.  A failing series yields
+
+def forecast_contexts(contexts: DataFrame, forecaster: Callable[[np.ndarray, int], np.ndarray], horizon: int) -> DataFrame:
+    """Forecasts of (series, fold) groups of rows with pos and y.
+
+    Each group is one row with its context as an array, which ``fold_contexts`` bounds;
+    batches of such rows go to Python.  A failing series yields
     one row with the error text instead of stopping the job.
     """
 
@@ -605,9 +611,8 @@ def plugin_forecast(
             done = [forecast(v) for v in pdf["_y"]]
             yield pdf[["series_id", "fold"]].assign(y=[v for v, _ in done], error=[e for _, e in done])
 
-    ctx = fold_contexts(panel, horizon, folds, min_train, context).select("series_id", "fold", "pos", "y")
     points = F.sort_array(F.collect_list(F.struct("pos", "y")))
-    rows = ctx.groupBy("series_id", "fold").agg(F.transform(points, lambda x: x["y"]).alias("_y"))
+    rows = contexts.groupBy("series_id", "fold").agg(F.transform(points, lambda x: x["y"]).alias("_y"))
     rows = fanned_out(rows, "series_id", "fold")
     done = rows.mapInPandas(run, "series_id string, fold int, y array<double>, error string")
     # a failed row has no values and keeps its error
@@ -616,6 +621,34 @@ def plugin_forecast(
     )
 
 
+def residual_plugin(
+    panel: DataFrame,
+    effects: DataFrame,
+    features: Sequence[str],
+    forecaster: Callable[[np.ndarray, int], np.ndarray],
+    horizon: int,
+    folds: int,
+    min_train: int,
+    context: int = 672,
+    model: str = "residual_plugin",
+) -> tuple[DataFrame, DataFrame]:
+    """(predictions, failures) of a plug-in on what the covariates leave, their effect added back.
+
+    ``effects`` are those of ``covariate_effect``: one linear model a series and fold.  Its
+    value is taken from the fold's context, the forecaster continues the rest, and
+    the value at the test rows comes on top.  Without a usable effect the forecaster sees the
+    series itself.
+    """
+    cov = F.coalesce(linear_value(features), F.lit(0.0))
+    own = effects.select("series_id", "fold", "intercept", "beta")
+    contexts = fold_contexts(panel, horizon, folds, min_train, context).join(own, ["series_id", "fold"], "left")
+    contexts = contexts.select("series_id", "fold", "pos", (F.col("y") - cov).alias("y"))
+    done = forecast_contexts(contexts, forecaster, horizon)
+    ok = done.filter("error IS NULL").select("series_id", "fold", "lead", F.col("y_pred").alias("_rest"))
+    t = test_rows(panel, horizon, folds, min_train).join(ok, ["series_id", "fold", "lead"]).join(own, ["series_id", "fold"], "left")
+    return _as_predictions(t.withColumn("y_pred", F.col("_rest") + cov), model), failures(done)
+
+
 def attach_truth(
     forecasts: DataFrame, panel: DataFrame, horizon: int, folds: int, min_train: int, model: str
 ) -> DataFrame:
@@ -629,6 +662,26 @@ def failures(forecasts: DataFrame) -> DataFrame:
     return forecasts.filter("error IS NOT NULL").select("series_id", "fold", "error")
 
 
+# --- recency ----------------------------------------------------------------
+
+
+def rows_since(panel: DataFrame, cutoff: str, min_rows: int) -> tuple[DataFrame, DataFrame]:
+    """(panel of the rows from ``cutoff`` on, rejected series) of a gated panel.
+
+    The rows' positions and counts start anew.  Series with fewer than ``min_rows``
+    such rows, none included, are rejected with their count and the reason.
+    """
+    late = F.col("ts") >= F.lit(cutoff).cast("timestamp")
+    facts = panel.groupBy("series_id").agg(F.count_if(late).alias("_kept"))
+    few = facts.filter(F.col("_kept") < min_rows)
+    reason = F.concat(F.lit("rows since cutoff "), F.col("_kept").cast("string"), F.lit(f" < {min_rows}"))
+    rejects = few.select("series_id", F.col("_kept").alias("rows_since"), reason.alias("reject_reason"))
+    rows = panel.filter(late).withColumn("_b", chunk_of("pos"))
+    rows = spread(rows, facts.filter(F.col("_kept") >= min_rows), ["series_id"], "_b")
+    rows = rows.withColumns({"pos": F.col("pos") - (F.col("n") - F.col("_kept")), "n": F.col("_kept")})
+    return rows.select(panel.columns), rejects
+
+
 # --- grids ------------------------------------------------------------------
 
 

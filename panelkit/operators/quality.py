@@ -632,3 +632,15 @@ def rule_direction(estimate: Column, expected: str, null_value: float = 1.0) ->
 
 def rule_min_rows(n: Column, least: int) -> Column:
     return n >= least
+
+
+def calibration_bins(df: DataFrame, keys: Sequence[str], predicted: str, outcome: str, bins: int = 10, least: int = 10) -> DataFrame:
+    """Non-empty equal-width bins of predictions in [0, 1] per key: their number, the widest miss, and whether there are enough.
+
+    A calibration curve on fewer than ``least`` bins hides what it should show.
+    """
+    at = F.least(F.floor(F.col(predicted) * bins), F.lit(bins - 1)).alias("_bin")
+    cells = df.filter(F.col(predicted).between(0.0, 1.0) & F.col(outcome).isNotNull()).groupBy(*keys, at)
+    cells = cells.agg(F.count(F.lit(1)).alias("n"), F.abs(F.avg(F.col(outcome).cast("double")) - F.avg(predicted)).alias("_miss"))
+    out = cells.groupBy(*keys).agg(F.count(F.lit(1)).alias("n_bins"), F.sum("n").alias("n"), F.max("_miss").alias("widest_miss"))
+    return out.withColumn("enough_bins", F.col("n_bins") >= least)

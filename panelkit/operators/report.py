@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from panelkit.plans.ordered import group_quantiles
@@ -106,9 +106,13 @@ def descriptive_cells(df: DataFrame, keys: Sequence[str], value: str) -> DataFra
     )
     q = group_quantiles(df, keys, value, {"q1": 0.25, "median": 0.5, "q3": 0.75}).drop("n")
     g = g.join(q, list(keys), "left")
-    # one row per group
-    total = F.sum("n").over(Window.partitionBy())
-    return g.withColumn("pct", F.lit(100.0) * F.col("n") / total)
+    return _beside(g, df.agg(F.count(F.lit(1)).alias("_total"))).withColumn("pct", F.lit(100.0) * F.col("n") / F.col("_total")).drop("_total")
+
+
+def _beside(rows: DataFrame, one: DataFrame) -> DataFrame:
+    """``rows`` with the columns of ``one``, an aggregate without keys: its single row is what is broadcast."""
+    at = F.lit(0).alias("_one")
+    return rows.select("*", at).join(F.broadcast(one.select("*", at)), "_one").drop("_one")
 
 
 def budget_table(
@@ -116,11 +120,10 @@ def budget_table(
 ) -> DataFrame:
     """Mean per strategy and budget, difference to the base, tests and CI.
 
-    The base mean is one scalar, taken with a window over the few cells.
+    The base mean is one scalar, an aggregate that stands beside every row.
     """
-    every = Window.partitionBy()
-    base = F.max(F.when(F.col("strategy") == base_strategy, F.col("mean"))).over(every)
-    s = stats.withColumn("delta", F.col("mean") - base)
+    base = stats.agg(F.max(F.when(F.col("strategy") == base_strategy, F.col("mean"))).alias("_base"))
+    s = _beside(stats, base).withColumn("delta", F.col("mean") - F.col("_base")).drop("_base")
     return s.join(tests, list(keys), "left").join(intervals, list(keys), "left")
 
 

@@ -25,6 +25,7 @@ from panelkit.registry.common import (
     SCORED,
     SEASON,
     SUPPLIER_PANEL,
+    SUPPLIER_WEEKS,
     TIERS,
     WIDE,
     Registry,
@@ -32,9 +33,11 @@ from panelkit.registry.common import (
     folds,
     hourly_panel,
     panel,
+    predicted,
     predictions,
     r,
     scale_cte,
+    scored,
     scores,
     supplier_tiers,
     t,
@@ -226,6 +229,58 @@ def e6(spark, sf):
     return b.residual_naive(p, effects, ["wx_discount"], HORIZON, FOLDS, MIN_TRAIN, LONG)
 
 
+@reg.add(
+    "e6_residual_plugin",
+    f"""WITH {SUPPLIER_PANEL}, {EFFECT_SQL}, hist AS (SELECT * FROM panel),
+    {folds(HORIZON, FOLDS, MIN_TRAIN)},
+    ends AS MATERIALIZED (SELECT f.series_id, f.fold, p.n - 24 + f.fold * 4 AS stop, greatest(p.n - 24 + f.fold * 4 - 672, 0) AS start, f.beta,
+        CASE WHEN usable THEN my - beta * mx ELSE 0 END AS icept
+      FROM fit f JOIN panel p ON p.series_id = f.series_id AND p.pos = 0),
+    lines AS MATERIALIZED (SELECT e.*, z.y - e.icept - e.beta * z.wx_discount AS rz, a.y - e.icept - e.beta * a.wx_discount AS ra
+      FROM ends e JOIN panel z ON z.series_id = e.series_id AND z.pos = e.stop - 1 JOIN panel a ON a.series_id = e.series_id AND a.pos = e.start)
+    SELECT t.series_id, 'residual_drift' AS model, t.fold, t.lead, t.pos, {t("t.ts", "ts")}, {r("t.y", "y_true")},
+      {r("l.rz + (l.rz - l.ra) / (l.stop - l.start - 1) * t.lead + l.icept + l.beta * t.wx_discount", "y_pred")}
+    FROM test t JOIN lines l ON l.series_id = t.series_id AND l.fold = t.fold""",
+)
+def e6_plugin(spark, sf):
+    """A plug-in on the covariate residual, with up to 672 rows of context."""
+    p = panel(spark, sf)
+    effects = b.covariate_effect(p, ["wx_discount"], HORIZON, FOLDS)
+    done, _ = b.residual_plugin(
+        p, effects, ["wx_discount"], forecasters.drift, HORIZON, FOLDS, MIN_TRAIN, model="residual_drift"
+    )
+    return done
+
+
+CUTOFF, SINCE_ROWS = "1998-11-02", 125
+SINCE_SQL = f"""{SUPPLIER_WEEKS},
+late AS (SELECT series_id, TIMESTAMP '1995-01-02 00:00:00' + to_days(CAST(week * 7 AS INTEGER)) AS ts, y, wx_discount FROM weeks),
+counted AS (SELECT *, row_number() OVER (PARTITION BY series_id ORDER BY ts) - 1 AS pos, count(*) OVER (PARTITION BY series_id) AS n
+  FROM late WHERE ts >= TIMESTAMP '{CUTOFF}'),
+panel AS MATERIALIZED (SELECT * FROM counted WHERE n >= {SINCE_ROWS})"""
+
+
+@reg.add(
+    "b13_since_cutoff_backtest",
+    f"""WITH {SINCE_SQL}, {baseline_preds()}, {scale_cte(HORIZON, FOLDS, MIN_TRAIN, SEASON)}, {SCORES}
+    SELECT series_id, model, n_points, {r("MAE")}, {r("RMSE")}, {r("MASE")} FROM scores""",
+)
+def b13_backtest(spark, sf):
+    """Accuracy on what came after a cutoff only, with scales and folds of that part."""
+    late, _ = b.rows_since(panel(spark, sf), CUTOFF, SINCE_ROWS)
+    late = settled(late, "late")
+    return scored(late, predicted(late)).select("series_id", "model", "n_points", "MAE", "RMSE", "MASE")
+
+
+@reg.add(
+    "b13_since_cutoff_rejects",
+    f"""WITH {SUPPLIER_PANEL}, f AS (SELECT series_id, count_if(ts >= TIMESTAMP '{CUTOFF}') AS k FROM panel GROUP BY series_id)
+    SELECT series_id, k AS rows_since, 'rows since cutoff ' || k || ' < {SINCE_ROWS}' AS reject_reason FROM f WHERE k < {SINCE_ROWS}""",
+)
+def b13_rejects(spark, sf):
+    return b.rows_since(panel(spark, sf), CUTOFF, SINCE_ROWS)[1]
+
+
 @reg.add(
     "e7_plugin_forecaster",
     f"""WITH {SUPPLIER_PANEL}, hist AS (SELECT * FROM panel),

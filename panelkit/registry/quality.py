@@ -359,3 +359,18 @@ def b16(spark, sf):
             "direction": q.rule_direction(c("est"), "protective", null_value=0.05),
         },
     )
+
+
+@reg.add(
+    "b16_calibration_bins",
+    f"""WITH o AS (SELECT l_returnflag, CASE WHEN l_returnflag = 'A' THEN l_discount * 8 ELSE l_discount * 10 END AS p, l_linestatus = 'F' AS hit FROM lineitem),
+    c AS (SELECT l_returnflag, least(floor(p * 10), 9) AS bin, count(*) AS n, abs(avg(CASE WHEN hit THEN 1.0 ELSE 0.0 END) - avg(p)) AS miss
+      FROM o WHERE p BETWEEN 0 AND 1 GROUP BY ALL)
+    SELECT l_returnflag, count(*) AS n_bins, CAST(sum(n) AS BIGINT) AS n, {r("max(miss)", "widest_miss")}, count(*) >= 10 AS enough_bins FROM c GROUP BY l_returnflag""",
+)
+def b16_bins(spark, sf):
+    """A key whose predictions reach four fifths of the range has too few bins."""
+    li = panels.table(spark, sf, "lineitem")
+    p = F.when(F.col("l_returnflag") == "A", F.col("l_discount") * 8).otherwise(F.col("l_discount") * 10)
+    rows = li.select("l_returnflag", p.alias("p"), (F.col("l_linestatus") == "F").cast("int").alias("hit"))
+    return q.calibration_bins(rows, ["l_returnflag"], "p", "hit")

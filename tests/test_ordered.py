@@ -145,3 +145,41 @@ def test_partition_invariance(spark, panel):
         assert out[0] == out[1]
     finally:
         spark.conf.set("spark.sql.shuffle.partitions", before)
+
+
+@pytest.mark.parametrize("rows", [2, 3, 16, 500])
+@pytest.mark.parametrize("kind", ["mild", "tiny", "negative", "growing", "mixed"])
+def test_affine_scan_equals_the_recursion(frame, rows, kind):
+    rng = random.Random(rows)
+    factor = {"mild": lambda: 0.9, "tiny": lambda: 1e-30, "negative": lambda: -0.7, "growing": lambda: 1.001, "mixed": lambda: rng.choice([0.0, 1.0, -1.5, 0.3, None])}[kind]
+    data = [(s, i, factor(), rng.choice([rng.gauss(0, 1), None]) if kind == "mixed" else rng.gauss(0, 1), f"{s}{i}") for s, n in (("a", 70), ("b", 1), ("c", 9)) for i in range(n)]
+    df = frame("k string, pos long, f double, add double, tag string", data).repartition(5)
+    got = {(r["k"], r["pos"]): r for r in o.affine_scan(df, ["k"], F.col("f"), F.col("add"), "x", rows=rows).collect()}
+    assert len(got) == len(data)
+    last = {}
+    for k, pos, f, add, tag in data:
+        x = last.get(k, 0.0)
+        last[k] = x if f is None or add is None else f * x + add
+        assert got[k, pos]["x"] == pytest.approx(last[k], rel=1e-9, abs=1e-12) and got[k, pos]["tag"] == tag
+    empty = o.affine_scan(df.limit(0), ["k"], F.col("f"), F.col("add"), "x")
+    assert empty.collect() == [] and empty.columns == [*df.columns, "x"]
+
+
+def test_affine_scan_needs_no_python(panel):
+    plan = o.affine_scan(panel, ["series_id"], F.lit(0.5), F.col("y"), "x")._jdf.queryExecution().toString()
+    assert "Python" not in plan and "Pandas" not in plan
+
+
+def test_freeze_takes_the_row_before_each_block(frame):
+    rng = random.Random(4)
+    data = [(s, i, n, rng.random(), rng.choice([None, rng.random()])) for s, n in (("a", 40), ("b", 12), ("c", 7), ("d", 13)) for i in range(n)]
+    df = frame("series_id string, pos long, n long, w double, v double", data).repartition(4)
+    out = features.freeze_covariates(df, ["w", "v"], folds=3, horizon=4)
+    got = {(r["series_id"], r["pos"]): (r["w"], r["v"]) for r in out.collect()}
+    assert out.columns == df.columns and len(got) == len(data)
+    value = {(s, i): (w, v) for s, i, _, w, v in data}
+    for s, i, n, w, v in data:
+        into = i - (n - 12)
+        origin = (s, i - into % 4 - 1)
+        assert got[s, i] == (value[origin] if into >= 0 and origin in value else (w, v))
+    assert "collect_list" not in out._jdf.queryExecution().toString()
