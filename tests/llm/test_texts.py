@@ -284,3 +284,13 @@ def test_word_hashes_do_not_depend_on_place():
     h = word_hashes(data)
     assert len(h) == 5 and h[0] == h[2] and h[1] == h[4] and len(set(h.tolist())) == 3
     assert word_hashes(b"Beta", lower=True)[0] == word_hashes(b"beta")[0] != word_hashes(b"Beta")[0]
+
+
+def test_licence_places_take_linear_time():
+    import time
+
+    words = licenses.words_of("the mit license " * 300_000)
+    start = time.perf_counter()
+    places = licenses.base_places(words)
+    assert len(places) == 300_000 and [p for p, _ in places[:3]] == [1, 4, 7] and places[-1] == (899_998, "mit")
+    assert time.perf_counter() - start < 5
