@@ -294,3 +294,28 @@ def test_licence_places_take_linear_time():
     places = licenses.base_places(words)
     assert len(places) == 300_000 and [p for p, _ in places[:3]] == [1, 4, 7] and places[-1] == (899_998, "mit")
     assert time.perf_counter() - start < 5
+
+
+def test_secrets_are_found_at_any_place_in_a_cue_s_context():
+    r, novelty = random.Random(9), secret_scan.Novelty()
+    fill = "the value is read from a file and written to the next place where nothing changes " * 5
+    found = {}
+    for distance in (4, 60, 150, 250, -4, -60, -150, -250):
+        for _ in range(25):
+            own = "".join(r.choice(string.ascii_letters + string.digits) for _ in range(24))
+            pad = fill[: abs(distance) - 1] + " "
+            text = f"auth {pad}{own} end" if distance > 0 else f"start {own} {pad}token end"
+            at = text.index(own)
+            found[distance] = found.get(distance, 0) + ((at, 3, at + 24) in secret_scan.spans(text, novelty))
+    assert all(n == 25 for n in found.values()), found
+
+
+def test_names_are_whole_and_their_own_document_s_words_are_known():
+    novelty = secret_scan.Novelty()
+    assert secret_scan.spans("set token_bucket_rate_limiter_config here", novelty) == []
+    name = "getKeyboardShortcutHandler"
+    assert secret_scan.spans(f"call {name} with auth header, then {name} again", novelty) == []
+    assert secret_scan.spans(f"keyboardLayout, shortcutMap and {name} with auth header", novelty) == []
+    own = "q8ZrT2mVx0LkP7sWd4Hf9JbN1cYg"
+    assert len(secret_scan.spans(f"auth {own} and once more {own} end", novelty)) == 2
+    assert secret_scan.spans(f"auth {'very far words ' * 30} {own} {'words again ' * 40} token", novelty) == []
