@@ -31,6 +31,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from panelkit.plans.ordered import running
+from panelkit.session import settled
 
 #: Racks and regions of ``even``; buckets in each shard by which ``slots`` numbers its rows.
 RACKS, REGIONS, BUCKETS = 8, 4, 1024
@@ -123,5 +124,6 @@ def assign(docs: DataFrame, shards: int) -> DataFrame:
     facts = docs.select("doc_id", (F.octet_length(text) + 16).cast("long").alias("size"), F.crc32(text.cast("binary")).alias("text_crc32"))
     facts = place(facts, even(shards))
     facts = place(facts, even(shards + 1, base=shards), column="grown_shard")
+    facts = settled(facts, "shard-facts")  # numbering reads them twice, the texts once
     numbered = slots(facts)
     return numbered.select("doc_id", "size", "text_crc32", F.lit("key").alias("law"), "shard", F.col("slot").cast("long").alias("slot"), "grown_shard")
