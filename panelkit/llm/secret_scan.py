@@ -107,7 +107,7 @@ def novel(text: str, novelty: Novelty) -> list[tuple[int, int, int]]:
         digits = len(re.findall("[0-9]", own))
         if not digits and names.times[own] > 1:
             continue
-        context = " ".join((names.known(own), text[end : end + CONTEXT], text[max(0, start - CONTEXT) : start]))
+        context = " ".join((names.known(own), text[end : end + CONTEXT], text[max(0, start - CONTEXT) : start])).replace(own, " ")
         least = NOVEL_DIGITS if digits >= DIGITS else NOVEL if len(own) < LONG else 1 - CHANCE / len(own)
         if novelty(context, own) >= least:
             found.append((start, 3, end))
