@@ -223,8 +223,9 @@ def affine_scan(
     key, where ``rows``^2 rows are one pair; what enters a chunk comes back by joins
     on (keys, chunk).  Any ``a`` is allowed, 0 restarts the recursion.  ``pos`` must be
     the distinct 0-based position.  Nulls in ``a`` or ``b`` count as no change: a = 1, b = 0.
+    ``rows`` is held between 16 and ``SCAN_ROWS``: a fold's time grows with its square.
     """
-    keys = list(keys)
+    keys, rows = list(keys), min(max(rows, 16), SCAN_ROWS)
     step = F.struct(
         F.col(pos).alias("_at"),
         F.when(a.isNotNull() & b.isNotNull(), a.cast("double")).otherwise(1.0).alias("a"),
