@@ -147,12 +147,12 @@ def test_partition_invariance(spark, panel):
         spark.conf.set("spark.sql.shuffle.partitions", before)
 
 
-@pytest.mark.parametrize("rows", [2, 3, 16, 500])
+@pytest.mark.parametrize("rows", [1, 16, 500])
 @pytest.mark.parametrize("kind", ["mild", "tiny", "negative", "growing", "mixed"])
 def test_affine_scan_equals_the_recursion(frame, rows, kind):
     rng = random.Random(rows)
     factor = {"mild": lambda: 0.9, "tiny": lambda: 1e-30, "negative": lambda: -0.7, "growing": lambda: 1.001, "mixed": lambda: rng.choice([0.0, 1.0, -1.5, 0.3, None])}[kind]
-    data = [(s, i, factor(), rng.choice([rng.gauss(0, 1), None]) if kind == "mixed" else rng.gauss(0, 1), f"{s}{i}") for s, n in (("a", 70), ("b", 1), ("c", 9)) for i in range(n)]
+    data = [(s, i, factor(), rng.choice([rng.gauss(0, 1), None]) if kind == "mixed" else rng.gauss(0, 1), f"{s}{i}") for s, n in (("a", 700), ("b", 1), ("c", 70)) for i in range(n)]
     df = frame("k string, pos long, f double, add double, tag string", data).repartition(5)
     got = {(r["k"], r["pos"]): r for r in o.affine_scan(df, ["k"], F.col("f"), F.col("add"), "x", rows=rows).collect()}
     assert len(got) == len(data)
