@@ -88,24 +88,39 @@ def dm_statistics(
     small samples.  Lags count the rows that hold all models, so a position that
     lacks one closes up, wherever it lies.  A series has folds * horizon rows at
     most, which is what its window holds; all lags of a pair are summed in one
-    aggregate, with map-side partials and no row per lag.
+    aggregate, with map-side partials and no row per lag.  Differences are
+    centred by their pair's mean before they are multiplied, so a mean that is
+    large against the spread costs no digits.
     """
     wide = losses_wide(preds, models, loss)
-    w = Window.partitionBy("series_id").orderBy("pos")
+    series = Window.partitionBy("series_id")
+    w = series.orderBy("pos")
     lags = range(0, max(h, 1))
+    pairs = list(pairs or model_pairs(models))
+
+    def diff(a: str, b: str) -> Column:
+        return F.col(f"loss_{a}") - F.col(f"loss_{b}")
+
+    def centred(a: str, b: str, mean: Column) -> Column:
+        return F.zip_with(f"_l_{a}", f"_l_{b}", lambda x, y: x - y - mean)
+
     rows = wide.select(
-        "series_id", *[F.array(*[F.lag(f"loss_{m}", k).over(w) for k in lags]).alias(f"_l_{m}") for m in models]
+        "series_id",
+        *[F.array(*[F.lag(f"loss_{m}", k).over(w) for k in lags]).alias(f"_l_{m}") for m in models],
+        *[F.avg(diff(a, b)).over(series).alias(f"_m_{i}") for i, (a, b) in enumerate(pairs)],
     )
     items = [
         F.struct(
             F.lit(a).alias("model_a"),
             F.lit(b).alias("model_b"),
-            F.zip_with(f"_l_{a}", f"_l_{b}", lambda x, y: x - y).alias("dk"),
+            F.col(f"_m_{i}").alias("centre"),
+            F.greatest(F.abs(F.get(f"_l_{a}", F.lit(0))), F.abs(F.get(f"_l_{b}", F.lit(0)))).alias("size"),
+            centred(a, b, F.col(f"_m_{i}")).alias("dk"),
         )
-        for a, b in (pairs or model_pairs(models))
+        for i, (a, b) in enumerate(pairs)
     ]
     rows = rows.select("series_id", F.inline(F.array(*items))).withColumn("d", F.get("dk", F.lit(0)))
-    sums = []
+    sums = [F.max("centre").alias("_centre"), F.max("size").alias("_size")]
     for k in lags:
         back = F.get("dk", F.lit(k))
         sums += [
@@ -127,16 +142,17 @@ def dm_statistics(
     g = g.select(
         *PAIR,
         F.col("_c0").alias("n"),
-        (F.col("_a0") / F.col("_c0")).alias("mean_loss_diff"),
-        (F.col("_s0") / F.col("_c0")).alias("_ms"),
+        (F.col("_a0") / F.col("_c0")).alias("_left"),
+        (F.col("_centre") + F.col("_a0") / F.col("_c0")).alias("mean_loss_diff"),
+        "_size",
         weighted(lambda k: F.col(f"_s{k}") / F.col(f"_c{k}")).alias("_ss"),
         weighted(lambda k: (F.col(f"_a{k}") + F.col(f"_b{k}")) / F.col(f"_c{k}")).alias("_cross"),
         weighted(lambda k: F.lit(1.0)).alias("_w"),
     )
-    m, n = F.col("mean_loss_diff"), F.col("n").cast("double")
-    var = (F.col("_ss") - m * F.col("_cross") + m * m * F.col("_w")) / n
-    # rounding of the sums must not pass for variance
-    enough = (n >= 10) & (var > F.lit(1e-13) * F.col("_ms") / n)
+    m, left, n = F.col("mean_loss_diff"), F.col("_left"), F.col("n").cast("double")
+    var = (F.col("_ss") - left * F.col("_cross") + left * left * F.col("_w")) / n
+    # what differences of rounded losses leave must not pass for variance
+    enough = (n >= 10) & (var > F.lit(1e-24) * F.col("_size") * F.col("_size") / n)
     hln = F.sqrt((n + 1 - 2 * h + F.lit(h * (h - 1.0)) / n) / n)
     stat = F.when(enough, m / F.sqrt(F.when(enough, var)) * hln)
     return g.select(*PAIR, "n", "mean_loss_diff", stat.alias("dm_stat"))
@@ -206,12 +222,12 @@ def holm(
     return df.join(v, [*family, p], "left")
 
 
-def panel_rollup(tests: DataFrame, alpha: float = ALPHA) -> DataFrame:
-    """Per model pair: series, significant counts, wins raw and FDR, median p."""
+def panel_rollup(tests: DataFrame, alpha: float = ALPHA, block: Sequence[str] = ()) -> DataFrame:
+    """Per model pair (and block): series, significant counts, wins raw and FDR, median p."""
     raw = F.coalesce(F.col("p_value") < alpha, F.lit(False))
     fdr = F.coalesce(F.col("p_bh") < alpha, F.lit(False))
     a_better = F.col("better") == F.col("model_a")
-    keys = ["model_a", "model_b"]
+    keys = [*block, "model_a", "model_b"]
     counts = tests.groupBy(*keys).agg(
         F.count(F.lit(1)).alias("n_series"),
         F.count_if(raw).alias("n_sig"),

@@ -14,7 +14,7 @@ order-dependent work is done over *buckets* (contiguous pieces of a series):
   (a, b) pairs per chunk that are carried from chunk to chunk.
 * ``spread``: joins per-key facts to rows on (key, bucket) instead of key.
 * ``ranked_values``: exact ranks and order statistics without sorting a key in
-  one task and without a per-key buffer.
+  one task and without a per-key buffer; a sketch of a large key picks its cells.
 """
 
 from __future__ import annotations
@@ -256,6 +256,40 @@ def affine_scan(
     return carried.select(F.inline(out)).select("row.*", name)
 
 
+#: Quantiles a sketch gives of a large key, equal steps between two of them, copies of the sketch.
+EDGES, STEPS, COPIES = 64, 1024, 32
+
+
+def value_cells(
+    v: DataFrame, keys: Sequence[str], value: str, rows: int = CHUNK_ROWS, edges: int = EDGES, steps: int = STEPS, copies: int = COPIES
+) -> DataFrame:
+    """``v`` with "_bucket", contiguous pieces of the order of ``value`` in each key.
+
+    Keys of at most ``rows`` rows are one piece.  A larger key has ``edges``
+    quantiles of a mergeable sketch, each interval cut into equal ``steps``, so
+    pieces follow the data wherever they lie and however far from zero.  The
+    sketch only places the cuts; whatever is counted over the pieces is exact.
+    Large keys are at most one in ``rows`` rows, and their edges are copied
+    ``copies`` times for a join that a hot key cannot skew.
+    """
+    keys = list(keys)
+    x = F.col(value).cast("double")
+    probs = F.array(*[F.lit(i / edges) for i in range(edges + 1)])
+    sketch = v.groupBy(*keys).agg(F.count(F.lit(1)).alias("_rows"), F.percentile_approx(x, probs, 20 * edges).alias("_edges"))
+    large = sketch.filter(F.col("_rows") > rows).select(*keys, "_edges", F.explode(F.sequence(F.lit(0), F.lit(copies - 1))).alias("_copy"))
+    dealt = v.withColumn("_copy", F.pmod(F.xxhash64(value), F.lit(copies)).cast("int")).join(large, [*keys, "_copy"], "left")
+    dealt = dealt.withColumn("_at", F.lit(0))
+    for half in (1 << i for i in reversed(range((edges + 1).bit_length()))):
+        # edges at or below x, by halving; a project a step keeps it in generated code
+        passed = F.get("_edges", F.col("_at") + (half - 1)) <= x
+        dealt = dealt.withColumn("_at", F.col("_at") + F.when(passed, half).otherwise(0))
+    at = F.col("_at")
+    lo, hi = F.get("_edges", at - 1), F.get("_edges", at)
+    step = F.when(hi > lo, F.least(F.floor((x - lo) / (hi - lo) * F.lit(float(steps))), F.lit(steps - 1)))
+    bucket = F.when(F.col("_edges").isNull(), F.lit(0).cast("long")).otherwise(at.cast("long") * steps + F.coalesce(step, F.lit(0)))
+    return dealt.withColumn("_bucket", bucket).select(*v.columns, "_bucket")
+
+
 def ranked_values(
     df: DataFrame, keys: Sequence[str], value: str, sums: dict[str, Column] | None = None
 ) -> DataFrame:
@@ -270,7 +304,7 @@ def ranked_values(
     v = v.groupBy(*keys, value).agg(
         F.count(F.lit(1)).alias("cnt"), *[F.sum(c).alias(k) for k, c in sums.items()]
     )
-    v = v.withColumn("_bucket", magnitude_bucket(value))
+    v = value_cells(v, keys, value)
     v = running(v, keys, "_bucket", value, {"_upto": F.col("cnt")}, {"total": F.col("cnt")})
     return v.select(
         *keys, value, "cnt", (F.col("_upto") - F.col("cnt")).alias("before"), "total", *sums

@@ -274,6 +274,27 @@ def g10(spark, sf):
     return stats.sign_test(_paired(spark, sf), ["tier"], "d")
 
 
+# Ways to reach each rank sum with the first n ranks, n up to 50: the exact null distribution. Needs WITH RECURSIVE.
+RANK_WAYS = """rank_ways(m, ways) AS (SELECT 0, list_transform(range(1276), lambda i: CASE WHEN i = 0 THEN 1.0::DOUBLE ELSE 0.0::DOUBLE END)
+  UNION ALL SELECT m + 1, list_transform(range(1276), lambda i: ways[i + 1] + CASE WHEN i > m THEN ways[i - m] ELSE 0.0::DOUBLE END) FROM rank_ways WHERE m < 50)"""
+
+
+def t_quantile_sql(src: str, keys: str, n: str, p_upper: float = 0.05) -> str:
+    """CTE tq: (keys, tc) with P(T > tc) = p_upper at n - 1 degrees of freedom, by bisection. Needs WITH RECURSIVE."""
+    return f"""tq_step AS (SELECT {keys}, {n} - 1 AS dof, 0.0::DOUBLE AS lo, 64.0::DOUBLE AS hi, 0 AS i FROM {src} WHERE {n} > 1
+  UNION ALL SELECT {keys}, dof, CASE WHEN {t_tail("((lo + hi) / 2)", "dof")} > {p_upper} THEN (lo + hi) / 2 ELSE lo END,
+    CASE WHEN {t_tail("((lo + hi) / 2)", "dof")} > {p_upper} THEN hi ELSE (lo + hi) / 2 END, i + 1 FROM tq_step WHERE i < 52),
+tq AS (SELECT {keys}, (lo + hi) / 2 AS tc FROM tq_step WHERE i = 52)"""
+
+
+def signed_rank_exact_sql(src: str, keys: str, d: str) -> str:
+    """``signed_rank_sql`` and CTE srx: exact where at most 50 ranks have no ties and no zeros. Needs WITH RECURSIVE."""
+    return f"""{RANK_WAYS}, {signed_rank_sql(src, keys, d)},
+srx AS (SELECT s.* EXCLUDE (p_wilcoxon), CASE WHEN n_used <= 50 AND tie_sum = 0 AND n_zero = 0
+    THEN least(1.0, 2 * list_sum(w.ways[1:CAST(floor(t_stat) AS BIGINT) + 1]) / pow(2.0, n_used)) ELSE p_wilcoxon END AS p_wilcoxon
+  FROM sr s LEFT JOIN rank_ways w ON w.m = s.n_used)"""
+
+
 def signed_rank_sql(src: str, keys: str, d: str) -> str:
     """CTE sr: normal approximation with tie correction (n > 50)."""
     return f"""sr_ranked AS (SELECT {keys}, {d} AS d, rank() OVER (PARTITION BY {keys} ORDER BY abs({d}))
@@ -441,39 +462,43 @@ def g17_lengths(spark, sf):
     return stats.block_bootstrap(pair, (12, 24, 48), draws=BLOCK_DRAWS)
 
 
-@reg.add(
-    "g18_tost",
-    f"""WITH {PAIRED}, g AS (SELECT tier, count(*) AS n, avg(d) AS m, stddev_samp(d) / sqrt(count(*)) AS se FROM paired WHERE d IS NOT NULL GROUP BY tier),
+TOST_SQL = f"""RECURSIVE {PAIRED}, g AS (SELECT tier, count(*) AS n, avg(d) AS m, stddev_samp(d) / sqrt(count(*)) AS se FROM paired WHERE d IS NOT NULL GROUP BY tier),
     h AS (SELECT *, (m + 0.05) / se AS tl, -(m - 0.05) / se AS tu FROM g),
     k AS (SELECT *, CASE WHEN tl >= 0 THEN {t_tail("tl", "n - 1")} ELSE 1 - {t_tail("tl", "n - 1")} END AS pl,
-      CASE WHEN tu >= 0 THEN {t_tail("tu", "n - 1")} ELSE 1 - {t_tail("tu", "n - 1")} END AS pu FROM h)
-    SELECT tier, n, {r("m", "mean_diff")}, {r("se")}, {r("greatest(pl, pu)", "p_tost")},
-      greatest(pl, pu) < 0.05 AS equivalent FROM k""",
+      CASE WHEN tu >= 0 THEN {t_tail("tu", "n - 1")} ELSE 1 - {t_tail("tu", "n - 1")} END AS pu FROM h),
+    {t_quantile_sql("g", "tier", "n")},
+    tost AS (SELECT k.*, greatest(pl, pu) AS p_tost, m - tc * se AS ci90_lo, m + tc * se AS ci90_hi FROM k LEFT JOIN tq ON tq.tier = k.tier)"""
+
+
+@reg.add(
+    "g18_tost",
+    f"""WITH {TOST_SQL} SELECT tier, n, {r("m", "mean_diff")}, {r("se")}, {r("p_tost")}, {r("ci90_lo")}, {r("ci90_hi")},
+      coalesce(ci90_lo > -0.05 AND ci90_hi < 0.05, false) AS equivalent FROM tost""",
 )
 def g18(spark, sf):
-    return stats.tost(_paired(spark, sf), ["tier"], "d").drop("ci90_lo", "ci90_hi")
+    return stats.tost(_paired(spark, sf), ["tier"], "d")
 
 
-@reg.add("g18_tost_intervals")
+@reg.add(
+    "g18_tost_intervals",
+    f"""WITH {TOST_SQL} SELECT tier, {r("ci90_lo")}, {r("ci90_hi")}, {r("(ci90_hi - ci90_lo) / 2", "half_width")} FROM tost""",
+)
 def g18_ci(spark, sf):
-    """The 90 % interval needs a t quantile; goldens are in the tests."""
-    return stats.tost(_paired(spark, sf), ["tier"], "d")
+    """The 90 % intervals and half their width."""
+    g = stats.tost(_paired(spark, sf), ["tier"], "d")
+    return g.select("tier", "ci90_lo", "ci90_hi", ((F.col("ci90_hi") - F.col("ci90_lo")) / 2).alias("half_width"))
 
 
 @reg.add(
     "g19_margin_sweep",
-    f"""WITH {PAIRED}, g AS (SELECT tier, count(*) AS n, avg(d) AS m, stddev_samp(d) / sqrt(count(*)) AS se FROM paired WHERE d IS NOT NULL GROUP BY tier)
-    SELECT tier, {r("mg", "margin")}, {r("greatest(abs(m - 2 * se), abs(m + 2 * se))", "min_margin")},
-      greatest(abs(m - 2 * se), abs(m + 2 * se)) < mg AS equivalent_at
-    FROM g CROSS JOIN (SELECT unnest([0.02, 0.05, 0.1]::DOUBLE[]) AS mg)""",
+    f"""WITH {TOST_SQL} SELECT tier, {r("mg", "margin")}, {r("greatest(abs(ci90_lo), abs(ci90_hi))", "min_margin")},
+      greatest(abs(ci90_lo), abs(ci90_hi)) < mg AS equivalent_at
+    FROM tost CROSS JOIN (SELECT unnest([0.02, 0.05, 0.1]::DOUBLE[]) AS mg)""",
 )
 def g19(spark, sf):
-    """Two standard errors as the interval, so that SQL can follow."""
-    p = _paired(spark, sf).groupBy("tier").agg(
-        F.avg("d").alias("m"), (F.stddev_samp("d") / F.sqrt(F.count("d"))).alias("se")
-    )
-    ci = p.withColumns({"ci90_lo": F.col("m") - 2 * F.col("se"), "ci90_hi": F.col("m") + 2 * F.col("se")})
-    return stats.margin_sweep(ci, [0.02, 0.05, 0.1]).select("tier", "margin", "min_margin", "equivalent_at")
+    """The sweep over the intervals of the two one-sided tests."""
+    tests = stats.tost(_paired(spark, sf), ["tier"], "d")
+    return stats.margin_sweep(tests, [0.02, 0.05, 0.1]).select("tier", "margin", "min_margin", "equivalent_at")
 
 
 TRAJ = f"""fold_means AS (SELECT series_id, model_a, model_b, fold, avg(d) AS fm, count(*) AS c FROM diffs GROUP BY ALL),
@@ -565,7 +590,16 @@ def g24(spark, sf):
     return out.drop("t_stat", "p_wilcoxon")
 
 
-@reg.add("g24_stratified_tests")
+@reg.add(
+    "g24_stratified_tests",
+    f"""WITH RECURSIVE {PAIRED}, st AS (SELECT unnest(list_filter(['all', CASE WHEN tier = 'rich' THEN 'rich' END, CASE WHEN tier = 'scarce' THEN 'scarce' END],
+        lambda x: x IS NOT NULL)) AS stratum, a, b, d FROM paired WHERE d IS NOT NULL), {signed_rank_exact_sql("st", "stratum", "d")},
+    g AS (SELECT stratum, count(*) AS n, avg(a) AS mean_a, avg(b) AS mean_b, avg(d) AS mean_diff, median(d) AS median_diff, count_if(d > 0) AS n_b_better,
+      count(*) / CAST((SELECT count(*) FROM paired) AS DOUBLE) AS share_of_panel FROM st GROUP BY stratum)
+    SELECT g.stratum, g.n, {r("mean_a")}, {r("mean_b")}, {r("mean_diff")}, {r("median_diff")}, n_b_better, g.n < 8 AS underpowered, {r("share_of_panel")},
+      {r("CASE WHEN g.n >= 3 THEN t_stat END", "t_stat")}, {r("CASE WHEN g.n >= 3 THEN p_wilcoxon END", "p_wilcoxon")}
+    FROM g LEFT JOIN srx ON srx.stratum = g.stratum""",
+)
 def g24_tests(spark, sf):
     """With the signed-rank test per stratum (exact or approximate by size)."""
     p = _paired(spark, sf)

@@ -4,24 +4,49 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from panelkit.functions.columns import slug
 from panelkit.operators import joins, metrics, report, stats
 from panelkit.operators import backtest
+from panelkit.registry.backtests import CUTOFF, SINCE_ROWS, SINCE_SQL
 from panelkit.registry.common import (
+    FOLDS,
+    HORIZON,
+    MIN_TRAIN,
     MODELS,
     SCORED,
+    SCORES,
+    SEASON,
+    SUPPLIER_PANEL,
     TIERS,
     Registry,
+    baseline_preds,
     d,
     panel,
     predicted,
     predictions,
     r,
+    scale_cte,
     scored,
     scores,
     supplier_tiers,
     t,
 )
-from panelkit.registry.comparisons import BH, CONFORMAL, DM, PREDS, RANKS, ROLL, _ranks, _rollup, _seeded
+from panelkit.registry.comparisons import (
+    BH,
+    CONFIG_SQL,
+    CONFIGS,
+    CONFORMAL,
+    DM,
+    LOSSES,
+    PREDS,
+    RANKS,
+    ROLL,
+    _config_predictions,
+    _ranks,
+    _rollup,
+    _seeded,
+    dm_sql,
+)
 from panelkit.registry.decisions import RUNS_SQL
 from panelkit.registry.decisions import _runs as _flag_runs
 from panelkit.session import settled
@@ -116,6 +141,59 @@ def j3(spark, sf):
     return out.drop("critical_difference").fillna(-1, ["ref_wins_fdr", "model_wins_fdr"])
 
 
+# The two baselines stand in every covariate configuration, the ridge differs between them.
+BLOCK_MODELS = ("seasonal_naive", "seasonal_mean", "ridge")
+BLOCK_SQL = f"""{PREDS.replace("preds AS", "bpreds AS")},{CONFIG_SQL.removeprefix(SUPPLIER_PANEL + ",").replace("preds AS", "cpreds AS")},
+{TIERS}, parts AS (SELECT series_id, model AS config, 'ridge' AS model, fold, lead, pos, y_true, y_pred FROM cpreds
+  UNION ALL SELECT series_id, config, model, fold, lead, pos, y_true, y_pred FROM bpreds
+    CROSS JOIN (SELECT unnest(['none', 'causal', 'perfect']) AS config) WHERE model <> 'last_value'),
+preds AS MATERIALIZED (SELECT t.tier || '|' || p.config || '|' || p.series_id AS series_id, p.* EXCLUDE (series_id, config) FROM parts p JOIN tiers t ON t.series_id = p.series_id),
+{scale_cte(HORIZON, FOLDS, MIN_TRAIN, SEASON)},
+scores AS (SELECT p.series_id, p.model, avg(abs(y_true - y_pred)) AS MAE, sqrt(avg((y_true - y_pred) * (y_true - y_pred))) AS RMSE,
+    avg(abs(y_true - y_pred)) / any_value(s.scale) AS MASE FROM preds p JOIN scale s ON s.series_id = split_part(p.series_id, '|', 3) GROUP BY ALL),
+{LOSSES.replace("last_value", "ridge")}, {dm_sql()},
+fam AS (SELECT *, split_part(series_id, '|', 1) AS domain, split_part(series_id, '|', 2) AS config FROM tests),
+fam_n AS (SELECT domain, config, model_a, model_b, count(*) AS m_all FROM fam GROUP BY ALL),
+fam_r AS (SELECT f.*, m_all, row_number() OVER (PARTITION BY f.domain, f.config, f.model_a, f.model_b ORDER BY p_value) AS rn
+  FROM fam f JOIN fam_n USING (domain, config, model_a, model_b) WHERE p_value IS NOT NULL),
+fam_bh AS (SELECT *, min(p_value * m_all / rn) OVER (PARTITION BY domain, config, model_a, model_b ORDER BY rn DESC
+    ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS p_bh FROM fam_r),
+roll AS (SELECT f.domain, f.config, f.model_a, f.model_b, count_if(p_bh < 0.05 AND f.better = f.model_a) AS a_wins, count_if(p_bh < 0.05 AND f.better = f.model_b) AS b_wins
+  FROM fam f LEFT JOIN fam_bh b USING (series_id, model_a, model_b) GROUP BY ALL),
+w AS (SELECT domain, config, CASE WHEN model_a = 'seasonal_mean' THEN model_b ELSE model_a END AS model,
+    CASE WHEN model_a = 'seasonal_mean' THEN a_wins ELSE b_wins END AS ref_wins_fdr, CASE WHEN model_a = 'seasonal_mean' THEN b_wins ELSE a_wins END AS model_wins_fdr
+  FROM roll WHERE model_a = 'seasonal_mean' OR model_b = 'seasonal_mean'),
+marks AS (SELECT split_part(series_id, '|', 1) AS domain, split_part(series_id, '|', 2) AS config, *, count(*) OVER (PARTITION BY series_id) AS k,
+    rank() OVER (PARTITION BY series_id ORDER BY MASE) + (count(*) OVER (PARTITION BY series_id, MASE) - 1) / 2.0 AS rk FROM scores),
+cells AS (SELECT domain, config, model, count(*) AS n_series, avg(MASE) AS mean_MASE, stddev_samp(MASE) AS sd_MASE, avg(MAE) AS mean_MAE, stddev_samp(MAE) AS sd_MAE,
+    avg(RMSE) AS mean_RMSE, stddev_samp(RMSE) AS sd_RMSE, avg(rk) FILTER (k = 3) AS avg_rank FROM marks GROUP BY ALL)"""
+
+
+@reg.add(
+    "j3_accuracy_by_config",
+    f"""WITH {BLOCK_SQL} SELECT domain, config, model, n_series, {", ".join(r(f"{a}_{v}") for v in ("MASE", "MAE", "RMSE") for a in ("mean", "sd"))},
+      {r("avg_rank")}, coalesce(ref_wins_fdr, -1) AS ref_wins_fdr, coalesce(model_wins_fdr, -1) AS model_wins_fdr
+    FROM cells LEFT JOIN w USING (domain, config, model)""",
+)
+def j3_blocks(spark, sf):
+    """The main table by domain (here the suppliers' tier) and covariate configuration."""
+    p = panel(spark, sf)
+    ridge = _config_predictions(p).withColumnRenamed("model", "config").withColumn("model", F.lit("ridge"))
+    base = predicted(p).filter(F.col("model").isin(*BLOCK_MODELS))
+    base = base.withColumn("config", F.explode(F.array(*[F.lit(c) for c in CONFIGS])))
+    preds = ridge.unionByName(base, allowMissingColumns=True)
+    preds = preds.join(supplier_tiers(spark, sf).select("series_id", F.col("tier").alias("domain")), "series_id")
+    preds = settled(preds.select("domain", "config", "series_id", "model", "fold", "lead", "pos", "y_true", "y_pred"), "preds")
+    # a configuration's rows score as a model of its own, so one scale serves all
+    named = preds.withColumn("model", F.concat_ws("|", "domain", "config", "model"))
+    part = F.split("model", r"\|")
+    s = settled(scored(p, named), "scores").select(
+        part[0].alias("domain"), part[1].alias("config"), "series_id", part[2].alias("model"), "MASE", "MAE", "RMSE"
+    )
+    out = report.accuracy_by_block(preds, s, ["domain", "config"], BLOCK_MODELS, "seasonal_mean", HORIZON)
+    return out.fillna(-1, ["ref_wins_fdr", "model_wins_fdr"])
+
+
 @reg.add(
     "j4_coverage_pivot",
     f"""WITH {PREDS}, {CONFORMAL} SELECT series_id, {", ".join(r(f"avg({v}) FILTER (model = '{m}')", f"{v}_{m}") for m in MODELS for v in ("coverage", "width"))}
@@ -220,6 +298,40 @@ def _windows(spark, sf):
     )
 
 
+@reg.add(
+    "j6_panel_table",
+    f"""WITH w AS (SELECT l_suppkey, count(*) AS usable_hours, min(l_shipdate) AS s, max(l_shipdate) AS e FROM lineitem GROUP BY l_suppkey)
+    SELECT array_to_string(list_transform(string_split(replace(replace(lower(s_name), ' ', '_'), '_', ' '), ' '), lambda x: upper(x[1]) || lower(x[2:])), ' ') AS city,
+      n_name AS country, CASE WHEN s_acctbal >= 5000 THEN 'rich' ELSE 'scarce' END AS tier, s_suppkey AS sensor_id,
+      {d("s", "usable_from")}, {d("e", "usable_to")}, usable_hours
+    FROM w JOIN supplier ON s_suppkey = l_suppkey LEFT JOIN nation ON n_nationkey = s_nationkey WHERE usable_hours >= 550""",
+)
+def j6_panel(spark, sf):
+    """Suppliers as sensors: those with enough rows, with nation and key from the manifest."""
+    s = panels.table(spark, sf, "supplier")
+    n = panels.table(spark, sf, "nation").select("n_nationkey", F.col("n_name").alias("country"))
+    manifest = s.join(n, s["s_nationkey"] == n["n_nationkey"], "left").select(
+        F.col("s_name").alias("city"), "country", F.col("s_suppkey").alias("sensor_id")
+    )
+    tier = F.when(F.col("s_acctbal") >= 5000, "rich").otherwise("scarce").alias("tier")
+    names = s.select(F.col("s_suppkey").alias("l_suppkey"), slug("s_name").alias("city"), tier)
+    q = _windows(spark, sf).join(names, "l_suppkey").withColumn("PASS", F.col("usable_hours") >= 550)
+    return report.panel_table(q, manifest)
+
+
+@reg.add(
+    "j6_recency_table",
+    f"""WITH {SINCE_SQL}, {baseline_preds()}, {scale_cte(HORIZON, FOLDS, MIN_TRAIN, SEASON)}, {SCORES},
+    c AS (SELECT series_id, count(*) AS rows_since FROM panel GROUP BY series_id)
+    SELECT c.series_id, any_value(rows_since) AS rows_since, {", ".join(r(f"avg(MASE) FILTER (model = '{m}')", f"MASE_{m}") for m in MODELS)}
+    FROM c JOIN scores s ON s.series_id = c.series_id GROUP BY c.series_id""",
+)
+def j6_recency(spark, sf):
+    """Accuracy after a cutoff beside the rows it rests on."""
+    late = settled(backtest.rows_since(panel(spark, sf), CUTOFF, SINCE_ROWS)[0], "late")
+    return report.recency_table(late, scored(late, predicted(late)), MODELS)
+
+
 @reg.add(
     "j6_energy_table",
     f"""SELECT l_returnflag AS model, {r("avg(l_extendedprice)", "mean_j")}, {r("stddev_samp(l_extendedprice)", "sd_j")}, {r("avg(l_extendedprice) / 3.6e6 * 0.15 * 1.4", "usd_with_pue")}

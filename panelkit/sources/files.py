@@ -7,8 +7,12 @@ read covers all files in parallel.
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+import hashlib
+from collections.abc import Iterator, Sequence
+from urllib.parse import quote
 
+import pandas as pd
+import pyarrow.fs
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -228,20 +232,30 @@ def quality_csv(spark: SparkSession, path: str) -> DataFrame:
     )
 
 
+def _parsed_pages(pages: DataFrame, payload: str) -> DataFrame:
+    """Pages with their parsed payload, the items received and the items the source says it has."""
+    p = pages.withColumn("_p", F.from_json(payload, API_PAGE))
+    received = F.coalesce(F.size(F.coalesce("_p.results", F.array())), F.lit(0))
+    found = F.expr("try_cast(ltrim('>', _p.meta.found) AS long)")
+    return p.withColumns({"received": received.cast("long"), "found": F.coalesce(found, received.cast("long"))})
+
+
+def page_completeness(pages: DataFrame, payload: str = "payload") -> DataFrame:
+    """Items received and found of every page, empty and unreadable ones too, and whether all came.
+
+    A page without a count, or with none that is a number, is complete as it is.
+    """
+    p = _parsed_pages(pages, payload)
+    return p.select("series_id", "page_seq", "received", "found", (F.col("found") <= F.col("received")).alias("complete"))
+
+
 def api_pages(pages: DataFrame, payload: str = "payload") -> DataFrame:
     """Array-of-objects payloads to readings with their arrival order.
 
     ``pages`` hold series_id, page_seq and the JSON text.  Null values are
     skipped; found/received tell whether a page was complete.
     """
-    p = pages.withColumn("_p", F.from_json(payload, API_PAGE))
-    found = F.expr("try_cast(ltrim('>', _p.meta.found) AS long)")
-    p = p.withColumns(
-        {
-            "received": F.size(F.coalesce("_p.results", F.array())),
-            "found": F.coalesce(found, F.size("_p.results").cast("long")),
-        }
-    )
+    p = _parsed_pages(pages, payload)
     rows = p.select(
         "series_id", "page_seq", "found", "received", F.posexplode("_p.results").alias("_i", "_r")
     )
@@ -322,8 +336,40 @@ def replicate_files(spark: SparkSession, path: str, schema: str) -> DataFrame:
     )
 
 
-def file_hashes(spark: SparkSession, path: str) -> DataFrame:
-    """sha256 and size of every input file, one file per row."""
-    b = spark.read.format("binaryFile").load(path)
-    name = F.element_at(F.split("path", "/"), -1)
-    return b.select(name.alias("file"), "length", F.sha2("content", 256).alias("sha256"))
+def file_hashes(spark: SparkSession, path: str, piece: int = 4 << 20) -> DataFrame:
+    """sha256 and size of every input file, one file per row.
+
+    Only the listing comes from the scan, whose tasks hold one large file each;
+    a task reads its files through pyarrow's file systems (local or mounted,
+    hdfs, s3, gs) in pieces of ``piece`` bytes, so memory does not grow with a file
+    and files above 2 GiB, which the binary source refuses, are hashed too.
+    Equal names in different folders are separate rows.  Spark's scans plan no task
+    for an empty file, so it has no row.
+    """
+    files = spark.read.format("binaryFile").load(path).select("path", "length")
+
+    def hashed(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            yield pd.DataFrame(
+                {
+                    "file": [p.rsplit("/", 1)[-1] for p in batch["path"]],
+                    "length": batch["length"],
+                    "sha256": [_sha256(p, piece) for p in batch["path"]],
+                }
+            )
+
+    return files.mapInPandas(hashed, "file string, length long, sha256 string")
+
+
+def _sha256(uri: str, piece: int) -> str:
+    """The hash of a file named as Spark names paths: with its scheme, nothing escaped."""
+    scheme, _, rest = uri.partition(":")
+    if scheme == "file":
+        system, path = pyarrow.fs.LocalFileSystem(), "/" + rest.lstrip("/")
+    else:
+        system, path = pyarrow.fs.FileSystem.from_uri(f"{scheme}:{quote(rest)}")
+    h = hashlib.sha256()
+    with system.open_input_stream(path, compression=None, buffer_size=0) as f:
+        while data := f.read(piece):
+            h.update(data)
+    return h.hexdigest()

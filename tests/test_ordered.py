@@ -183,3 +183,26 @@ def test_freeze_takes_the_row_before_each_block(frame):
         origin = (s, i - into % 4 - 1)
         assert got[s, i] == (value[origin] if into >= 0 and origin in value else (w, v))
     assert "collect_list" not in out._jdf.queryExecution().toString()
+
+
+def test_value_cells_follow_values_far_from_zero(spark):
+    n = 1_000_000
+    df = spark.range(n).select(F.lit("a").alias("k"), (F.lit(1e9) + F.hash("id") / F.lit(2.0**31)).alias("x"))
+    cells = o.value_cells(df, ["k"], "x").groupBy("_bucket").agg(F.count("*").alias("c"), F.min("x").alias("lo"), F.max("x").alias("hi"))
+    rows = cells.orderBy("_bucket").collect()
+    assert len(rows) > 10_000 and max(r["c"] for r in rows) < n / 1000
+    assert all(a["hi"] < b["lo"] for a, b in zip(rows, rows[1:]))
+    got = o.group_quantiles(df, ["k"], "x", {"q": 0.37}).collect()[0]
+    assert got["n"] == n
+    assert got["q"] == pytest.approx(np.quantile(df.toPandas()["x"], 0.37), abs=1e-6)
+
+
+def test_value_cells_keep_order_over_odd_values(spark):
+    rng = random.Random(5)
+    values = [float("inf"), float("-inf"), 0.0, -0.0, 5e-324, 1.7e308, -1.7e308, *[3.0] * 40, *[rng.gauss(0, 1) * 10 ** rng.randint(-200, 200) for _ in range(600)]]
+    df = spark.createDataFrame([(k, v) for k in ("a", "b") for v in (values if k == "a" else values[:5])], "k string, x double")
+    rows = o.value_cells(df, ["k"], "x", rows=50, edges=8, steps=4, copies=3).toPandas().sort_values(["k", "x"])
+    assert len(rows) == df.count()
+    a = rows[rows.k == "a"]
+    assert a["_bucket"].is_monotonic_increasing and a["_bucket"].nunique() > 8
+    assert set(rows[rows.k == "b"]["_bucket"]) == {0}

@@ -129,3 +129,45 @@ def test_gate_takes_nan_for_missing(frame):
     df = frame("series_id string, ts timestamp, y double, seq long", rows)
     got = quality.usable_window(df, lo=None, hi=None, min_rows=24).collect()
     assert len(got) == 48 and [r["y"] for r in got if r["is_filled"]] == [5.0]
+
+
+def test_hashes_are_streamed_in_pieces(spark, tmp_path):
+    import hashlib
+
+    folder = tmp_path / "in"
+    folder.mkdir()
+    bodies = {"empty.bin": b"", "a b%20c.bin": bytes(range(256)) * 41, "exact.bin": b"x" * 64}
+    for name, body in bodies.items():
+        (folder / name).write_bytes(body)
+    got = {r["file"]: (r["length"], r["sha256"]) for r in files.file_hashes(spark, str(folder), piece=32).collect()}
+    assert got == {n: (len(b), hashlib.sha256(b).hexdigest()) for n, b in bodies.items() if b}
+
+
+def test_hash_of_a_file_above_two_gigabytes(spark, tmp_path):
+    import hashlib
+
+    size = (1 << 31) + 5
+    with open(tmp_path / "big.bin", "wb") as f:
+        f.truncate(size)  # sparse
+    want = hashlib.sha256()
+    for _ in range(32):
+        want.update(bytes(1 << 26))
+    want.update(bytes(5))
+    (row,) = files.file_hashes(spark, str(tmp_path)).collect()
+    assert (row["length"], row["sha256"]) == (size, want.hexdigest())
+
+
+def test_page_completeness_counts_every_page(spark):
+    item = '{"value": 3.0, "period": {"datetimeFrom": {"utc": "2024-01-01T00:00:00Z"}}}'
+    pages = [
+        ("s", 0, f'{{"meta": {{"found": ">3"}}, "results": [{item}, {item}]}}'),
+        ("s", 1, f'{{"meta": {{"found": "2"}}, "results": [{item}, {item}]}}'),
+        ("s", 2, '{"meta": {"found": "many"}, "results": []}'),
+        ("s", 3, '{"meta": {"found": "1"}, "results": []}'),
+        ("s", 4, "no json"),
+        ("s", 5, None),
+    ]
+    df = spark.createDataFrame(pages, "series_id string, page_seq long, payload string")
+    got = [tuple(r)[1:] for r in files.page_completeness(df).orderBy("page_seq").collect()]
+    assert got == [(0, 2, 3, False), (1, 2, 2, True), (2, 0, 0, True), (3, 0, 1, False), (4, 0, 0, True), (5, 0, 0, True)]
+    assert [r["page_complete"] for r in files.api_pages(df).orderBy("seq").collect()] == [False, False, True, True]

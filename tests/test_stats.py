@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import hashlib
 import math
+import random
 
 import numpy as np
 import pytest
@@ -354,3 +355,79 @@ def test_plugin_forecasters_equal_window_ones(frame):
         ref = want.select(*key).orderBy(*key[:3]).collect()
         assert [tuple(r)[:3] for r in got] == [tuple(r)[:3] for r in ref]
         assert [r["y_pred"] for r in got] == pytest.approx([r["y_pred"] for r in ref])
+
+
+def _backtest_rows(rng, series, models, level=0.0, spread=1.0):
+    rows = []
+    for s in range(series):
+        for p in range(24):
+            y = rng.gauss(0, 1)
+            for i, m in enumerate(models):
+                rows.append((f"s{s}", m, p // 4, p % 4 + 1, p, y, y + level * i + spread * rng.gauss(0, 1 + i)))
+    return rows
+
+
+BACKTEST = "series_id string, model string, fold int, lead int, pos long, y_true double, y_pred double"
+
+
+def test_dm_with_a_mean_large_against_its_spread(spark):
+    rng = random.Random(3)
+    e = [(1e6 + rng.gauss(0, 1e-3), rng.gauss(0, 1e-3)) for _ in range(40)]
+    rows = [("s", m, i // 4, i % 4 + 1, i, 0.0, v) for i, pair in enumerate(e) for m, v in zip("ab", pair)]
+    got = stats.dm_statistics(spark.createDataFrame(rows, BACKTEST), ["a", "b"], 4).collect()[0]
+    d = np.array([abs(a) - abs(b) for a, b in e], dtype=np.longdouble)
+    c, n, h = d - d.mean(), len(d), 4
+    var = sum((1 if k == 0 else 2 * (1 - k / h)) * (c[k:] * c[: n - k]).mean() for k in range(h)) / n
+    want = float(d.mean() / np.sqrt(var) * np.sqrt((n + 1 - 2 * h + h * (h - 1) / n) / n))
+    assert got["mean_loss_diff"] == pytest.approx(float(d.mean()))
+    assert got["dm_stat"] == pytest.approx(want, rel=1e-5)
+
+
+def test_dm_of_a_constant_difference_has_no_statistic(spark):
+    rng = random.Random(4)
+    e = [rng.uniform(1, 1e6) for _ in range(40)]
+    rows = [("s", m, i // 4, i % 4 + 1, i, 0.0, v) for i, x in enumerate(e) for m, v in zip("ab", (x + 0.1, x))]
+    got = stats.dm_statistics(spark.createDataFrame(rows, BACKTEST), ["a", "b"], 4).collect()[0]
+    assert got["dm_stat"] is None
+
+
+def test_accuracy_by_block_is_the_table_of_each_block(spark):
+    from panelkit.operators import report
+
+    rng, models = random.Random(9), ["a", "b", "c"]
+    blocks = {("x", "causal"): 0.0, ("x", "perfect"): 0.5, ("y", "causal"): 2.0}
+    parts = {k: _backtest_rows(rng, 9, models, level) for k, level in blocks.items()}
+    preds = spark.createDataFrame([(*k, *r) for k, rows in parts.items() for r in rows], "domain string, config string, " + BACKTEST)
+    err = F.abs(F.col("y_true") - F.col("y_pred"))
+    keys = ["domain", "config", "series_id", "model"]
+    scores = preds.groupBy(*keys).agg(F.avg(err).alias("MASE"), F.avg(err).alias("MAE"), F.sqrt(F.avg(err * err)).alias("RMSE"))
+    got = report.accuracy_by_block(preds, scores, ["domain", "config"], models, "a", 4).toPandas()
+    assert len(got) == 9
+    assert {(r.domain, r.config) for r in got.itertuples()} == set(parts)
+    for dom, cfg in [("x", "perfect")]:
+        rows = parts[dom, cfg]
+        one = spark.createDataFrame(rows, BACKTEST)
+        s = scores.filter((F.col("domain") == dom) & (F.col("config") == cfg))
+        adjusted = stats.benjamini_hochberg(stats.paired_summary(one, models, 4), ["model_a", "model_b"])
+        ranks = stats.average_ranks(stats.model_ranks(s.withColumn("p", F.lit(1)), ["p"], models), ["p"], 3)
+        want = report.accuracy_table(report.panel_stats(s, ["model"]), ranks, report.oriented_wins(stats.panel_rollup(adjusted), "a"))
+        want = want.toPandas().sort_values("model", ignore_index=True)
+        here = got[(got.domain == dom) & (got.config == cfg)].sort_values("model", ignore_index=True)
+        np.testing.assert_allclose(here[["mean_MASE", "sd_MASE", "avg_rank"]], want[["mean", "sd", "avg_rank"]])
+        for c in ("ref_wins_fdr", "model_wins_fdr"):
+            assert here[c].fillna(-1).tolist() == want[c].fillna(-1).tolist()
+
+
+def test_panel_and_recency_tables(spark):
+    from panelkit.operators import report
+
+    q = spark.createDataFrame(
+        [("new_delhi", "b", "d1", "d2", 9, True), ("oslo", "a", "d1", "d2", 8, True), ("rome", "a", "d1", "d2", 1, False), ("kyiv", "a", "d1", "d2", 7, True)],
+        "city string, tier string, usable_from string, usable_to string, usable_hours long, PASS boolean",
+    )
+    m = spark.createDataFrame([("New Delhi", "IN", 1), ("Oslo", "NO", 2), ("Rome", "IT", 3)], "city string, country string, sensor_id long")
+    got = [(r["city"], r["country"], r["sensor_id"]) for r in report.panel_table(q, m).collect()]
+    assert got == [("Kyiv", None, None), ("Oslo", "NO", 2), ("New Delhi", "IN", 1)]
+    rows = spark.createDataFrame([("s1", i) for i in range(3)] + [("s2", 0)], "series_id string, pos long")
+    sc = spark.createDataFrame([("s1", "a", 0.5), ("s1", "b", 0.25)], "series_id string, model string, MASE double")
+    assert [tuple(r) for r in report.recency_table(rows, sc, ["a", "b", "c"]).collect()] == [("s1", 3, 0.5, 0.25, None)]
