@@ -37,15 +37,18 @@ from panelkit.registry.comparisons import (
     CONFIGS,
     CONFORMAL,
     DM,
+    DRAWS,
     LOSSES,
     PREDS,
     RANKS,
     ROLL,
+    WEIGHT,
     _config_predictions,
     _ranks,
     _rollup,
     _seeded,
     dm_sql,
+    signed_rank_exact_sql,
 )
 from panelkit.registry.decisions import RUNS_SQL
 from panelkit.registry.decisions import _runs as _flag_runs
@@ -249,7 +252,26 @@ def j5(spark, sf):
     return _budget(spark, sf).drop("p_wilcoxon", "p_holm", "n", "ci_lo", "ci_hi")
 
 
-@reg.add("j5_budget_table_tests")
+# Weights as the bootstraps of single groups draw them: by series and replicate, whatever the group.
+BUDGET_TESTS_SQL = f"""{BUDGET_SQL},
+jd AS MATERIALIZED (SELECT p.strategy, p.fraction, p.series_id, v - base AS d FROM per p JOIN b ON b.series_id = p.series_id WHERE strategy <> 'base' AND v - base IS NOT NULL),
+{signed_rank_exact_sql("jd", "strategy, fraction", "d")},
+hm AS (SELECT strategy, fraction, p_wilcoxon, count(p_wilcoxon) OVER () - rank() OVER (ORDER BY p_wilcoxon NULLS LAST) + 1 AS k FROM srx),
+adj AS (SELECT *, least(1.0, max(p_wilcoxon * k) OVER (ORDER BY p_wilcoxon NULLS LAST)) AS p_holm FROM hm),
+hashes AS MATERIALIZED (SELECT series_id, q, md5('7|' || q || '|' || series_id) AS h FROM (SELECT DISTINCT series_id FROM jd) CROSS JOIN (SELECT unnest(range({DRAWS // 4})) AS q) t),
+draws AS (SELECT series_id, q * 4 + i AS rep, (CAST('0x' || substr(h, CAST(8 * i + 1 AS BIGINT), 8) AS BIGINT) + 0.5::DOUBLE) / 4294967296.0::DOUBLE AS u
+  FROM hashes CROSS JOIN (SELECT unnest(range(4)) AS i) t),
+weights AS MATERIALIZED (SELECT series_id, rep, CAST({WEIGHT} AS DOUBLE) AS w FROM draws),
+reps AS (SELECT strategy, fraction, rep, count(*) AS n, CASE WHEN sum(w) > 0 THEN sum(w * d) / sum(w) END AS m FROM jd JOIN weights USING (series_id) GROUP BY ALL),
+ci AS (SELECT strategy, fraction, max(n) AS n, quantile_cont(m, 0.025) AS ci_lo, quantile_cont(m, 0.975) AS ci_hi FROM reps GROUP BY ALL)"""
+
+
+@reg.add(
+    "j5_budget_table_tests",
+    f"""WITH RECURSIVE {BUDGET_TESTS_SQL} SELECT strategy, {r("fraction")}, {r("mean")}, {r("sd")}, n_series,
+      {r("mean - (SELECT mean FROM st WHERE strategy = 'base')", "delta")}, {r("p_wilcoxon")}, {r("p_holm")}, coalesce(wins, -1) AS wins, ci.n, {r("ci_lo")}, {r("ci_hi")}
+    FROM st LEFT JOIN adj USING (strategy, fraction) LEFT JOIN ws USING (strategy, fraction) LEFT JOIN ci USING (strategy, fraction)""",
+)
 def j5_tests(spark, sf):
     """With signed-rank p, Holm adjustment and bootstrap interval."""
     return _budget(spark, sf)
