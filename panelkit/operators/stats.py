@@ -203,7 +203,7 @@ def benjamini_hochberg(
     """
     family = list(family)
     m = df.groupBy(*family).agg(F.count(F.lit(1) if count_null else F.col(p)).alias("_m"))
-    v = ranked_values(df.select(*family, p), family, p).join(m, family)
+    v = ranked_values(df.select(*family, p), family, p, near_zero=True).join(m, family)
     raw = F.col(p) * F.col("_m") / (F.col("before") + F.col("cnt"))
     v = running_extreme(v, family, p, raw, name, smallest=True, descending=True)
     v = v.select(*family, p, F.least(F.col(name), F.lit(1.0)).alias(name))
@@ -215,7 +215,7 @@ def holm(
 ) -> DataFrame:
     """Holm step-down adjustment within each family; null p stays null."""
     family = list(family)
-    v = ranked_values(df.select(*family, p), family, p)
+    v = ranked_values(df.select(*family, p), family, p, near_zero=True)
     raw = F.col(p) * (F.col("total") - F.col("before"))
     v = running_extreme(v, family, p, raw, name, smallest=False, descending=False)
     v = v.select(*family, p, F.least(F.col(name), F.lit(1.0)).alias(name))
@@ -237,7 +237,7 @@ def panel_rollup(tests: DataFrame, alpha: float = ALPHA, block: Sequence[str] =
         F.count_if(fdr & a_better).alias("a_wins_fdr"),
         F.count_if(fdr & ~a_better).alias("b_wins_fdr"),
     )
-    med = group_quantiles(tests, keys, "p_value", {"median_p": 0.5}).drop("n")
+    med = group_quantiles(tests, keys, "p_value", {"median_p": 0.5}, near_zero=True).drop("n")
     return counts.join(med, keys, "left")
 
 

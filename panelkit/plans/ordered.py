@@ -291,20 +291,22 @@ def value_cells(
 
 
 def ranked_values(
-    df: DataFrame, keys: Sequence[str], value: str, sums: dict[str, Column] | None = None
+    df: DataFrame, keys: Sequence[str], value: str, sums: dict[str, Column] | None = None, near_zero: bool = False
 ) -> DataFrame:
     """One row per distinct value of a key with its place in the order.
 
     Columns: keys, ``value``, cnt (rows holding it), before (rows strictly
     below it) and total (rows of the key), plus the given per-value sums.
-    Nulls are left out.  Ties collapse before the shuffle.
+    Nulls are left out.  Ties collapse before the shuffle.  ``near_zero`` is for
+    values without an offset by construction, such as p values: the logarithm
+    cuts them well, and no sketch is needed.
     """
     sums = sums or {}
     v = df.filter(F.col(value).isNotNull())
     v = v.groupBy(*keys, value).agg(
         F.count(F.lit(1)).alias("cnt"), *[F.sum(c).alias(k) for k, c in sums.items()]
     )
-    v = value_cells(v, keys, value)
+    v = v.withColumn("_bucket", magnitude_bucket(value)) if near_zero else value_cells(v, keys, value)
     v = running(v, keys, "_bucket", value, {"_upto": F.col("cnt")}, {"total": F.col("cnt")})
     return v.select(
         *keys, value, "cnt", (F.col("_upto") - F.col("cnt")).alias("before"), "total", *sums
@@ -331,10 +333,10 @@ def quantiles_of(
 
 
 def group_quantiles(
-    df: DataFrame, keys: Sequence[str], value: str, probs: dict[str, float]
+    df: DataFrame, keys: Sequence[str], value: str, probs: dict[str, float], near_zero: bool = False
 ) -> DataFrame:
-    """Exact quantiles per key, without a per-key buffer of values."""
-    return quantiles_of(ranked_values(df, keys, value), keys, value, probs)
+    """Exact quantiles per key, without a per-key buffer of values; ``near_zero`` as in ``ranked_values``."""
+    return quantiles_of(ranked_values(df, keys, value, near_zero=near_zero), keys, value, probs)
 
 
 def running_extreme(
