@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from panelkit.functions import forecasters
 from panelkit.operators import backtest as b
-from panelkit.operators import features, metrics, report
+from panelkit.operators import boosting, features, metrics, report
 from panelkit.operators import decide
 from panelkit.registry.common import (
     CYCLES,
@@ -194,6 +194,12 @@ def e4_trees(spark, sf):
     return scored.groupBy("series_id", "fold").agg(F.avg(e).alias("MAE"), F.count(F.lit(1)).alias("n_points"))
 
 
+@reg.add("e4_direct_trees")
+def e4_direct(spark, sf):
+    """Boosted trees of every series and lead, 250 rounds, fitted before the first fold; forecasts of every fold."""
+    return boosting.direct_trees(_full_design(spark, sf), FEATURES, HORIZON, FOLDS, MIN_TRAIN)
+
+
 EFFECT_SQL = """sums AS (SELECT series_id, fold, count(*) AS c, avg(wx_discount) AS mx, avg(y) AS my,
     stddev_pop(wx_discount) AS sx, covar_pop(wx_discount, y) AS cxy
   FROM panel CROSS JOIN (SELECT unnest(range(6)) AS fold) f
@@ -434,6 +440,12 @@ def e8_trees(spark, sf):
     return spark.createDataFrame(pairs, "feature string, importance double").orderBy(F.desc("importance"), "feature")
 
 
+@reg.add("e8_tree_attribution")
+def e8_attribution_of_trees(spark, sf):
+    """Mean absolute Shapley value of each feature in the one-step trees of every series."""
+    return boosting.tree_attribution(_full_design(spark, sf), FEATURES, HORIZON, FOLDS, MIN_TRAIN)
+
+
 @reg.add(
     "e10_budget_refit",
     f"""WITH {RIDGE_SQL.replace("WHERE pos + lead <", "WHERE pos >= n - 24 - greatest(CAST(floor((n - 24) * 25.0 / 100.0) AS BIGINT), 27) AND pos + lead <")}
